@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,3 +45,11 @@ def utf8_crc32(text: Column) -> Column:
 def id_crc32(doc_id: Column) -> Column:
     """CRC-32 of an id's decimal digits, which folds are cut by; a null id counts as empty text."""
     return utf8_crc32(doc_id.cast("string"))
+
+
+def batch_of(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """An Arrow batch of rows under a schema of plain columns, "name type, name type"."""
+    kinds = {"long": pa.int64(), "string": pa.string(), "double": pa.float64(), "boolean": pa.bool_(), "int": pa.int32()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
