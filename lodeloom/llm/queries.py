@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeloom.llm.common import table
+from lodeloom.llm.flac import store_and_read
 from lodeloom.llm.packing import pack
+from lodeloom.llm.pii import find_pii
+from lodeloom.llm.quality import judge
 from lodeloom.llm.sharding import assign_shards
 
 
@@ -16,12 +19,24 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
+def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op9_packing)}
+    return {f.__name__: f for f in (op1_sharding, op4_pii, op5_quality_rules, op7_flac, op9_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
