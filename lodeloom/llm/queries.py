@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeloom.llm.common import table
+from lodeloom.llm.classifier import score_quality
 from lodeloom.llm.flac import store_and_read
+from lodeloom.llm.lm import score_texts
 from lodeloom.llm.packing import pack
 from lodeloom.llm.pii import find_pii
 from lodeloom.llm.quality import judge
@@ -27,6 +29,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"))
 
@@ -35,8 +41,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_pii, op5_quality_rules, op7_flac, op9_packing)}
+    return {f.__name__: f for f in (op1_sharding, op4_pii, op5_quality_rules, op6_lm_scoring, op7_flac, op9_packing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
