@@ -10,17 +10,28 @@ from pyspark.sql import DataFrame, SparkSession
 from lodeloom.llm.common import table
 from lodeloom.llm.classifier import score_quality
 from lodeloom.llm.flac import store_and_read
+from lodeloom.llm.lines import line_classes
 from lodeloom.llm.lm import score_texts
+from lodeloom.llm.minhash import near_duplicates
 from lodeloom.llm.packing import pack
 from lodeloom.llm.pii import find_pii
 from lodeloom.llm.quality import judge
 from lodeloom.llm.sharding import assign_shards
+from lodeloom.llm.wfst import encode_and_decode
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), shards=24)
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_classes(table(spark, sf_dir, "documents")).withColumnsRenamed({"node": "doc_id", "class_node": "class_doc_id"})
+
+
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("node", "doc_id")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -37,6 +48,10 @@ def op7_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_and_read(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,7 +61,8 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_pii, op5_quality_rules, op6_lm_scoring, op7_flac, op9_packing, op10_quality_classifier)}
+    every = (op1_sharding, op2_line_dedup, op3_minhash, op4_pii, op5_quality_rules, op6_lm_scoring, op7_flac, op8_sentencepiece, op9_packing, op10_quality_classifier)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
