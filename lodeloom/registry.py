@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "agg1_day_stats"
+from lodeloom import binding
 
+FLAGSHIP = "biz1_proximity"
+#: Modules that register queries.
+MODULES = ("functions.scalars", "operators.filters")
 
-def modules() -> list:
-    return []
+for _m in MODULES:
+    import_module(f"lodeloom.{_m}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: q for m in modules() for name, q in m.QUERIES.items()}
+    return dict(binding.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in modules() for name, sql in m.SQL.items()}
+    return dict(binding.SQL)
