@@ -11,7 +11,7 @@ from lodeloom import binding
 
 FLAGSHIP = "biz1_proximity"
 #: Modules that register queries.
-MODULES = ("functions.scalars", "operators.filters")
+MODULES = ("functions.scalars", "operators.filters", "operators.aggregates", "operators.windows")
 
 for _m in MODULES:
     import_module(f"lodeloom.{_m}")
