@@ -65,5 +65,28 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in every}
 
 
+#: Jump hash and CRC-32 in DuckDB's SQL; rows of a shard are numbered in the operator's order.
+SHARDING_SQL = """
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps
+), docs AS (
+  SELECT row_number() OVER () AS row, doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST(concat('0x', x) AS BIGINT))), lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc
+), jump(row, shards, state, here, ahead) AS (
+  SELECT row, n, (CAST(coalesce(doc_id, 0) AS HUGEINT) + 18446744073709551616) % 18446744073709551616, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM docs, (VALUES (24), (25)) s(n)
+  UNION ALL
+  SELECT row, shards, next, ahead, CAST(trunc((ahead + 1) * (CAST(2147483648 AS DOUBLE) / CAST(CAST(next // 8589934592 AS BIGINT) + 1 AS DOUBLE))) AS BIGINT)
+  FROM (SELECT row, shards, ahead, ((state % 4294967296) * 2862933555777941757 + ((state // 4294967296) * 2862933555777941757 % 4294967296) * 4294967296 + 1) % 18446744073709551616 AS next FROM jump WHERE ahead < shards)
+), placed AS (
+  SELECT row, max(here) FILTER (shards = 24) AS shard, max(here) FILTER (shards = 25) AS grown FROM jump WHERE ahead >= shards GROUP BY row
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY xor(coalesce(doc_id, 0), text_crc32) & 1023, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM docs JOIN placed USING (row)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Twins of what SQL can express; the other operators are tested against brute force, round trips and held-out labels."""
+    return {"op1_sharding": SHARDING_SQL}

@@ -37,3 +37,11 @@ def test_rows_slots_and_odd_rows(odd_docs, no_docs):
         assert own == list(range(len(own)))
     assert {r.law for r in rows} == {"key"}
     assert assign_shards(no_docs).count() == 0
+
+
+def test_matches_sql(spark, sf, duck):
+    from lodeloom.llm import queries
+
+    got = queries.op1_sharding(spark, sf).collect()
+    want = duck.execute(queries.oracle_sql()["op1_sharding"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
