@@ -8,6 +8,7 @@ Training passes run in Spark tasks over all training documents and average their
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -32,7 +33,9 @@ OWN_UNITS, CLASSES = 448, 64
 UNITS = OWN_UNITS + CLASSES
 WIDTH, CONTEXT = 32, 2
 #: Noise words a minibatch, tokens a minibatch, passes over the training documents, and the step of Adagrad.
-NOISE, BATCH, ROUNDS, RATE = 256, 4096, 2, 0.08
+NOISE, BATCH, ROUNDS, RATE = 64, 2048, 1, 0.08
+#: Noise units that each target is told from; the shared draw is weighted to as many.
+AGAINST = 25.0
 END = ""
 
 
@@ -171,7 +174,7 @@ class Trainer:
     def __init__(self, model: LogBilinear, unit_counts: np.ndarray, seed: int):
         self.m, self.draw = model, np.random.default_rng(seed)
         share = (unit_counts + 0.5) / (unit_counts + 0.5).sum()
-        self.noise, self.log_noise = share, np.log(share).astype(np.float32)
+        self.cumulative, self.log_noise = np.cumsum(share), np.log(AGAINST * share).astype(np.float32)
         self.squares = [np.full_like(a, 0.1) for a in (model.context, model.target, model.bias)]
         self.seen = 0
 
@@ -184,28 +187,43 @@ class Trainer:
 
     def step(self, target: np.ndarray, context: np.ndarray) -> None:
         m, n = self.m, len(target)
-        noise = self.draw.choice(UNITS, NOISE, p=self.noise)
-        lift = np.float32(np.log(25.0))  # each target stands against 25 noise units, for which the shared draw is weighted
+        noise = np.searchsorted(self.cumulative, self.draw.random(NOISE)).clip(0, UNITS - 1)
         h = m.vectors(context)
-        up = (h * m.target[target]).sum(1) + m.bias[target] - lift - self.log_noise[target]
-        down = h @ m.target[noise].T + m.bias[noise] - lift - self.log_noise[noise]
-        true = 1 / (1 + np.exp(np.clip(up, -30, 30)))  # gradient of log sigma
-        false = -(25.0 / NOISE) / (1 + np.exp(-np.clip(down, -30, 30)))
-        true, false = (true / n).astype(np.float32), (false / n).astype(np.float32)
-        # gradients by unit: sparse rows gathered through one-hot products
-        hot = np.zeros((n, UNITS), np.float32)
-        hot[np.arange(n), target] = true
-        np.add.at(hot.T, noise, false.T)
-        grad_target, grad_bias, grad_h = hot.T @ h, hot.sum(0), hot @ m.target
-        grad_context = np.empty_like(m.context)
+        up = np.einsum("ij,ij->i", h, m.target[target]) + m.bias[target] - self.log_noise[target]
+        down = h @ m.target[noise].T + (m.bias[noise] - self.log_noise[noise])
+        true = SCALE / (1 + np.exp(np.clip(up, -30, 30)))  # gradients of the log-probabilities of being no noise, and of being noise
+        false = (-SCALE * AGAINST / NOISE) / (1 + np.exp(-np.clip(down, -30, 30)))
+        grad_target, grad_bias = np.zeros_like(m.target), np.zeros_like(m.bias)
+        add_rows(grad_target, target, h * true[:, None])
+        np.add.at(grad_target, noise, false.T @ h)
+        grad_bias += np.bincount(target, true, UNITS).astype(np.float32)
+        np.add.at(grad_bias, noise, false.sum(0))
+        grad_h = m.target[target] * true[:, None] + false @ m.target[noise]
+        grad_context = np.zeros_like(m.context)
         for place in range(CONTEXT):
-            hot = np.zeros((n, UNITS), np.float32)
-            hot[np.arange(n), context[place]] = 1
-            grad_context[place] = hot.T @ grad_h
+            add_rows(grad_context[place], context[place], grad_h)
         for weights, square, grad in zip((m.context, m.target, m.bias), self.squares, (grad_context, grad_target, grad_bias), strict=True):
-            grad = grad * 64
+            grad *= np.float32(1 / n)
             square += grad * grad
-            weights += RATE * grad / np.sqrt(square)
+            weights += np.float32(RATE) * grad / np.sqrt(square)
+
+
+#: Gradients are scaled up so that Adagrad's first steps are neither lost nor wild.
+SCALE = np.float32(64)
+
+
+def add_rows(into: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
+    """into[rows[i]] += values[i], by runs of equal rows."""
+    order = np.argsort(rows, kind="stable")
+    sorted_rows = rows[order]
+    starts = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+    into[sorted_rows[starts]] += np.add.reduceat(values[order], starts, axis=0)
+
+
+@functools.lru_cache(maxsize=1)
+def known_norms(raw: bytes) -> tuple[LogBilinear, np.ndarray]:
+    """The model and, for each context, the log of its norm, filled in as contexts occur; one a Python worker."""
+    return LogBilinear.unpack(raw), np.full(UNITS * UNITS, np.nan, np.float32)
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
@@ -260,8 +278,7 @@ def score_texts(docs: DataFrame, head: int = HEAD) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, raw = shared.value
-        model, names = LogBilinear.unpack(raw), Units(v)
-        norms = np.full(UNITS * UNITS, np.nan, np.float32)
+        (model, norms), names = known_norms(raw), Units(v)
         total = np.log10(v.tokens + 0.5 * (v.words + 1))
         rid = TaskContext.get().partitionId() << 40
         end_count = v.head.get(END, 0)
