@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeloom.llm.common import held, table
+from lodeloom.llm.common import held, in_text_batches, table
 from lodeloom.llm.lines import without_repeated_lines
 from lodeloom.llm.minhash import keep_one_of_each
 from lodeloom.llm.packing import pack
@@ -18,27 +18,27 @@ from lodeloom.llm.quality import keep_good
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the fixed limits, or are outliers of their language and source, go."""
-    return keep_good(docs)
+    return keep_good(in_text_batches(docs))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-equal lines the first stays; a document with no line left goes."""
-    return without_repeated_lines(docs)
+    return without_repeated_lines(in_text_batches(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates stays."""
-    return keep_one_of_each(docs)
+    return keep_one_of_each(in_text_batches(docs))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in the texts give way to their kinds."""
-    return redact_documents(docs)
+    return redact_documents(in_text_batches(docs))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces in sequences of 4096."""
-    return pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pack(in_text_batches(docs), public_tokenizers.path("word_bpe_49k.json"))
 
 
 STAGES = [

@@ -9,6 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch of whole texts.
+TEXT_BATCH = 2000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -26,6 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
+def in_text_batches(df: DataFrame, rows: int = TEXT_BATCH) -> DataFrame:
+    """df, with the session's Arrow batches at most so many rows, so that a task's batch of whole texts takes little memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, rows)
+    return df
+
+
 def held(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage.
 
