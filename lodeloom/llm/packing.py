@@ -25,7 +25,7 @@ END_ID = 2
 #: Documents that are packed together. A group is one task's work; groups are packed independently.
 GROUP_DOCS = 8192
 #: Runs of letters or signs whose ids a task remembers.
-MEMO = 100_000
+MEMO = 300_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, salt long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -171,7 +171,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> Da
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int | None, int] = {}
         for batch in batches:
-            for part in slices(batch, "text", 2_000_000):
+            for part in slices(batch, "text"):
                 ids, borders = encoder(tokenizer).encode(part["text"])
                 ids, out = ids.astype("<u4"), []
                 for doc_id, start, end in zip(part["doc_id"].to_pylist(), borders[:-1].tolist(), borders[1:].tolist(), strict=True):
@@ -180,6 +180,7 @@ def cut_into_pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW) -> Da
                         cut = ids[at : min(at + window, end)]
                         out.append((doc_id, at - start, len(cut), zlib.crc32(cut), end - start, salt))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
+        encoder(tokenizer).memo.clear()  # the worker lives on and has other tasks
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(pieces, PIECES)
 
