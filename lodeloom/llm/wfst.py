@@ -31,7 +31,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Weight of an unknown character over the worst piece of a unigram model.
 UNKNOWN_PENALTY = 10.0
-#: Chunks whose pieces, and pairs whose fit, a task remembers.
+#: Chunks whose pieces a task remembers; the fits of pairs of pieces are forgotten with them.
 MEMO = 400_000
 
 
@@ -82,7 +82,7 @@ class Transducer:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i, k in enumerate(self.type) if k == UNKNOWN), 0)
         self.worst = min((self.score[i] for i in self.id_of.values()), default=0.0)
-        self.fits: dict[tuple[str, str], bool] = {}
+        self.fits: dict[str, dict[str, bool]] = {}
         self.memo: dict[str, bytes] = {}
         self.trie: dict = {}
         for t, i in self.id_of.items():
@@ -123,18 +123,17 @@ class Transducer:
 
     def fit(self, a: str, b: str) -> bool:
         """Whether pieces a and b stay as they are next to each other."""
-        if len(self.fits) > MEMO:
-            self.fits.clear()
         union = a + b
-        known = self.fits[a, b] = not a or union[len(a) - 1 : len(a) + 1] not in self.inside or (union not in self.id_of and self.merged(union) == [a, b])
-        return known
+        return not a or union[len(a) - 1 : len(a) + 1] not in self.inside or (union not in self.id_of and self.merged(union) == [a, b])
 
     def shortest_path(self, text: str) -> list[str]:
         """Pieces along the lightest path from the start of a normalised text to its end.
 
-        A state is a position and, for byte-pair models, the piece that led there.
+        A state is a position; for byte-pair models see only_path.
         """
-        bound, fits, fit, size = self.kind == BPE, self.fits, self.fit, len(text)
+        if self.kind == BPE:
+            return self.only_path(text)
+        size = len(text)
         states: list[dict[str, tuple[float, str, str, int]]] = [{} for _ in range(size + 1)]
         states[0][""] = (0.0, "", "", -1)
         alone = UNKNOWN_PENALTY - self.worst
@@ -154,13 +153,9 @@ class Transducer:
                     weight = alone  # a character that no piece spells
                 piece, to = text[at:end], states[end]
                 for last, way in here.items():
-                    if bound:
-                        known = fits.get((last, piece))
-                        if not (fit(last, piece) if known is None else known):
-                            continue
-                    cost, name = way[0] + weight, piece if bound else ""
-                    if name not in to or cost < to[name][0]:
-                        to[name] = (cost, piece, last, at)
+                    cost = way[0] + weight
+                    if "" not in to or cost < to[""][0]:
+                        to[""] = (cost, piece, last, at)
                 if node is None:
                     break
         out, at = [], len(text)
@@ -170,6 +165,40 @@ class Transducer:
             out.append(piece)
         return out[::-1]
 
+    def only_path(self, text: str) -> list[str]:
+        """The lightest path for a byte-pair model, whose states are a position and the piece that led there.
+
+        What merging makes of a text is unique, and so is what it makes of each of its beginnings. So one state of each
+        position has arcs that lead to it, and the first piece that arrives is also the lightest.
+        """
+        size, trie, fits, fit = len(text), self.trie, self.fits, self.fit
+        led: list[str | None] = ["", *[None] * size]
+        for at in range(size):
+            last = led[at]
+            if last is None:
+                continue
+            node, end, known = trie, at, fits.setdefault(last, {})
+            while end < size:
+                node = node.get(text[end])
+                end += 1
+                if node is None or "" not in node:
+                    if end == at + 1 and led[end] is None and fit(last, text[at]):  # a character that no piece spells
+                        led[end] = text[at]
+                    if node is None:
+                        break
+                elif led[end] is None:
+                    piece = text[at:end]
+                    fitting = known.get(piece)
+                    if fitting is None:
+                        fitting = known[piece] = fit(last, piece)
+                    if fitting:
+                        led[end] = piece
+        out, at = [], size
+        while at:
+            out.append(led[at])
+            at -= len(led[at])
+        return out[::-1]
+
     def ids_of_piece(self, piece: str) -> list[int]:
         known = self.id_of.get(piece)
         if known is not None:
@@ -194,6 +223,7 @@ class Transducer:
         memo, chunks = self.memo, self.chunk.findall(text)
         if len(memo) > MEMO:
             memo.clear()
+            self.fits.clear()
         for c in set(chunks).difference(memo):
             memo[c] = self.chunk_ids(c)
         return np.frombuffer(b"".join([memo[c] for c in chunks]), np.uint32)
