@@ -26,6 +26,10 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Texts in a bucket of which all pairs are made at most.
 SMALL = 32
+#: Shingles of a block of crowded texts, about, and columns of a product of blocks.
+BLOCK, COLUMNS = 1 << 16, 1 << 13
+#: Rounding that a bound on counts may be off by.
+SLACK = 1e-6
 U = np.uint64
 
 
@@ -150,6 +154,80 @@ def unit_sets(docs: DataFrame) -> DataFrame:
     return docs.select("node", "text").mapInArrow(units, "node long, units array<long>")
 
 
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the rows of docs that stand for one of nodes."""
+    return docs.select(node_of(F.col("doc_id"), F.col("text").cast("string")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(nodes, "node")
+
+
+def crossed(longer: list[np.ndarray], shorter: list[np.ndarray], ids: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each text, those of longer first, and a node that it hangs together with; longer and shorter hold
+    sets of units, ids their nodes. Each pair counts once: as the greater (size, node) of longer with the lesser of shorter."""
+    n, sizes = len(longer), np.array([len(x) for x in [*longer, *shorter]])
+    owner, unit = np.repeat(np.arange(len(sizes)), sizes), np.unique(np.concatenate([*longer, *shorter]), return_inverse=True)[1]
+    order = np.argsort(unit, kind="stable")
+    owner, unit = owner[order], unit[order]
+    common = np.zeros((n, len(sizes) - n), np.float32)
+    for low in range(0, int(unit[-1]) + 1 if len(unit) else 0, COLUMNS):
+        here = slice(*np.searchsorted(unit, [low, low + COLUMNS]))
+        has = np.zeros((len(sizes), COLUMNS), np.float32)
+        has[owner[here], unit[here] - low] = 1
+        common += has[:n] @ has[n:].T
+    a, b = sizes[:n, None], sizes[None, n:]
+    linked = common >= similarity * (a + b - common.astype(np.float64))
+    linked &= (a > b) | ((a == b) & (ids[:n, None] > ids[None, n:]))
+    x, y = np.nonzero(linked)
+    y += n
+    known, place = np.unique(ids, return_inverse=True)  # a node may stand on both sides
+    head, before = np.arange(len(known)), None
+    while before is None or (head != before).any():
+        before, least = head.copy(), np.minimum(head[place[x]], head[place[y]])
+        np.minimum.at(head, place[x], least)
+        np.minimum.at(head, place[y], least)
+    return np.bincount(x, minlength=len(sizes)) + np.bincount(y, minlength=len(sizes)), known[head[place]]
+
+
+def crowd_links(docs: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
+    """node, other, n_links for texts of crowded(node, n_shingles, band, key, n), the members of crowded buckets.
+
+    The sum of n_links over a node's rows is the number of all crowded texts it is linked to; other hangs together with node by links.
+
+    Exact, by prefixes: with units in one order, rare ones first, the first common unit of two texts linked lies within the first
+    n - similarity * n + 1 units of the larger and the first n - 2 * similarity / (1 + similarity) * n + 1 of the smaller, so that
+    what a whole family shares is met only by texts that are alike. Texts are dealt to blocks by their largest bucket; under a unit
+    a text meets blocks and not texts, and two blocks' texts that met are compared by a product of matrices. Only
+    numbers of links and a link to hang by leave it, so that a crowd of n texts makes about n * n / (texts in a block) rows.
+    """
+    home = held(crowded.groupBy("node", "n_shingles").agg(F.max(F.struct("n", "band", "key")).alias("crowd")), "crowd-homes")
+    parts = home.groupBy("crowd").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("parts"))
+    blocks = held(home.join(parts, "crowd").select("node", F.xxhash64("crowd.band", "crowd.key", F.pmod(F.xxhash64("node"), "parts")).alias("block")), "crowd-blocks")
+    sets = held(unit_sets(texts_of(docs, blocks.select("node"))).dropDuplicates(["node"]).join(blocks, "node"), "crowd-sets")
+
+    units = sets.select("node", "block", F.size("units").alias("size"), F.explode("units").alias("unit"))
+    shared = held(units.groupBy("unit").agg(F.count("*").alias("times")).where("times > 1"), "crowd-units")
+    ranked = units.join(shared, "unit").groupBy("node", "block", "size").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("all"))
+    # Units of one text only come first; they take places and meet nothing.
+    placed = ranked.select("node", "block", "size", (F.col("size") - F.size("all")).alias("alone"), F.posexplode("all").alias("at", "u"))
+    reach = lambda share: F.col("size") - F.ceil(F.col("size") * share - SLACK)
+    at = F.col("alone") + F.col("at")
+    prefix = held(placed.where(at <= reach(similarity)).select("node", "block", F.col("u.unit").alias("unit"), (at <= reach(2 * similarity / (1 + similarity))).alias("shorter")), "crowd-prefixes")
+    short = prefix.where("shorter")
+    to_short = prefix.select("unit", "node", F.col("block").alias("x")).join(short.select("unit", F.col("block").alias("y")).distinct(), "unit").select("x", "y", "node", F.lit(False).alias("shorter")).distinct()
+    to_long = short.select("unit", "node", F.col("block").alias("y")).join(prefix.select("unit", F.col("block").alias("x")).distinct(), "unit").select("x", "y", "node", F.lit(True).alias("shorter")).distinct()
+    met = held(to_short.union(to_long), "crowd-met")
+
+    def compare(part: pa.Table) -> pa.Table:
+        part = part.combine_chunks().sort_by("shorter")
+        is_short = part["shorter"].to_numpy()
+        n, ids = len(is_short) - int(is_short.sum()), part["node"].to_numpy()
+        flat, ends = pc.list_flatten(part["units"]).to_numpy(), np.cumsum(pc.list_value_length(part["units"]).to_numpy())
+        sets_of = np.split(flat, ends[:-1])
+        links, other = crossed(sets_of[:n], sets_of[n:], ids, similarity)
+        some = links > 0
+        return pa.table({"node": ids[some], "other": other[some], "n_links": links[some].astype(np.int64)})
+
+    return met.join(sets.select("node", "units"), "node").select("x", "y", "node", "shorter", "units").groupBy("x", "y").applyInArrow(compare, "node long, other long, n_links long")
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Class of every row of docs: node, doc_id, class_id, n_copies (rows with its text), n_links (verified links of its text).
 
@@ -158,34 +236,36 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     for by a hash of the text; null texts count as empty, and all empty texts are copies of one another; other columns are
     ignored; an empty table gives no rows.
 
-    In buckets of SMALL texts at most all pairs are made. In larger ones each text meets two pivots, those first and last in
-    one order over all texts: that is linear in the bucket. So only two texts that never meet in a small bucket can lack
-    their own comparison, and such a crowd is joined through its pivots. All found pairs are verified on whole shingle sets.
+    In buckets of SMALL texts at most all pairs are made and verified on whole shingle sets. Texts of larger buckets are joined among
+    themselves by crowd_links, which finds all links between them.
     """
     drawn = held(sketches(docs), "sketches")
     copies = held(drawn.groupBy("digest").agg(F.min("node").alias("node"), F.count("*").alias("n_copies")), "copies")
     texts = held(drawn.join(copies, ["digest", "node"]).groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "texts")
 
-    order = F.struct(F.xxhash64("node").alias("h"), "node", "n_shingles")
     placed = texts.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
-    buckets = held(placed.groupBy("band", "key").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last")).where("n > 1").select("band", "key", "n", F.array("first", "last").alias("pivots")), "buckets")
+    buckets = held(placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = held(placed.join(buckets, ["band", "key"]), "bucket-members")
-    crowded = met.where(F.col("n") > SMALL).select("node", "n_shingles", F.explode("pivots").alias("p")).select("node", "n_shingles", F.col("p.node").alias("other"), F.col("p.n_shingles").alias("n_other"))
-    groups = met.where(F.col("n") <= SMALL).groupBy("band", "key").agg(F.collect_list(F.struct("node", "n_shingles")).alias("all"))  # SMALL texts each at most
-    each = groups.select("all", F.explode("all").alias("x")).select("x.*", F.explode("all").alias("p")).where("node > p.node").select("node", "n_shingles", F.col("p.node").alias("other"), F.col("p.n_shingles").alias("n_other"))
+    crowded = met.where(F.col("n") > SMALL)
+    crowds = held(crowd_links(docs, crowded, similarity), "crowd-links")
+    in_crowd = crowded.select("node").distinct().withColumn("in_crowd", F.lit(True))
+    few = met.where(F.col("n") <= SMALL).join(in_crowd, "node", "left")
+    groups = few.groupBy("band", "key").agg(F.collect_list(F.struct("node", "n_shingles", F.coalesce("in_crowd", F.lit(False)).alias("in_crowd"))).alias("all"))  # SMALL texts each at most
+    each = groups.select("all", F.explode("all").alias("x")).select("x.*", F.explode("all").alias("p")).where("node > p.node and not (in_crowd and p.in_crowd)").select("node", "n_shingles", F.col("p.node").alias("other"), F.col("p.n_shingles").alias("n_other"))
     alike = F.least("n_shingles", "n_other") >= similarity * F.greatest("n_shingles", "n_other")
-    pairs = held(crowded.where("node <> other").union(each).where(alike).select(F.greatest("node", "other").alias("a"), F.least("node", "other").alias("b")).distinct(), "pairs")
+    pairs = held(each.where(alike).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
 
     wanted = held(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    chosen = docs.select(node_of(F.col("doc_id"), F.col("text").cast("string")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(wanted, "node")
+    chosen = texts_of(docs, wanted)
     sets = held(unit_sets(chosen).dropDuplicates(["node"]), "unit-sets")
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("units").alias("units_a")), "a")
     with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("units").alias("units_b")), "b")
     common = F.size(F.array_intersect("units_a", "units_b"))
     links = held(with_both.where(common >= similarity * (F.size("units_a") + F.size("units_b") - common)).select("a", "b"), "near-links")
 
-    found = held(components(links), "near-classes")
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+    found = held(components(links.union(crowds.select("node", "other"))), "near-classes")
+    ends = links.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("n_links")).union(links.select("b", F.lit(1).cast("long")))
+    degree = ends.union(crowds.select("node", "n_links")).groupBy("node").agg(F.sum("n_links").alias("n_links"))
     classes = copies.join(found, "node", "left").join(degree, "node", "left")
     by_text = held(classes.select("digest", "n_copies", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "text-classes")
     return drawn.select("node", "digest").join(by_text, "digest").select("node", "class_id", "n_copies", "n_links")

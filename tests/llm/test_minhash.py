@@ -66,6 +66,18 @@ def test_classes_against_all_pairs(spark, sf):
     assert got == want and len(set(want.values())) < len(want) - 35
 
 
+@pytest.mark.parametrize("tail", [35, 12])
+def test_links_in_crowded_buckets_against_all_pairs(spark, tail):
+    """A family on one template, below the threshold (tail 35, but for twins above it) or above it (tail 12)."""
+    base = [f"t{i}" for i in range(300 - tail)]
+    texts = {i: " ".join([*base, *(f"twin{i // 2}x{j}" for j in range(6)), *(f"own{i}x{j}" for j in range(tail - 6 - i % 3))]) for i in range(160)}
+    got = m.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    links = {i: sum(len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]) for k in sets if k != i) for i in sets}
+    assert {r.node: r.n_links for r in got} == links and max(links.values()) == (1 if tail == 35 else 159)
+    assert {r.node: r.class_id for r in got} == brute_classes(list(texts.items()))
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = m.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count() and len({r.class_id for r in rows if r.node in (2, 3)}) == 1
