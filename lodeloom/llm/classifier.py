@@ -23,6 +23,13 @@ FOLDS, HELD_OUT = 3, 1
 UPPER, DIGITS, SYMBOLS, STOPS = (bytes(x) for x in (range(65, 91), range(48, 58), b"#*$%&|<>", b".,;:?"))
 #: Statistics of one line: share of capitals, of digits, shouts, symbols and stops a word, word length, distinct words, words seen before, length.
 WIDTH = 10
+#: Words of a line among which distinct ones are counted.
+WINDOW = 400
+
+
+def distinct_share(words: list[bytes]) -> float:
+    """Share of distinct words in windows of WINDOW words, weighted by their words, so that it doesn't fall with a line's length alone."""
+    return sum(len(set(words[i : i + WINDOW])) for i in range(0, len(words), WINDOW)) / len(words)
 
 
 def line_statistics(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -47,7 +54,7 @@ def line_statistics(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             min(2.0, share(SYMBOLS) / n),
             min(1.0, share(STOPS) / n),
             min(2.0, size / n / 10),
-            len(set(words)) / n if n < 20 else len(set(words[:400])) / min(n, 400),
+            distinct_share(words),
             old / len(grams) if grams else 0.0,
             min(1.0, n / 100),
         ))

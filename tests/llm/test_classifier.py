@@ -42,3 +42,9 @@ def test_held_out_accuracy_and_odd_rows(spark, odd_docs, no_docs):
     assert len(odd) == odd_docs.count() and all(r.n_lines == 0 and r.bad_share == 1 for r in odd if r.doc_id in (2, 3, 4))
     assert m.score_quality(no_docs, labels).count() == 0
     assert {r.score for r in m.score_quality(odd_docs, labels.where("doc_id < 0")).collect()} == {0.5}
+
+
+def test_distinct_words_of_a_whole_line():
+    fresh = " ".join(f"w{i}" for i in range(400))
+    plain, tail, half = (m.line_statistics(t)[0][0, 7] for t in (f"{fresh} {fresh}", fresh + " buy it now" * 5000, fresh + " same" * 200))
+    assert plain == 1 and tail < 0.05 and abs(half - 401 / 600) < 1e-6
