@@ -25,7 +25,7 @@ from lodeloom.llm.components import components
 from lodeloom.llm.minhash import node_of
 
 THRESHOLD = 1
-#: Shorter lines are left alone: a few edits make one of them another.
+#: Shorter lines have no near matches, only copies: a few edits make one of them another.
 LEAST_CHARS = 24
 #: Lines under a key of which all pairs are made at most.
 SMALL = 16
@@ -179,7 +179,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
 
     Equal lines are copies. Distinct lines of at least least_chars code points are linked when within threshold edits; n_links is
     how many distinct lines a line is linked to. A class is a component of links; class_node and class_line are its first
-    occurrence by (node, line_no), the only one that is kept. Shorter lines are each a class of their own and kept. node is the
+    occurrence by (node, line_no), the only one that is kept. Shorter lines are in a class with their copies only. node is the
     doc_id, or a hash of the text where that is null; rows that repeat a doc_id with other text share nodes; a null text
     has no lines; other columns are ignored; an empty table gives no rows.
 
@@ -187,8 +187,8 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
     """
     lines = occurrences(docs).select("node", "line_no", F.char_length("line").alias("n_chars"), "line")
     marked = lines.withColumn("digest", F.unhex(F.md5(F.col("line").cast("binary"))))
-    long = marked.where(F.col("n_chars") >= max(least_chars, 2 * threshold + 2))
-    keyed = long.select("digest", "node", "line_no", "n_chars", join_keys(F.col("line"), threshold).alias("keys"))
+    long = F.col("n_chars") >= max(least_chars, 2 * threshold + 2)
+    keyed = marked.select("digest", "node", "line_no", "n_chars", F.when(long, join_keys(F.col("line"), threshold)).alias("keys"))
     width = (threshold + 1) * (threshold + 1) if threshold == 1 else None
     flat = [F.col("keys")[i]["key"].alias(f"k{i}") for i in range(width)] if width else []
     if flat:
@@ -202,7 +202,7 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
         keys = F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(i < 2).alias("home"), F.lit(i % 2).alias("half"), (F.col("n_chars") - int(i >= 2)).alias("target")) for i in range(width)))
     else:
         keys = F.transform("keys", lambda k: F.struct(k["key"].alias("key"), k["home"].alias("home"), F.lit(0).alias("half"), F.lit(0).alias("target")))
-    dealt = distinct.select("lid", F.explode(keys).alias("k")).select("lid", "k.*")
+    dealt = distinct.where(long).select("lid", F.explode(keys).alias("k")).select("lid", "k.*")
     met = held(dealt.join(held(counted(dealt), "line-groups"), "key"), "line-candidates")
     hot = met.where((F.col("n") > SMALL) & F.lit(threshold == 1))
     pairs = held(small_pairs(met.where((F.col("n") <= SMALL) | F.lit(threshold != 1)).select("key", "lid", "home")), "line-pairs")

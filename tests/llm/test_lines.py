@@ -65,3 +65,11 @@ def test_stage_keeps_first_lines_and_columns(odd_docs, no_docs):
     assert {r.doc_id for r in rows} == {r.doc_id for r in odd_docs.collect()}
     assert all(r.n_chars == len(r.text or "") for r in rows)
     assert m.without_repeated_lines(no_docs).count() == 0 and m.line_classes(no_docs).count() == 0
+
+
+def test_copies_of_short_lines(spark):
+    docs = spark.createDataFrame([(1, "Read more\nx\nRead mora"), (2, "Read more\ny"), (3, "z\nRead more"), (4, "Read more")], "doc_id long, text string")
+    rows = {(r.node, r.line_no): (r.copies, r.n_links, r.class_node, r.class_line, r.kept) for r in m.line_classes(docs).collect()}
+    alone = {k: (1, 0, *k, True) for k in ((1, 1), (1, 2), (2, 1), (3, 0))}
+    assert rows == alone | {k: (4, 0, 1, 0, k == (1, 0)) for k in ((1, 0), (2, 0), (3, 1), (4, 0))}
+    assert {r.doc_id: r.text for r in m.without_repeated_lines(docs).collect()} == {1: "Read more\nx\nRead mora", 2: "y", 3: "z"}
