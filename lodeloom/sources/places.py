@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeloom.binding import Domain, query
 
 OVERPASS = "elements array<struct<type:string,id:bigint,lat:double,lon:double,tags:map<string,string>>>"
+#: Places of one JSON response, about.
+SLICE = 10_000
 ITEM = "id bigint, title string, notes string, due string, status string"
 
 
@@ -57,12 +59,18 @@ def with_id(rows: DataFrame, key: str) -> DataFrame:
     return rows.withColumn("id", F.col(key))
 
 
+def sliced(places: DataFrame) -> DataFrame:
+    """places with slice: each type's places dealt by a hash of their id to as many slices as keep one at about SLICE places."""
+    parts = places.groupBy("poi").agg(F.ceil(F.count("*") / SLICE).alias("parts"))
+    return places.join(parts, "poi").withColumn("slice", F.pmod(F.xxhash64("place_id"), "parts")).drop("parts")
+
+
 @query("src10_map_elements", "SELECT poi % 4 AS poi_type, place_id AS osm_id FROM places WHERE place_id % 5 <> 0")
 def src10(d: Domain) -> DataFrame:
-    """Places written as one map-query result for each type, and read back through the element matcher."""
+    """Places written as one map-query result for each slice of a type, and read back through the element matcher."""
     tag = F.map_from_arrays(F.array(F.lit("name"), F.lit("amenity")), F.array("name", (F.col("poi") % 4).cast("string")))
     element = F.struct(F.when(F.col("place_id") % 5 == 0, "way").otherwise("node").alias("type"), F.col("place_id").alias("id"), "lat", F.col("lng").alias("lon"), tag.alias("tags"))
-    text = d.places.groupBy("poi").agg(F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("json"))
+    text = sliced(d.places).groupBy("poi", "slice").agg(F.to_json(F.struct(F.collect_list(element).alias("elements"))).alias("json"))
     tags = d.spark.range(4).select(F.col("id").alias("poi_type"), F.lit("amenity").alias("key"), F.col("id").cast("string").alias("value"), F.col("id").alias("pos"))
     raw = text.select(F.from_json("json", OVERPASS).alias("r")).select("r.elements")
     return match_elements(raw, tags).select("poi_type", "osm_id")
@@ -71,9 +79,11 @@ def src10(d: Domain) -> DataFrame:
 @query("src12_nearby_response", "SELECT poi, place_id FROM (SELECT poi, place_id, row_number() OVER (PARTITION BY poi ORDER BY place_id) AS rn FROM places) WHERE rn <= 20")
 def src12(d: Domain) -> DataFrame:
     checked_search(["atm"], 400)
-    text = d.places.groupBy("poi").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("place_id", "name"))).alias("places"))).alias("json"))
+    text = sliced(d.places).groupBy("poi", "slice").agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("place_id", "name"))).alias("places"))).alias("json"))
     read = text.select("poi", F.posexplode(F.from_json("json", "places array<struct<place_id:bigint,name:string>>")["places"]).alias("pos", "p"))
-    return read.where("pos < 20").select("poi", "p.place_id")
+    # The first 20 of a type are among the first 20 of its slices.
+    first = read.where("pos < 20").select("poi", "p.place_id", F.row_number().over(Window.partitionBy("poi").orderBy("p.place_id")).alias("rn"))
+    return first.where("rn <= 20").select("poi", "place_id")
 
 
 @query("src13_import_items", "SELECT 'tasks' AS source, task_id AS id FROM tasks WHERE NOT done UNION ALL SELECT 'inbox', id FROM inbox WHERE kind = 'share'")

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+from types import SimpleNamespace
 
 import pytest
 
@@ -46,3 +47,13 @@ def test_labelled_text_round_trip(spark, tmp_path):
 
 def test_id_column_wins(spark):
     assert s.with_id(spark.createDataFrame([("k", "inner")], "key string, id string"), "key").first().id == "k"
+
+
+def test_responses_of_a_hot_type_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(s, "SLICE", 100)
+    places = spark.range(2000).selectExpr("id as place_id", "if(id < 1900, 1, 2) as poi", "concat('place ', id) as name", "1.0D as lat", "2.0D as lng")
+    domain = SimpleNamespace(places=places, spark=spark)
+    assert sorted(map(tuple, s.src12(domain).collect())) == [(1, i) for i in range(20)] + [(2, i) for i in range(1900, 1920)]
+    assert sorted(map(tuple, s.src10(domain).collect())) == sorted((1 if i < 1900 else 2, i) for i in range(2000) if i % 5)
+    sizes = [r["count"] for r in s.sliced(places).groupBy("poi", "slice").count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 200
