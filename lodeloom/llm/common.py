@@ -20,17 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    Only where that is unset, as in tests on one machine, is a local folder made and set.
+    Only where that is unset and the session runs on one machine, as in tests, is a local folder made and set.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not known:
+        if not (spark.conf.get("spark.master", None) or spark.sparkContext.master).startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = tempfile.mkdtemp(prefix="lodeloom-")
         spark.sparkContext.setCheckpointDir(known)
     return known
 
 
 def in_text_batches(df: DataFrame, rows: int = TEXT_BATCH) -> DataFrame:
-    """df, with the session's Arrow batches at most so many rows, so that a task's batch of whole texts takes little memory."""
+    """df, with the session's Arrow batches at most so many rows, so that a task's batch of whole texts takes little memory.
+
+    Batches are bounded by bytes as well, by spark.sql.execution.arrow.maxBytesPerBatch (64 MB where it isn't set), so that long texts
+    don't make them large. The setting stays for the session, as it is read when the result is computed.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(name)) <= rows:
@@ -41,14 +47,27 @@ def in_text_batches(df: DataFrame, rows: int = TEXT_BATCH) -> DataFrame:
 def held(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs a reread of files and no recomputation.
+    A lost executor then costs a reread of files and no recomputation. The table stays until drop_held is called.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeloom-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    HELD.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Paths of the tables that this process holds, in order.
+HELD: list[str] = []
+
+
+def drop_held(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables held from the since-th on. Only for results that have been written: a result is read from these when it is computed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while len(HELD) > since:
+        path = jvm.org.apache.hadoop.fs.Path(HELD.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def utf8_crc32(text: Column) -> Column:
     """Unsigned CRC-32 of the UTF-8 bytes; of a null text, that of no bytes."""
     return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))

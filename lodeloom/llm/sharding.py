@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lodeloom.llm.common import utf8_crc32
+from lodeloom.llm.common import held, utf8_crc32
 
 #: Sub-ranges that the rows of a shard are numbered in, each by a task of its own.
 SLOT_BUCKETS = 1024
+#: Copies of a row that are written out together; more are dealt out in runs of so many.
+RUN = 10_000
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -53,13 +55,14 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
     rows get neighbouring slots, in no particular order. Other columns of docs are ignored; an empty table gives none.
 
     Equal rows are counted before the shuffle, and the sub-range depends on the key and on the text, so neither a hot
-    key nor a hot text meets in one task. Offsets come from shards x SLOT_BUCKETS counts.
+    key nor a hot text meets in one task; copies of one row beyond RUN are dealt out in runs. Offsets come from
+    shards x SLOT_BUCKETS counts. What is known of each distinct row is held, so that it is hashed once.
     """
     rows = docs.select(F.col(key).alias("key"), (F.coalesce(F.octet_length(text), F.lit(0)) + 8).cast("long").alias("size"), utf8_crc32(F.col(text)).alias("text_crc32"))
     groups = rows.groupBy("key", "size", "text_crc32").agg(F.count("*").alias("n"))
     groups = groups.withColumn("shard", shard_of(F.col("key"), shards)).withColumn("grown_shard", shard_of(F.col("key"), shards + 1))
     mixed = F.coalesce(F.col("key").cast("long"), F.lit(0).cast("long")).bitwiseXOR(F.col("text_crc32"))
-    groups = groups.withColumn("bucket", F.pmod(mixed, F.lit(SLOT_BUCKETS)))
+    groups = held(groups.withColumn("bucket", F.pmod(mixed, F.lit(SLOT_BUCKETS))), "shard-rows")
 
     by_bucket = groups.groupBy("shard", "bucket").agg(F.sum("n").alias("in_bucket"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -68,8 +71,11 @@ def assign_shards(docs: DataFrame, shards: int = 24, key: str = "doc_id", text:
     placed = groups.withColumn("group_start", F.coalesce(F.sum("n").over(within), F.lit(0)))
     # starts has one row a sub-range, shards * SLOT_BUCKETS at most
     placed = placed.join(F.broadcast(starts), ["shard", "bucket"])
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy")
-    return placed.select("*", each).select(
+    runs = placed.where(F.col("n") > RUN).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("from")).repartition("key", "from")
+    last = F.least(F.col("from") + RUN, F.col("n")) - 1
+    every = placed.where(F.col("n") <= RUN).withColumn("from", F.lit(0).cast("long")).unionByName(runs)
+    each = F.explode(F.sequence("from", last)).alias("copy")
+    return every.select("*", each).select(
         F.col("key").alias(key),
         "size",
         "text_crc32",

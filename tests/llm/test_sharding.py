@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 
+from lodeloom.llm import sharding as m
 from lodeloom.llm.sharding import assign_shards, jump_hash
 
 
@@ -45,3 +46,13 @@ def test_matches_sql(spark, sf, duck):
     got = queries.op1_sharding(spark, sf).collect()
     want = duck.execute(queries.oracle_sql()["op1_sharding"]).fetchall()
     assert sorted(map(tuple, got)) == sorted(want) and len(want) > 100
+
+
+def test_many_copies_are_dealt_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(m, "RUN", 7)
+    docs = spark.createDataFrame([(1, "same")] * 50 + [(2, "other")] * 7 + [(None, None)] * 8, "doc_id long, text string")
+    rows = assign_shards(docs).collect()
+    assert len(rows) == 65
+    for shard in {r.shard for r in rows}:
+        own = sorted(r.slot for r in rows if r.shard == shard)
+        assert own == list(range(len(own)))
