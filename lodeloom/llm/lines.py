@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 
 from lodeloom.llm.common import held
 from lodeloom.llm.components import components
-from lodeloom.llm.minhash import node_of
 
 THRESHOLD = 1
 #: Shorter lines have no near matches, only copies: a few edits make one of them another.
@@ -89,10 +88,20 @@ def join_keys(line: Column, threshold: int) -> Column:
     return F.array(*keys)
 
 
+#: What tells a line from all others, but for lines of rows that repeat both id and text.
+PLACE = ("node", "version", "line_no")
+
+
+def row_keys() -> list[Column]:
+    """node: the row's id, or a hash of its text where that is null; version: a hash of its text, as rows may share an id."""
+    version = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return [F.coalesce(F.col("doc_id").cast("long"), version).alias("node"), version.alias("version")]
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """node, line_no (from 0), line: every \\n-parted line that has a word."""
+    """doc_id, node, version, line_no (from 0), line: every \\n-parted line that has a word."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(node_of(F.col("doc_id"), F.col("text").cast("string")).alias("node"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_keys(), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
@@ -174,29 +183,21 @@ def hot_links(hot: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFra
     return [few], [sure], cliques
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """Every line with a word of docs: node, line_no, n_chars, copies, n_links, class_node, class_line, kept.
-
-    Equal lines are copies. Distinct lines of at least least_chars code points are linked when within threshold edits; n_links is
-    how many distinct lines a line is linked to. A class is a component of links; class_node and class_line are its first
-    occurrence by (node, line_no), the only one that is kept. Shorter lines are in a class with their copies only. node is the
-    doc_id, or a hash of the text where that is null; rows that repeat a doc_id with other text share nodes; a null text
-    has no lines; other columns are ignored; an empty table gives no rows.
-
-    Keys of more than SMALL lines are dealt again without making pairs if threshold is 1; for larger thresholds all their pairs are made.
-    """
-    lines = occurrences(docs).select("node", "line_no", F.char_length("line").alias("n_chars"), "line")
+def placed_lines(docs: DataFrame, threshold: int, least_chars: int) -> DataFrame:
+    """doc_id, PLACE, n_chars, copies, n_links, first (PLACE of the class's first line) and kept of every line with a word of docs."""
+    lines = occurrences(docs).select("doc_id", *PLACE, F.char_length("line").alias("n_chars"), "line")
     marked = lines.withColumn("digest", F.unhex(F.md5(F.col("line").cast("binary"))))
     long = F.col("n_chars") >= max(least_chars, 2 * threshold + 2)
-    keyed = marked.select("digest", "node", "line_no", "n_chars", F.when(long, join_keys(F.col("line"), threshold)).alias("keys"))
+    keyed = marked.select("digest", *PLACE, "n_chars", F.when(long, join_keys(F.col("line"), threshold)).alias("keys"))
     width = (threshold + 1) * (threshold + 1) if threshold == 1 else None
     flat = [F.col("keys")[i]["key"].alias(f"k{i}") for i in range(width)] if width else []
     if flat:
-        keyed = keyed.select("digest", "node", "line_no", "n_chars", *flat)
+        keyed = keyed.select("digest", *PLACE, "n_chars", *flat)
         kept_keys = [F.first(f"k{i}").alias(f"k{i}") for i in range(width)]
     else:
         kept_keys = [F.first("keys").alias("keys")]
-    distinct = held(keyed.groupBy("digest").agg(F.min(F.struct("node", "line_no")).alias("rep"), F.count("*").alias("copies"), F.first("n_chars").alias("n_chars"), *kept_keys).withColumn("lid", F.monotonically_increasing_id()), "lines")
+    by_digest = keyed.groupBy("digest").agg(F.min(F.struct(*PLACE)).alias("rep"), F.count("*").alias("copies"), F.first("n_chars").alias("n_chars"), *kept_keys)
+    distinct = held(by_digest.withColumn("lid", F.monotonically_increasing_id()), "lines")
 
     if flat:  # index 0, 1: home keys by half; 2, 3: those of a line one shorter
         keys = F.array(*(F.struct(F.col(f"k{i}").alias("key"), F.lit(i < 2).alias("home"), F.lit(i % 2).alias("half"), (F.col("n_chars") - int(i >= 2)).alias("target")) for i in range(width)))
@@ -208,8 +209,8 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
     pairs = held(small_pairs(met.where((F.col("n") <= SMALL) | F.lit(threshold != 1)).select("key", "lid", "home")), "line-pairs")
 
     wanted = held(pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).union(hot.select("lid")).distinct(), "line-wanted")
-    places = distinct.join(wanted, "lid").select("lid", F.col("rep.node").alias("node"), F.col("rep.line_no").alias("line_no"), "digest")
-    texts = held(marked.select("node", "line_no", "digest", "line").join(places, ["node", "line_no", "digest"]).select("lid", "line").dropDuplicates(["lid"]), "line-texts")
+    places = distinct.join(wanted, "lid").select("lid", "rep.*")
+    texts = held(lines.select(*PLACE, "line").join(places, list(PLACE)).select("lid", "line").dropDuplicates(["lid"]), "line-texts")
     unsure, sure, cliques = [pairs], [], None
     if threshold == 1:
         more, sure, cliques = hot_links(hot.join(texts, "lid").select("lid", "home", "half", "target", "line"))
@@ -227,17 +228,38 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int =
     members = held(classes.join(distinct.select("lid", "rep"), "lid"), "line-members")
     first = held(members.groupBy("class_id").agg(F.min("rep").alias("first")), "line-first")
     linked = members.join(first, "class_id").select("lid", "first").join(degree, "lid")
-    by_digest = held(distinct.join(linked, "lid", "left").select("digest", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first", "rep").alias("first")), "line-classes")
+    verdicts = distinct.join(linked, "lid", "left").select("digest", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first", "rep").alias("first"))
+    verdicts = held(verdicts.where("copies > 1 or n_links > 0"), "line-classes")
 
-    placed = marked.select("node", "line_no", "n_chars", "digest").join(by_digest.where("copies > 1 or n_links > 0"), "digest", "left")
-    own = F.struct("node", "line_no")
-    head = F.coalesce("first", own)
-    return placed.select("node", "line_no", "n_chars", F.coalesce("copies", F.lit(1)).alias("copies"), F.coalesce("n_links", F.lit(0)).alias("n_links"), head["node"].alias("class_node"), head["line_no"].alias("class_line"), (head == own).alias("kept"))
+    placed = marked.select("doc_id", *PLACE, "n_chars", "digest").join(verdicts, "digest", "left")
+    own = F.struct(*PLACE)
+    counts = [F.coalesce(c, F.lit(least)).alias(c) for c, least in (("copies", 1), ("n_links", 0))]
+    return placed.select("doc_id", *PLACE, "n_chars", *counts, F.coalesce("first", own).alias("first")).withColumn("kept", F.col("first") == own)
+
+
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
+    """Every line with a word of docs: doc_id, version, line_no, n_chars, copies, n_links, class_doc_id, class_version, class_line, kept.
+
+    Equal lines are copies, whatever their length. Distinct lines of at least least_chars code points are linked when within
+    threshold edits; n_links is how many distinct lines a line is linked to. A class is a component of links; the class columns
+    tell its first occurrence by (doc_id, version, line_no), the only one that is kept. version is a hash of the row's text: rows that
+    share an id with another text are told apart by it, and rows that repeat both are one document and have the same verdicts.
+    Shorter lines are in a class with their copies only. class_doc_id is a hash of the text where the id is null; a null text
+    has no lines; other columns are ignored; an empty table gives no rows.
+
+    Keys of more than SMALL lines are dealt again without making pairs if threshold is 1; for larger thresholds all their pairs are made.
+    """
+    first = [F.col("first.node").alias("class_doc_id"), F.col("first.version").alias("class_version"), F.col("first.line_no").alias("class_line")]
+    return placed_lines(docs, threshold, least_chars).select("doc_id", "version", "line_no", "n_chars", "copies", "n_links", *first, "kept")
 
 
 def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """docs with only the first occurrence of each class of lines. A document that had words and has none left goes; n_chars follows the text."""
-    drop = held(line_classes(docs, threshold, least_chars).where("not kept").groupBy(F.col("node").alias("_node")).agg(F.collect_set("line_no").alias("_drop")), "line-drops")
+    """docs with only the first occurrence of each class of lines. A document that had words and has none left goes; n_chars follows the text.
+
+    Of rows that repeat both id and text one stays. Rows that share an id with other texts lose their own repeated lines only.
+    """
+    gone = placed_lines(docs, threshold, least_chars).where("not kept").select(F.col("node").alias("_node"), F.col("version").alias("_version"), "line_no")
+    drop = held(gone.groupBy("_node", "_version").agg(F.collect_set("line_no").alias("_drop")), "line-drops")
 
     @F.pandas_udf("string")
     def prune(texts: pd.Series, drops: pd.Series) -> pd.Series:
@@ -248,7 +270,9 @@ def without_repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, least_ch
         return pd.Series(out, dtype=object)
 
     whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = docs.select(whole, F.col("text").cast("string").alias("_text"), node_of(F.col("doc_id"), F.col("text").cast("string")).alias("_node")).join(drop, "_node", "left")
+    node, version = row_keys()
+    rows = docs.select(whole, F.col("text").cast("string").alias("_text"), node.alias("_node"), version.alias("_version"))
+    rows = rows.join(drop, ["_node", "_version"], "left").dropDuplicates(["_node", "_version"])
     done = rows.withColumn("_text", prune("_text", "_drop")).where(F.col("_drop").isNull() | F.col("_text").rlike(r"[^\x20\x09-\x0D]"))
     new = {"text": F.col("_text"), "n_chars": F.when(F.col("_drop").isNull(), F.col("_row.n_chars")).otherwise(F.length("_text")).cast("long") if "n_chars" in docs.columns else None}
     return done.select(*(new[c].alias(c) if c in new else F.col(f"_row.`{c}`") for c in docs.columns))

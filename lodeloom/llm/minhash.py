@@ -26,8 +26,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 28, 5
 #: Texts in a bucket of which all pairs are made at most.
 SMALL = 32
-#: Shingles of a block of crowded texts, about, and columns of a product of blocks.
-BLOCK, COLUMNS = 1 << 16, 1 << 13
+#: Shingles and texts of a block of crowded texts, about, and columns of a product of blocks.
+BLOCK, BLOCK_TEXTS, COLUMNS = 1 << 18, 1 << 11, 1 << 13
 #: Rounding that a bound on counts may be off by.
 SLACK = 1e-6
 U = np.uint64
@@ -109,14 +109,18 @@ def shingles_of(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.n
     return value[starts], np.diff(np.append(starts, len(value))), which[starts]
 
 
-def node_of(doc_id: Column, text: Column) -> Column:
-    """What stands for a row: its id, or a hash of its text where the id is null."""
-    return F.coalesce(doc_id.cast("long"), F.xxhash64(F.coalesce(text, F.lit(""))))
+def text_keys(docs: DataFrame) -> list[Column]:
+    """digest and home of a row: the MD5 of its text, null being empty, and its id, or a hash of the digest where that is null.
+
+    A text is known by its digest, so that rows may share an id; digest and home tell rows apart but for whole repeats.
+    """
+    digest = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    return [digest.alias("digest"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(digest)).alias("home")]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """node, digest (of the text), n_shingles (with repeats), bands: one row for each row of docs. A text without words has no bands."""
-    schema = "node long, digest string, n_shingles long, bands array<long>"
+    """doc_id, digest (of the text), n_shingles (with repeats), bands: one row for each row of docs. A text without words has no bands."""
+    schema = "doc_id long, digest string, n_shingles long, bands array<long>"
     salt = mix(np.arange(1, BANDS + 1).astype(U) * STEP)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +135,29 @@ def sketches(docs: DataFrame) -> DataFrame:
                 total = np.bincount(which, times, n).astype(np.int64)
                 offsets = np.concatenate([[0], np.cumsum(np.where(total > 0, BANDS, 0))]).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(key[total > 0]).view(np.int64).ravel()))
-                yield pa.RecordBatch.from_arrays([part["node"], part["digest"], pa.array(total), bands], names=["node", "digest", "n_shingles", "bands"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["digest"], pa.array(total), bands], names=["doc_id", "digest", "n_shingles", "bands"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(node_of(F.col("doc_id"), F.col("text").cast("string")).alias("node"), F.md5(text.cast("binary")).alias("digest"), text.alias("text")).mapInArrow(sketch, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_keys(docs)[0], text.alias("text")).mapInArrow(sketch, schema)
+
+
+def distinct_texts(drawn: DataFrame) -> DataFrame:
+    """digest, doc_id (the least with that text), home, n_copies, n_shingles, bands, node, own for each text of sketches.
+
+    node is a number of this run. own is the text's id in results: its doc_id, or a negative hash of the digest where that
+    id is null or stands for another text, which is the one with the lesser digest. held, as node must not be drawn twice.
+    """
+    by_text = drawn.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    texts = held(by_text.withColumn("node", F.monotonically_increasing_id()), "texts")
+    shared = texts.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("first")).where("n > 1").select("doc_id", "first")
+    of_text = -F.xxhash64("digest").bitwiseAND(F.lit(2**63 - 1)) - 1
+    mine = F.coalesce(F.col("first") == F.col("digest"), F.col("doc_id").isNotNull())
+    named = texts.join(shared, "doc_id", "left")
+    return named.withColumn("own", F.when(mine, F.col("doc_id")).otherwise(of_text)).withColumn("home", F.coalesce("doc_id", F.xxhash64("digest"))).drop("first")
 
 
-def unit_sets(docs: DataFrame) -> DataFrame:
-    """node, units for each row of docs(node, text): a hash for each shingle and each of its occurrences, so that the plain Jaccard
+def unit_sets(texts: DataFrame) -> DataFrame:
+    """node, units for each row of texts(node, text): a hash for each shingle and each of its occurrences, so that the plain Jaccard
     similarity of units is the weighted one of shingles."""
 
     def units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,27 +170,43 @@ def unit_sets(docs: DataFrame) -> DataFrame:
                 offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([part["node"], pa.ListArray.from_arrays(offsets, pa.array(unit))], names=["node", "units"])
 
-    return docs.select("node", "text").mapInArrow(units, "node long, units array<long>")
-
-
-def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, text of the rows of docs that stand for one of nodes."""
-    return docs.select(node_of(F.col("doc_id"), F.col("text").cast("string")).alias("node"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(nodes, "node")
+    return texts.select("node", "text").mapInArrow(units, "node long, units array<long>")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """node, text for each of wanted(node, digest, home): one row of docs with that text and id."""
+    rows = docs.select(*text_keys(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.join(wanted, ["digest", "home"]).dropDuplicates(["digest", "home"]).select("node", "text")
+
+
+def in_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many units each set of a shares with each of b, by products of matrices over the units that stand on both sides."""
+    flat, owner = ([np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b)], [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in (a, b)])
+    both = np.intersect1d(*flat)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(both):
+        return out
+    sides = []
+    for f, o in zip(flat, owner, strict=True):
+        at = np.searchsorted(both, f).clip(max=len(both) - 1)
+        hit = np.flatnonzero(both[at] == f)
+        order = hit[np.argsort(at[hit], kind="stable")]
+        sides.append((at[order], o[order]))
+    for low in range(0, len(both), COLUMNS):
+        has = []
+        for (at, o), n in zip(sides, out.shape, strict=True):
+            here = slice(*np.searchsorted(at, [low, low + COLUMNS]))
+            has.append(np.zeros((n, min(COLUMNS, len(both) - low)), np.float32))
+            has[-1][o[here], at[here] - low] = 1
+        out += has[0] @ has[1].T
+    return out
 
 
 def crossed(longer: list[np.ndarray], shorter: list[np.ndarray], ids: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Links of each text, those of longer first, and a node that it hangs together with; longer and shorter hold
     sets of units, ids their nodes. Each pair counts once: as the greater (size, node) of longer with the lesser of shorter."""
     n, sizes = len(longer), np.array([len(x) for x in [*longer, *shorter]])
-    owner, unit = np.repeat(np.arange(len(sizes)), sizes), np.unique(np.concatenate([*longer, *shorter]), return_inverse=True)[1]
-    order = np.argsort(unit, kind="stable")
-    owner, unit = owner[order], unit[order]
-    common = np.zeros((n, len(sizes) - n), np.float32)
-    for low in range(0, int(unit[-1]) + 1 if len(unit) else 0, COLUMNS):
-        here = slice(*np.searchsorted(unit, [low, low + COLUMNS]))
-        has = np.zeros((len(sizes), COLUMNS), np.float32)
-        has[owner[here], unit[here] - low] = 1
-        common += has[:n] @ has[n:].T
+    common = in_common(longer, shorter)
     a, b = sizes[:n, None], sizes[None, n:]
     linked = common >= similarity * (a + b - common.astype(np.float64))
     linked &= (a > b) | ((a == b) & (ids[:n, None] > ids[None, n:]))
@@ -186,93 +221,125 @@ def crossed(longer: list[np.ndarray], shorter: list[np.ndarray], ids: np.ndarray
     return np.bincount(x, minlength=len(sizes)) + np.bincount(y, minlength=len(sizes)), known[head[place]]
 
 
-def crowd_links(docs: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
+def lists_of(array: pa.Array) -> list[np.ndarray]:
+    ends = np.cumsum(pc.list_value_length(array).to_numpy(zero_copy_only=False))
+    return np.split(pc.list_flatten(array).to_numpy(zero_copy_only=False), ends[:-1]) if len(array) else []
+
+
+def linked_between(longer: pa.StructArray, shorter: pa.StructArray, similarity: float) -> pa.RecordBatch:
+    """crossed for the members of two blocks that share a unit of their prefixes, the whole one of longer and the short one of shorter."""
+    ahead, after = lists_of(longer.field("prefix")), [p[:n] for p, n in zip(lists_of(shorter.field("prefix")), shorter.field("short_n").to_pylist(), strict=True)]
+    meet = np.intersect1d(np.concatenate(ahead), np.concatenate(after))
+    x, y = ([i for i, p in enumerate(side) if np.isin(p, meet).any()] for side in (ahead, after))
+    longer, shorter = longer.take(pa.array(x, pa.int64())), shorter.take(pa.array(y, pa.int64()))
+    ids = np.concatenate([longer.field("node").to_numpy(), shorter.field("node").to_numpy()])
+    links, other = crossed(lists_of(longer.field("units")), lists_of(shorter.field("units")), ids, similarity)
+    some = links > 0
+    return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(other[some]), pa.array(links[some].astype(np.int64))], names=["node", "other", "n_links"])
+
+
+def crowd_links(docs: DataFrame, texts: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
     """node, other, n_links for texts of crowded(node, n_shingles, band, key, n), the members of crowded buckets.
 
     The sum of n_links over a node's rows is the number of all crowded texts it is linked to; other hangs together with node by links.
 
     Exact, by prefixes: with units in one order, rare ones first, the first common unit of two texts linked lies within the first
     n - similarity * n + 1 units of the larger and the first n - 2 * similarity / (1 + similarity) * n + 1 of the smaller, so that
-    what a whole family shares is met only by texts that are alike. Texts are dealt to blocks by their largest bucket; under a unit
-    a text meets blocks and not texts, and two blocks' texts that met are compared by a product of matrices. Only
-    numbers of links and a link to hang by leave it, so that a crowd of n texts makes about n * n / (texts in a block) rows.
+    what a whole family shares is met only by texts that are alike. Texts are dealt to blocks by their family's largest bucket. A unit joins
+    blocks and not texts, so that B blocks that share it make B * B rows; the texts of two blocks that met are compared
+    in one task by a product of matrices, and only numbers of links and a link to hang by leave it.
     """
-    home = held(crowded.groupBy("node", "n_shingles").agg(F.max(F.struct("n", "band", "key")).alias("crowd")), "crowd-homes")
-    parts = home.groupBy("crowd").agg(F.ceil(F.sum("n_shingles") / BLOCK).alias("parts"))
-    blocks = held(home.join(parts, "crowd").select("node", F.xxhash64("crowd.band", "crowd.key", F.pmod(F.xxhash64("node"), "parts")).alias("block")), "crowd-blocks")
-    sets = held(unit_sets(texts_of(docs, blocks.select("node"))).dropDuplicates(["node"]).join(blocks, "node"), "crowd-sets")
+    home = crowded.groupBy("node", "n_shingles").agg(F.max(F.struct("n", "band", "key")).alias("crowd"))
+    for _ in range(2):  # a family's buckets share texts; its texts go to the largest of them
+        home = held(home, "crowd-homes")
+        larger = crowded.join(home.select("node", "crowd"), "node").groupBy("band", "key").agg(F.max("crowd").alias("larger"))
+        home = home.join(larger, (F.col("crowd.band") == F.col("band")) & (F.col("crowd.key") == F.col("key"))).select("node", "n_shingles", F.col("larger").alias("crowd"))
+    home = held(home, "crowd-homes")
+    parts = home.groupBy("crowd").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("parts"))
+    dealt = home.join(parts, "crowd").select("node", F.xxhash64("crowd.band", "crowd.key", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
+    blocks = held(dealt.join(texts.select("node", "digest", F.col("home")), "node"), "crowd-blocks")
+    sets = held(unit_sets(texts_of(docs, blocks.select("node", "digest", "home"))).join(blocks.select("node", "block"), "node"), "crowd-sets")
 
     units = sets.select("node", "block", F.size("units").alias("size"), F.explode("units").alias("unit"))
     shared = held(units.groupBy("unit").agg(F.count("*").alias("times")).where("times > 1"), "crowd-units")
     ranked = units.join(shared, "unit").groupBy("node", "block", "size").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("all"))
     # Units of one text only come first; they take places and meet nothing.
-    placed = ranked.select("node", "block", "size", (F.col("size") - F.size("all")).alias("alone"), F.posexplode("all").alias("at", "u"))
-    reach = lambda share: F.col("size") - F.ceil(F.col("size") * share - SLACK)
-    at = F.col("alone") + F.col("at")
-    prefix = held(placed.where(at <= reach(similarity)).select("node", "block", F.col("u.unit").alias("unit"), (at <= reach(2 * similarity / (1 + similarity))).alias("shorter")), "crowd-prefixes")
-    short = prefix.where("shorter")
-    to_short = prefix.select("unit", "node", F.col("block").alias("x")).join(short.select("unit", F.col("block").alias("y")).distinct(), "unit").select("x", "y", "node", F.lit(False).alias("shorter")).distinct()
-    to_long = short.select("unit", "node", F.col("block").alias("y")).join(prefix.select("unit", F.col("block").alias("x")).distinct(), "unit").select("x", "y", "node", F.lit(True).alias("shorter")).distinct()
-    met = held(to_short.union(to_long), "crowd-met")
-
-    def compare(part: pa.Table) -> pa.Table:
-        part = part.combine_chunks().sort_by("shorter")
-        is_short = part["shorter"].to_numpy()
-        n, ids = len(is_short) - int(is_short.sum()), part["node"].to_numpy()
-        flat, ends = pc.list_flatten(part["units"]).to_numpy(), np.cumsum(pc.list_value_length(part["units"]).to_numpy())
-        sets_of = np.split(flat, ends[:-1])
-        links, other = crossed(sets_of[:n], sets_of[n:], ids, similarity)
-        some = links > 0
-        return pa.table({"node": ids[some], "other": other[some], "n_links": links[some].astype(np.int64)})
-
-    return met.join(sets.select("node", "units"), "node").select("x", "y", "node", "shorter", "units").groupBy("x", "y").applyInArrow(compare, "node long, other long, n_links long")
-
+    within = lambda share: F.greatest(F.lit(0), F.size("all") + 1 - F.ceil(F.col("size") * share - SLACK)).cast("int")
+    cut = ranked.select("node", "block", F.transform(F.slice("all", F.lit(1), within(similarity)), lambda u: u["unit"]).alias("prefix"), within(2 * similarity / (1 + similarity)).alias("short_n"))
+    prefixes = held(cut, "crowd-prefixes")
+    at = prefixes.select("block", "short_n", F.posexplode("prefix").alias("pos", "unit")).groupBy("unit", "block").agg(F.max(F.col("pos") < F.col("short_n")).alias("short"))
+    at = held(at, "crowd-units-at")
+    met = at.select("unit", F.col("block").alias("x")).join(at.where("short").select("unit", F.col("block").alias("y")), "unit").select("x", "y").distinct()
+    whole = held(sets.join(prefixes.drop("block"), "node").groupBy("block").agg(F.collect_list(F.struct("node", "units", "prefix", "short_n")).alias("members")), "crowd-members")  # of bounded size
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield linked_between(batch["longer"][i].values, batch["shorter"][i].values, similarity)
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Class of every row of docs: node, doc_id, class_id, n_copies (rows with its text), n_links (verified links of its text).
+    both = held(met, "crowd-met").join(whole.select(F.col("block").alias("x"), F.col("members").alias("longer")), "x").join(whole.select(F.col("block").alias("y"), F.col("members").alias("shorter")), "y")
+    return both.select("longer", "shorter").mapInArrow(compare, "node long, other long, n_links long")
 
-    Equal texts are one; texts whose weighted five-word shingles have a Jaccard similarity of at least similarity are linked; a class
-    is a component of these, and its id the least id in it. Rows that share a doc_id share a class; a null doc_id is stood
-    for by a hash of the text; null texts count as empty, and all empty texts are copies of one another; other columns are
-    ignored; an empty table gives no rows.
 
-    In buckets of SMALL texts at most all pairs are made and verified on whole shingle sets. Texts of larger buckets are joined among
-    themselves by crowd_links, which finds all links between them.
-    """
+def classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """The sketches of docs, and digest, home, own, n_copies, n_links, class_id of each text."""
     drawn = held(sketches(docs), "sketches")
-    copies = held(drawn.groupBy("digest").agg(F.min("node").alias("node"), F.count("*").alias("n_copies")), "copies")
-    texts = held(drawn.join(copies, ["digest", "node"]).groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "texts")
+    texts = held(distinct_texts(drawn), "named-texts")
 
     placed = texts.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = held(placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = held(placed.join(buckets, ["band", "key"]), "bucket-members")
     crowded = met.where(F.col("n") > SMALL)
-    crowds = held(crowd_links(docs, crowded, similarity), "crowd-links")
+    crowds = held(crowd_links(docs, texts, crowded, similarity), "crowd-links")
     in_crowd = crowded.select("node").distinct().withColumn("in_crowd", F.lit(True))
     few = met.where(F.col("n") <= SMALL).join(in_crowd, "node", "left")
-    groups = few.groupBy("band", "key").agg(F.collect_list(F.struct("node", "n_shingles", F.coalesce("in_crowd", F.lit(False)).alias("in_crowd"))).alias("all"))  # SMALL texts each at most
-    each = groups.select("all", F.explode("all").alias("x")).select("x.*", F.explode("all").alias("p")).where("node > p.node and not (in_crowd and p.in_crowd)").select("node", "n_shingles", F.col("p.node").alias("other"), F.col("p.n_shingles").alias("n_other"))
+    member = F.struct("node", "n_shingles", F.coalesce("in_crowd", F.lit(False)).alias("in_crowd"))
+    groups = few.groupBy("band", "key").agg(F.collect_list(member).alias("all"))  # SMALL texts each at most
+    each = groups.select("all", F.explode("all").alias("x")).select("x.*", F.explode("all").alias("p"))
+    each = each.where("node > p.node and not (in_crowd and p.in_crowd)").select("node", "n_shingles", F.col("p.node").alias("other"), F.col("p.n_shingles").alias("n_other"))
     alike = F.least("n_shingles", "n_other") >= similarity * F.greatest("n_shingles", "n_other")
     pairs = held(each.where(alike).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
 
-    wanted = held(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
-    chosen = texts_of(docs, wanted)
-    sets = held(unit_sets(chosen).dropDuplicates(["node"]), "unit-sets")
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = held(wanted.join(texts.select("node", "digest", "home"), "node"), "wanted")
+    sets = held(unit_sets(texts_of(docs, wanted)), "unit-sets")
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("units").alias("units_a")), "a")
     with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("units").alias("units_b")), "b")
     common = F.size(F.array_intersect("units_a", "units_b"))
     links = held(with_both.where(common >= similarity * (F.size("units_a") + F.size("units_b") - common)).select("a", "b"), "near-links")
 
-    found = held(components(links.union(crowds.select("node", "other"))), "near-classes")
+    found = components(links.union(crowds.select("node", "other"))).withColumnRenamed("class_id", "label")
+    named = held(found.join(texts.select("node", "own"), "node"), "near-classes")
+    first = named.groupBy("label").agg(F.min(F.struct((F.col("own") < 0).alias("late"), "own"))["own"].alias("class_id"))
     ends = links.select(F.col("a").alias("node"), F.lit(1).cast("long").alias("n_links")).union(links.select("b", F.lit(1).cast("long")))
     degree = ends.union(crowds.select("node", "n_links")).groupBy("node").agg(F.sum("n_links").alias("n_links"))
-    classes = copies.join(found, "node", "left").join(degree, "node", "left")
-    by_text = held(classes.select("digest", "n_copies", F.coalesce("class_id", "node").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "text-classes")
-    return drawn.select("node", "digest").join(by_text, "digest").select("node", "class_id", "n_copies", "n_links")
+    classes = texts.join(named.join(first, "label").select("node", "class_id"), "node", "left").join(degree, "node", "left")
+    by_text = classes.select("digest", "home", "own", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("class_id", "own").alias("class_id"))
+    return drawn, held(by_text, "text-classes")
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Class of every row of docs: doc_id, class_id, n_copies (rows with its text), n_links (verified links of its text).
+
+    Equal texts are one; texts whose weighted five-word shingles have a Jaccard similarity of at least similarity are linked; a class
+    is a component of these. class_id is the least doc_id in it that isn't null; where several texts share an id, it stands
+    for the one of least digest, and the others count as without id. A class without any id has a negative hash as
+    class_id, so that no two classes share one. Null texts count as empty, and all empty texts are copies of one another;
+    other columns are ignored; an empty table gives no rows.
+
+    In buckets of SMALL texts at most all pairs are made and verified on whole shingle sets. Texts of larger buckets are joined among
+    themselves by crowd_links, which finds all links between them.
+    """
+    drawn, by_text = classified(docs, similarity)
+    return drawn.select("doc_id", "digest").join(by_text, "digest").select("doc_id", "class_id", "n_copies", "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs without all but one document of each class of near-duplicates, the one with the least id; all columns stay."""
-    gone = near_duplicates(docs, similarity).where("node <> class_id").select(F.col("node").alias("_node")).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), node_of(F.col("doc_id"), F.col("text").cast("string")).alias("_node"))
-    return rows.join(held(gone, "gone"), "_node", "left_anti").dropDuplicates(["_node"]).select("_row.*")
+    """One row of docs for each class of near-duplicates: that of its class_id, with all its columns.
+
+    Where rows repeat both id and text, one of them stays. Rows that share an id but are not alike all stay.
+    """
+    _, by_text = classified(docs, similarity)
+    stay = held(by_text.where("own = class_id").select("digest", "home"), "stay")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), *text_keys(docs))
+    return rows.join(stay, ["digest", "home"]).dropDuplicates(["digest", "home"]).select("_row.*")

@@ -25,11 +25,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_classes(table(spark, sf_dir, "documents")).withColumnsRenamed({"node": "doc_id", "class_node": "class_doc_id"})
+    return line_classes(table(spark, sf_dir, "documents"))
 
 
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("node", "doc_id")
+    return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -55,7 +55,7 @@ def test_classes_and_links_against_all_pairs(spark, threshold):
             break
         head = new
     rows = m.line_classes(docs, threshold).collect()
-    assert {(r.node, r.line_no): ((r.class_node, r.class_line), r.n_links, r.kept) for r in rows} == {k: (head[s], len(near.get(s, ())), head[s] == k) for k, s in place.items()}
+    assert {(r.doc_id, r.line_no): ((r.class_doc_id, r.class_line), r.n_links, r.kept) for r in rows} == {k: (head[s], len(near.get(s, ())), head[s] == k) for k, s in place.items()}
 
 
 def test_stage_keeps_first_lines_and_columns(odd_docs, no_docs):
@@ -69,7 +69,19 @@ def test_stage_keeps_first_lines_and_columns(odd_docs, no_docs):
 
 def test_copies_of_short_lines(spark):
     docs = spark.createDataFrame([(1, "Read more\nx\nRead mora"), (2, "Read more\ny"), (3, "z\nRead more"), (4, "Read more")], "doc_id long, text string")
-    rows = {(r.node, r.line_no): (r.copies, r.n_links, r.class_node, r.class_line, r.kept) for r in m.line_classes(docs).collect()}
+    rows = {(r.doc_id, r.line_no): (r.copies, r.n_links, r.class_doc_id, r.class_line, r.kept) for r in m.line_classes(docs).collect()}
     alone = {k: (1, 0, *k, True) for k in ((1, 1), (1, 2), (2, 1), (3, 0))}
     assert rows == alone | {k: (4, 0, 1, 0, k == (1, 0)) for k in ((1, 0), (2, 0), (3, 1), (4, 0))}
     assert {r.doc_id: r.text for r in m.without_repeated_lines(docs).collect()} == {1: "Read more\nx\nRead mora", 2: "y", 3: "z"}
+
+
+def test_rows_that_share_an_id_keep_their_own_lines(spark):
+    again = "this line stands in many documents"
+    rows = [(3, again), (5, again), (5, "only this one has this line"), (5, "only this one has this line"), (None, f"{again}\nand its tail"), (6, ""), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = m.line_classes(docs).collect()
+    assert len(got) == 6 and {r.copies for r in got if r.n_chars == len(again)} == {3}
+    assert len({(r.class_doc_id, r.class_version, r.class_line) for r in got}) == 3
+    kept = sorted(map(tuple, m.without_repeated_lines(docs).collect()), key=repr)
+    want = {(3, again), (5, "only this one has this line"), (6, ""), (7, None)}
+    assert {k for k in kept if k[0] is not None} in (want, want - {(3, again)}) and len(kept) in (4, 5)
