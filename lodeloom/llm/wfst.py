@@ -1,23 +1,27 @@
 """SentencePiece encoding and decoding as shortest paths through a weighted finite-state transducer.
 
-Three machines are compiled from a model file: the normaliser (dummy prefix, escaped spaces), the lexicon (a trie of pieces
-whose arcs weigh minus the piece's score), and byte fallback for characters that no piece spells. Composed with an input they
-make a lattice over (position, last piece), and the tropical-semiring shortest path through it is the encoding.
+Machines are compiled from a model file: the normaliser (the model's character map, dummy prefix, escaped spaces), the lexicon (an
+automaton of pieces whose arcs weigh minus the piece's score), and byte fallback for characters that no piece spells. They
+are composed with an input lazily: the normaliser rewrites it, the lexicon's arcs over the rewritten text make a lattice, and
+the path of least weight through it in the tropical semiring (weights along a path add up, of paths the least counts) is the encoding.
 
 A unigram model's encoding is that path as it is. A byte-pair model merges in order of rank instead, and a sequence of pieces is
-its result just if every piece is what merging makes of its letters and no two neighbours would merge otherwise when
-together; for these models an arc from one piece to another exists only then, which leaves the right path alone.
+its result just if every piece is what merging makes of its letters and no two neighbours would merge otherwise when together.
+For these models an acceptor of such neighbours is composed with the lattice. What merging makes of each beginning of a text is
+unique, so the composed machine has one live state at each position, as that of a unigram model has, which needs no memory of the last piece.
 """
 
 from __future__ import annotations
 
 import functools
+import heapq
 import re
 import struct
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -60,6 +64,63 @@ def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+class CharacterMap:
+    """A model's precompiled character map: the longest key that stands at a position gives way to its value.
+
+    Keys are in a double array of bytes: a unit has a label, an offset to its children, and a mark that a value follows.
+    """
+
+    def __init__(self, raw: bytes):
+        size = struct.unpack("<I", raw[:4])[0]
+        self.units, self.values = np.frombuffer(raw[4 : 4 + size], "<u4").tolist(), raw[4 + size :]
+        self.begins: dict[str, bool] = {}
+
+    def longest(self, raw: bytes, at: int) -> tuple[int, str] | None:
+        """Where the longest key that begins at a byte ends, and its value."""
+        units, found, node = self.units, None, 0
+        offset = lambda unit: unit >> 10 << ((unit & 1 << 9) >> 6)
+        node ^= offset(units[0])
+        for end in range(at, len(raw)):
+            node ^= raw[end]
+            if node >= len(units) or units[node] & 0x800000FF != raw[end]:
+                break
+            unit = units[node]
+            node ^= offset(unit)
+            if unit >> 8 & 1:
+                value = units[node] & 0x7FFFFFFF
+                found = end + 1, self.values[value : self.values.index(b"\0", value)].decode()
+        return found
+
+    def begins_key(self, c: str) -> bool:
+        """Whether the character's first bytes lead anywhere, so that a key may begin with it."""
+        known = self.begins.get(c)
+        if known is None:
+            known = self.begins[c] = self.leads(c.encode())
+        return known
+
+    def leads(self, raw: bytes) -> bool:
+        units, node = self.units, 0
+        unit = units[0]
+        for b in raw:
+            node ^= unit >> 10 << ((unit & 1 << 9) >> 6) ^ b
+            if node >= len(units) or units[node] & 0x800000FF != b:
+                return False
+            unit = units[node]
+        return True
+
+    def rewrite(self, text: str) -> str:
+        if not any(map(self.begins_key, set(text))):
+            return text
+        raw, out, at = text.encode(), [], 0
+        while at < len(raw):
+            size = 1 if raw[at] < 0x80 else 2 if raw[at] < 0xE0 else 3 if raw[at] < 0xF0 else 4
+            found = self.longest(raw, at)
+            end, new = found or (at + size, raw[at : at + size].decode())
+            out.append(new)
+            at = end
+        return "".join(out)
+
+
 class Transducer:
     """Normaliser, lexicon and byte fallback of one model file."""
 
@@ -69,8 +130,7 @@ class Transducer:
         pieces = [dict(fields(v)) for n, v in model if n == 1]
         trainer = dict(fields(next((v for n, v in model if n == 2), b"")))
         rules = dict(fields(next((v for n, v in model if n == 3), b"")))
-        if rules.get(2):
-            raise ValueError("models with a precompiled character map are not supported")
+        self.map = CharacterMap(rules[2]) if rules.get(2) else None
         self.kind, self.prefix, self.squeeze, self.escape = trainer.get(3, UNIGRAM), bool(rules.get(3, 1)), bool(rules.get(4, 1)), bool(rules.get(5, 1))
         if self.kind not in (UNIGRAM, BPE):
             raise ValueError("neither a unigram nor a byte-pair model")
@@ -82,16 +142,10 @@ class Transducer:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.unknown = next((i for i, k in enumerate(self.type) if k == UNKNOWN), 0)
         self.worst = min((self.score[i] for i in self.id_of.values()), default=0.0)
+        self.rank = {t: self.score[i] for t, i in self.id_of.items()}
         self.fits: dict[str, dict[str, bool]] = {}
         self.memo: dict[str, bytes] = {}
-        self.trie: dict = {}
-        for t, i in self.id_of.items():
-            if self.kind == BPE and self.merged(t) != [t]:
-                continue  # merging never makes it
-            node = self.trie
-            for c in t:
-                node = node.setdefault(c, {})
-            node[""] = -self.score[i]
+        self.lexicon = self.compiled({t: -w for t, w in self.rank.items() if self.kind != BPE or self.merged(t) == [t]})
         # an input can be cut between two characters that no piece has side by side; the cuts hold for every path
         inside = {t[i : i + 2] for t in self.id_of for i in range(len(t) - 1)}
         self.inside = frozenset(inside)
@@ -101,7 +155,18 @@ class Transducer:
         shown = [t.replace(SPACE, " ").encode() for t in self.text]
         self.shown = [bytes([self.byte_of[i]]) if k == BYTE else " ⁇ ".encode() if k == UNKNOWN else b"" if k == CONTROL else shown[i] for i, k in enumerate(self.type)]
 
+    def compiled(self, weights: dict[str, float]) -> ahocorasick.Automaton:
+        """The lexicon: an automaton that follows all pieces in a text at once; each arc has its piece, length and weight."""
+        self.singles = frozenset(t for t in weights if len(t) == 1)
+        lexicon = ahocorasick.Automaton()
+        for t, w in weights.items():
+            lexicon.add_word(t, (t, len(t), w))
+        lexicon.make_automaton()
+        return lexicon
+
     def normalise(self, text: str) -> str:
+        if self.map:
+            text = self.map.rewrite(text)
         if self.squeeze:
             text = re.sub(" +", " ", text.strip(" "))
         if not text:
@@ -112,13 +177,16 @@ class Transducer:
 
     def merged(self, letters: str) -> list[str]:
         """What merging makes of a short string: always the neighbours whose union has the best score, leftmost first."""
-        parts = list(letters)
+        parts, rank = list(letters), self.rank
         while len(parts) > 1:
-            best = max(range(len(parts) - 1), key=lambda i: (self.score[j] if (j := self.id_of.get(parts[i] + parts[i + 1])) is not None else -np.inf, -i))
-            union = parts[best] + parts[best + 1]
-            if union not in self.id_of:
+            best, where = -np.inf, -1
+            for i in range(len(parts) - 1):
+                score = rank.get(parts[i] + parts[i + 1])
+                if score is not None and score > best:
+                    best, where = score, i
+            if where < 0:
                 break
-            parts[best : best + 2] = [union]
+            parts[where : where + 2] = [parts[where] + parts[where + 1]]
         return parts
 
     def fit(self, a: str, b: str) -> bool:
@@ -126,77 +194,46 @@ class Transducer:
         union = a + b
         return not a or union[len(a) - 1 : len(a) + 1] not in self.inside or (union not in self.id_of and self.merged(union) == [a, b])
 
-    def shortest_path(self, text: str) -> list[str]:
-        """Pieces along the lightest path from the start of a normalised text to its end.
-
-        A state is a position; for byte-pair models see only_path.
-        """
-        if self.kind == BPE:
-            return self.only_path(text)
-        size = len(text)
-        states: list[dict[str, tuple[float, str, str, int]]] = [{} for _ in range(size + 1)]
-        states[0][""] = (0.0, "", "", -1)
+    def arcs(self, text: str) -> Iterable[tuple[int, tuple[str, int, float]]]:
+        """Arcs of the lattice over a text as (last position, (piece, length, weight)), in order of position; those of
+        characters that no piece spells lead to the byte fallback."""
+        found = self.lexicon.iter(text)
+        if self.singles.issuperset(text):
+            return found
         alone = UNKNOWN_PENALTY - self.worst
-        for at, here in enumerate(states[:-1]):
-            if not here:
-                continue
-            node, end = self.trie, at
-            while end < size:
-                node = node.get(text[end]) if node is not None else None
-                end += 1
-                weight = node.get("") if node is not None else None
-                if weight is None:
-                    if end > at + 1:
-                        if node is None:
-                            break
-                        continue
-                    weight = alone  # a character that no piece spells
-                piece, to = text[at:end], states[end]
-                for last, way in here.items():
-                    cost = way[0] + weight
-                    if "" not in to or cost < to[""][0]:
-                        to[""] = (cost, piece, last, at)
-                if node is None:
-                    break
-        out, at = [], len(text)
-        name = min(states[at], key=lambda s: states[at][s][0])
-        while at:
-            _, piece, name, at = states[at][name]
-            out.append(piece)
-        return out[::-1]
+        return heapq.merge(found, [(i, (c, 1, alone)) for i, c in enumerate(text) if c not in self.singles], key=lambda arc: arc[0])
 
-    def only_path(self, text: str) -> list[str]:
-        """The lightest path for a byte-pair model, whose states are a position and the piece that led there.
+    def shortest_path(self, text: str) -> list[str]:
+        """Pieces along the lightest path from the start of a normalised text to its end, by the tropical semiring.
 
-        What merging makes of a text is unique, and so is what it makes of each of its beginnings. So one state of each
-        position has arcs that lead to it, and the first piece that arrives is also the lightest.
+        A state is a position, with the piece that led there if the model merges, as the acceptor then asks for it. Arcs come
+        in order of their ends, so that a state's weight is final before an arc leaves it.
         """
-        size, trie, fits, fit = len(text), self.trie, self.fits, self.fit
-        led: list[str | None] = ["", *[None] * size]
-        for at in range(size):
-            last = led[at]
-            if last is None:
-                continue
-            node, end, known = trie, at, fits.setdefault(last, {})
-            while end < size:
-                node = node.get(text[end])
-                end += 1
-                if node is None or "" not in node:
-                    if end == at + 1 and led[end] is None and fit(last, text[at]):  # a character that no piece spells
-                        led[end] = text[at]
-                    if node is None:
-                        break
-                elif led[end] is None:
-                    piece = text[at:end]
+        size, far = len(text), float("inf")
+        weight, piece_to = [0.0, *[far] * size], ["", *[""] * size]
+        if self.kind == BPE:
+            fits, fit = self.fits, self.fit
+            after = [fits.setdefault("", {}), *[fits] * size]  # what the acceptor knows of each state's piece
+            for last, (piece, length, w) in self.arcs(text):
+                at = last + 1 - length
+                through = weight[at] + w
+                if through < weight[last + 1]:
+                    known = after[at]
                     fitting = known.get(piece)
                     if fitting is None:
-                        fitting = known[piece] = fit(last, piece)
+                        fitting = known[piece] = fit(piece_to[at], piece)
                     if fitting:
-                        led[end] = piece
+                        weight[last + 1], piece_to[last + 1] = through, piece
+                        after[last + 1] = fits.get(piece) or fits.setdefault(piece, {})
+        else:
+            for last, (piece, length, w) in self.arcs(text):
+                through = weight[last + 1 - length] + w
+                if through < weight[last + 1]:
+                    weight[last + 1], piece_to[last + 1] = through, piece
         out, at = [], size
         while at:
-            out.append(led[at])
-            at -= len(led[at])
+            out.append(piece_to[at])
+            at -= len(piece_to[at])
         return out[::-1]
 
     def ids_of_piece(self, piece: str) -> list[int]:

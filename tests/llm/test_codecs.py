@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -126,11 +127,57 @@ def test_ids_and_texts_are_the_librarys(spark, sf):
         assert own.decode(np.array(ids, int)) == library.decode(ids)
 
 
-def test_unigram_models_take_the_lightest_path():
-    own = wfst.Transducer(PATH)
-    own.kind = wfst.UNIGRAM
-    own.trie = {"a": {"": 1.0, "b": {"": 1.5, "c": {"": 9.0}}}, "b": {"": 1.0, "c": {"": 2.0}}, "c": {"": 3.0}}
-    assert own.shortest_path("abc") == ["a", "bc"]
+def message(number: int, value: bytes | int | float) -> bytes:
+    """One field of a protocol-buffer message; sizes below 2^28."""
+
+    def varint(n: int) -> bytes:
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+@pytest.fixture(scope="module")
+def unigram(tmp_path_factory):
+    """A unigram model made by hand, with byte fallback and the character map of a public normaliser rule."""
+    rng = random.Random(1)
+    pieces = [("<unk>", 0.0, wfst.UNKNOWN), ("<s>", 0.0, wfst.CONTROL), *((f"<0x{b:02X}>", 0.0, wfst.BYTE) for b in range(256))]
+    words = {"▁", *"abcdeé1カ", *("".join(rng.choice("▁abcde1é") for _ in range(rng.randint(2, 5))) for _ in range(150))}
+    pieces += [(w, -rng.random() * 9 - 1, wfst.NORMAL) for w in sorted(words)]
+    raw = b"".join(message(1, message(1, t.encode()) + message(2, w) + message(3, k)) for t, w, k in pieces)
+    rule = sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()
+    rule = next(v for n, v in wfst.fields(rule) if n == 3)
+    raw += message(2, message(3, wfst.UNIGRAM) + message(35, 1)) + message(3, bytes(rule))
+    path = tmp_path_factory.mktemp("unigram") / "unigram.model"
+    path.write_bytes(raw)
+    return str(path)
+
+
+def test_unigram_models_take_the_lightest_path_after_their_character_map(unigram):
+    own, library, rng = wfst.Transducer(unigram), sentencepiece.SentencePieceProcessor(model_file=unigram), random.Random(2)
+    odd = ["", "  ", "Ａｂ①  ﬁx ｱﾞ é", "e\u0301a \u00a0b", "カ\u3099\tab\n\x00 c", "😀 a\u200bb", "a" * 40]
+    odd += ["".join(rng.choice("abcde1é ") for _ in range(rng.randint(0, 50))) for _ in range(500)]
+    for text in odd:
+        got, ids = own.encode(text).tolist(), library.encode(text)
+        assert own.normalise(text) == library.normalize(text)
+        weight = lambda x: sum(own.score[i] for i in x)
+        assert got == ids or abs(weight(got) - weight(ids)) < 1e-4  # paths of equal weight
+
+
+def test_lightest_paths_against_all_segmentations(unigram):
+    own, rng = wfst.Transducer(unigram), random.Random(3)
+
+    def every(text):
+        if not text:
+            yield 0.0
+        for n in range(1, len(text) + 1):
+            if text[:n] in own.rank:
+                yield from (w - own.rank[text[:n]] for w in every(text[n:]))
+
+    for _ in range(200):
+        text = "".join(rng.choice("▁abcde1é") for _ in range(rng.randint(1, 9)))
+        assert abs(sum(-own.rank[p] for p in own.shortest_path(text)) - min(every(text))) < 1e-9
 
 
 def test_piece_rows(odd_docs, no_docs):
