@@ -1,14 +1,17 @@
 """Personal data in text, also behind light disguises, with offsets into the untouched source.
 
-Plain identifiers are found by four patterns in the source itself. Then transducers rewrite the text (look-alike
-letters, invisible characters, spelled digits, at/dot disguises), the same patterns run over the rewritten text, and each
-find is carried back through the recorded alignment to the source characters it came from.
+Plain identifiers are found by four patterns in the source itself. Then three transducers rewrite the text one after another
+(look-alike letters and invisible characters, spelled digits, at/dot disguises). Each tells which characters it replaces
+by what, and their alignments are composed. The same patterns run over the rewritten text, and each find is carried
+back through the composed alignment to the source characters it came from.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +32,7 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
-# Letters of other scripts and forms that look like ASCII ones.
+# Letters of other scripts and signs that look like ASCII ones.
 LOOK_ALIKES = {
     "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "м": "m", "н": "h", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "т": "t", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y",
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y",
@@ -47,28 +50,51 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
-LETTERS = LOOK_ALIKES | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {chr(0x1D7CE + i): str(i % 10) for i in range(50)} | dict.fromkeys(UNSEEN, "")
-ODD_LETTER = re.compile("[" + "".join(map(re.escape, LETTERS)) + "]")
+#: Kinds of Unicode's compatibility forms that are the same letter in another dress: mathematical letters, full-width ones, ringed ones.
+DRESSES = ("<font>", "<wide>", "<narrow>", "<circle>", "<square>")
+
+
+@functools.cache
+def plain_letter(c: str) -> str | None:
+    """What a character stands for: an ASCII one, nothing if it is invisible, or None if it stands for itself.
+
+    Decimal digits of all scripts and dressed letters come from Unicode's own tables.
+    """
+    if c in UNSEEN:
+        return ""
+    if c in LOOK_ALIKES:
+        return LOOK_ALIKES[c]
+    digit = unicodedata.decimal(c, None)
+    if digit is not None:
+        return str(digit)
+    kind, _, form = unicodedata.decomposition(c).partition(" ")
+    if kind in DRESSES and " " not in form:
+        letter = chr(int(form, 16))
+        return letter if letter.isascii() else LOOK_ALIKES.get(letter)
+    return None
+
 
 _WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-#: A run of spelled digits (or digits among them), four at least; "plus" may lead, and "dot" or "point" parts it.
-SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[ -]+)?(?:{_WORDS}|[0-9]++)(?:(?:[ ]*,[ ]*|[ ]?-[ ]?|[ ]+)(?:dot[ ]+|point[ ]+)?(?:{_WORDS}|[0-9]++)){{3,}}(?![^\W_])")
-SPELLED_PART = re.compile(rf"(?i){_WORDS}|[0-9]+|plus|dot|point|[ ,-]+")
+_ONE = rf"(?:(?:double|triple)[ ]+)?(?:{_WORDS}|[0-9]++)"
+#: A run of spelled digits (or digits among them), three words at least; "plus" may lead, "dot" or "point" parts it, "double" and "triple" repeat the digit after them.
+SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[ -]+)?{_ONE}(?:(?:[ ]*,[ ]*|[ ]?-[ ]?|[ ]+)(?:dot[ ]+|point[ ]+)?{_ONE}){{2,}}(?![^\W_])")
+SPELLED_PART = re.compile(rf"(?i)(?P<times>double|triple)[ ]+(?P<one>{_WORDS}|[0-9](?![0-9]))|double|triple|{_WORDS}|[0-9]+|plus|dot|point|[ ,-]+")
+#: Digits that a run must spell or show at least.
+LEAST_DIGITS = 4
 #: A text without any of these words has no run of spelled digits; an article alone makes none.
 TELLTALE = frozenset(DIGIT_WORDS) - {"un", "oh", "null"}
 
-_AT = r"[ ]*(?:\((?:at|@)\)|\[(?:at|@)\]|\{(?:at|@)\}|<(?:at|@)>)[ ]*|[ ]+at[ ]+|[ ]+@[ ]+|[ ]*@[ ]+|[ ]+@[ ]*"
 _DOT = r"[ ]*(?:\((?:dot|\.)\)|\[(?:dot|\.)\]|\{(?:dot|\.)\}|<(?:dot|\.)>)[ ]*|[ ]+dot[ ]+"
 _NAME = r"[A-Za-z0-9-]+"
-#: An address whose "@" or dots are disguised. A spelled " at " counts only where a dot of the domain is disguised as well.
-DISGUISED = re.compile(rf"(?i)(?P<local>(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+(?:(?:{_DOT})[A-Za-z0-9_%+-]+)*)(?P<at>{_AT}|@)(?P<domain>{_NAME}(?:(?:{_DOT}|\.){_NAME})+)")
-AT_MARK = re.compile(r"(?i)[(\[{<](?:at|@)[)\]}>]|[ ]at[ ]|[ ]@|@[ ]|@[A-Za-z0-9.-]+[ ]*(?:[(\[{<](?:dot|\.)[)\]}>]|[ ]dot[ ])")
+#: Where an address may have its "@": in brackets, as a word, or as it is.
+AT_MARK = re.compile(r"(?i)\((?:at|@)\)|\[(?:at|@)\]|\{(?:at|@)\}|<(?:at|@)>|(?<= )at(?= )|@")
+DOMAIN_AFTER = re.compile(rf"(?i){_NAME}+(?:(?:{_DOT}|\.){_NAME}+)++")
 DOT_MARK = re.compile(rf"(?i){_DOT}")
 #: A text without any of these, in lower case, has no disguised mark.
 DISGUISES = [f"{a}{mark}{b}" for mark in ("at", "@", "dot", ".") for a, b in ("()", "[]", "{}", "<>")] + [" dot ", " @", "@ "]
 IP_DISGUISED = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])")
-#: How far around a mark the rewriting of addresses looks; the domain and local parts are cut at other characters anyway.
-REACH = 320
+#: Dots in brackets, as they stand before the rest of a local part.
+BRACKETED = tuple(f"{a}{mark}{b}" for mark in ("dot", ".") for a, b in ("()", "[]", "{}", "<>"))
 
 
 @dataclass(frozen=True)
@@ -162,47 +188,92 @@ def clear_of(spans: list[tuple], taken: list[tuple[int, int]]) -> list[tuple]:
 
 
 def letter_edits(text: str) -> list[tuple[int, int, str]]:
-    return [(m.start(), m.end(), LETTERS[m[0]]) for m in ODD_LETTER.finditer(text)] if not text.isascii() else []
+    """Look-alikes, dressed letters and digits of other scripts become ASCII ones; invisible characters go."""
+    if text.isascii():
+        return []
+    odd = [c for c in set(text) if not c.isascii() and plain_letter(c) is not None]
+    if not odd:
+        return []
+    return [(m.start(), m.end(), plain_letter(m[0])) for m in re.finditer(f"[{re.escape(''.join(odd))}]", text)]
 
 
 def spelled_edits(text: str) -> list[tuple[int, int, str]]:
-    """Spelled digits become digits where four stand in a row; what parts them goes, but for "dot"."""
+    """Spelled digits become digits where LEAST_DIGITS stand in a row; what parts them goes, but for "dot"."""
     edits: list[tuple[int, int, str]] = []
     if TELLTALE.isdisjoint(text.lower().replace(",", " ").replace("-", " ").split()):
         return edits
     for m in SPELLED.finditer(text):
         if not re.search(r"[^\W\d]", m[0]):
             continue
+        own, digits = [], 0
         for p in SPELLED_PART.finditer(text, m.start(), m.end()):
             word = p[0].lower()
-            new = DIGIT_WORDS.get(word) or {"plus": "+", "dot": ".", "point": "."}.get(word)
+            if p["times"]:
+                one = p["one"].lower()
+                new = (2 if p["times"].lower() == "double" else 3) * DIGIT_WORDS.get(one, one)
+            else:
+                new = DIGIT_WORDS.get(word) or {"plus": "+", "dot": ".", "point": "."}.get(word)
+            digits += len(new) if new and new.isdigit() else len(p[0]) * word[0].isdigit()
             if new or not word[0].isdigit():
-                edits.append((p.start(), p.end(), new or ""))
+                own.append((p.start(), p.end(), new or ""))
+        if digits >= LEAST_DIGITS:
+            edits += own
     return edits
 
 
+def spaces_before(text: str, at: int, least: int) -> int:
+    while at > least and text[at - 1] == " ":
+        at -= 1
+    return at
+
+
+def local_before(text: str, at: int, least: int) -> tuple[int, list[tuple[int, int, str]]]:
+    """Where the local part that ends at a position begins, not before least, and the edits of the disguised dots in it. Linear, whatever its length."""
+    start, edits = at, []
+    while True:
+        while start > least and text[start - 1] in LOCAL:
+            start -= 1
+        end = spaces_before(text, start, least)
+        if mark := next((b for b in BRACKETED if text[max(least, end - len(b)) : end].lower() == b), None):
+            dot = spaces_before(text, end - len(mark), least)
+        elif end < start and text[max(least, end - 3) : end].lower() == "dot" and (dot := spaces_before(text, end - 3, least)) < end - 3:
+            pass
+        else:
+            return start, edits[::-1]
+        if start == at or dot <= least or text[dot - 1] not in LOCAL or text[dot - 1] == ".":
+            return start, edits[::-1]
+        edits.append((dot, start, "."))
+        start = dot
+
+
 def mark_edits(text: str) -> list[tuple[int, int, str]]:
-    """Disguised "@" and dots become plain within what then reads as an address; also dots between the parts of an IP."""
+    """Disguised "@" and dots become plain within what then reads as an address; also dots between the parts of an IP.
+
+    From each mark the address is grown to both sides, so that its length has no bound and time is linear. A spelled "at", or
+    a plain "@" without spaces, counts only where a dot of the domain is disguised as well.
+    """
     if not any(map(text.lower().__contains__, DISGUISES)):
         return []
     edits, done = [], 0
     for mark in AT_MARK.finditer(text):
         if mark.start() < done:
             continue
-        for m in DISGUISED.finditer(text, max(done, mark.start() - REACH), min(len(text), mark.end() + REACH)):
-            if m.end("at") <= mark.start() or m.start("at") > mark.end():
-                continue
-            spoken, dots = m["at"].strip().lower() == "at", list(DOT_MARK.finditer(m["domain"]))
-            if spoken and not dots:
-                break
-            edits += [(m.start("local") + d.start(), m.start("local") + d.end(), ".") for d in DOT_MARK.finditer(m["local"])]
-            edits.append((m.start("at"), m.end("at"), "@"))
-            edits += [(m.start("domain") + d.start(), m.start("domain") + d.end(), ".") for d in dots]
-            done = m.end()
-            break
+        before, after = spaces_before(text, mark.start(), done), mark.end()
+        while after < len(text) and text[after] == " ":
+            after += 1
+        domain = DOMAIN_AFTER.match(text, after)
+        if domain is None or before <= done or text[before - 1] not in LOCAL:
+            continue
+        dots = list(DOT_MARK.finditer(text, *domain.span()))
+        bare = mark[0].lower() == "at" or (mark[0] == "@" and before == mark.start() and after == mark.end())
+        if bare and not dots:
+            continue
+        _, own = local_before(text, before, done)
+        edits += [*own, (before, after, "@"), *((d.start(), d.end(), ".") for d in dots)]
+        done = domain.end()
     taken = sorted((a, b) for a, b, _ in edits)
     for m in IP_DISGUISED.finditer(text):
-        new = [(m.start() + d.start(), m.start() + d.end(), ".") for d in DOT_MARK.finditer(m[0])]
+        new = [(d.start(), d.end(), ".") for d in DOT_MARK.finditer(text, *m.span())]
         edits += clear_of(new, taken)
     return sorted(e for e in edits if text[e[0] : e[1]] != e[2])
 

@@ -39,6 +39,12 @@ def test_plain_spans_are_those_of_the_patterns():
         ("call plus one nine eight eight five five five two four eight five.", "phone", "plus one nine eight eight five five five two four eight five"),
         ("ip 10 (dot) 0 (dot) 0 (dot) 1", "ip", "10 (dot) 0 (dot) 0 (dot) 1"),
         ("ann＠site．org", "email", "ann＠site．org"),
+        ("𝐚𝐧𝐧@𝓼𝓲𝓽𝓮.org", "email", "𝐚𝐧𝐧@𝓼𝓲𝓽𝓮.org"),
+        ("ip ١٠.٠.٠.١ or", "ip", "١٠.٠.٠.١"),
+        ("card ४१११ ११११ ११११ ११११ ok", "card", "४१११ ११११ ११११ ११११"),
+        ("call plus one double nine triple eight five double five two four eight five.", "phone", "plus one double nine triple eight five double five two four eight five"),
+        ("ann (dot) maria dot smith [at] site (dot) org", "email", "ann (dot) maria dot smith [at] site (dot) org"),
+        ("a" * 5000 + " [at] " + "b" * 5000 + ".com", "email", "a" * 5000 + " [at] " + "b" * 5000 + ".com"),
     ],
 )
 def test_disguises_map_back_to_the_source(text, kind, found):
@@ -46,6 +52,33 @@ def test_disguises_map_back_to_the_source(text, kind, found):
     assert [text[a:b] for a, b in every[kind]] == [found] and not plain[kind]
 
 
+def test_disguises_against_the_parts_they_are_made_of():
+    """Plain identifiers, each part dressed at random, among plain words: the spans are known from how the text is put together."""
+    rng = random.Random(6)
+    words = "zero one two three four five six seven eight nine".split()
+    math = lambda s: "".join(chr(0x1D41A + ord(c) - 97) if "a" <= c <= "z" else c for c in s)
+    arabic = lambda s: "".join(chr(0x660 + int(c)) if c.isdigit() else c for c in s)
+    for _ in range(3000):
+        text, want = "", []
+        for _ in range(rng.randint(1, 4)):
+            text += rng.choice(["see note, ", "we met there; ", "she said so. ", "(then) "])
+            kind = rng.choice(["email", "ip", "phone"])
+            if kind == "email":
+                at, dot = rng.choice([" (at) ", "[at]", " at ", " @ ", "{@}"]), rng.choice([" dot ", "(dot)", " [.] "])
+                one = rng.choice(["ann", "bob.lee", "j-9"]) + at + rng.choice(["site", "ex-ample"]) + dot + "org"
+            elif kind == "ip":
+                one = arabic(".".join(str(rng.randint(0, 255)) for _ in range(4))) if rng.random() < 0.5 else " dot ".join(str(rng.randint(0, 255)) for _ in range(4))
+            else:
+                one = "plus " + " ".join(rng.choice(words) for _ in range(rng.randint(9, 12)))
+            if rng.random() < 0.3 and kind == "email":
+                one = math(one[:2]) + one[2:]
+            want.append((kind, len(text), len(text) + len(one)))
+            text += one + ", "
+        plain, every = m.find_spans(text)
+        assert sorted((k, a, b) for k in m.KINDS for a, b in every[k]) == sorted(want), text
+        assert not any(plain.values())
+
+
 @pytest.mark.parametrize("text", ["he is at home. dot it", "one two three go", "version 4.0 of a licence", "un un un un deux", "1" * 100_000 + "@" * 1000 + "+1 " * 30_000])
 def test_clean_and_hostile_texts(text):
     assert m.find_spans(text)[1] == {k: [] for k in m.KINDS}
