@@ -19,6 +19,8 @@ from lodeloom.llm.common import batch_of, held, id_crc32
 
 #: Labelled documents that the model is fitted on at most, taken in the order of a hash of their ids.
 SAMPLE = 4000
+#: Documents of more lines aren't fitted on, so that what reaches the driver is bounded.
+SAMPLE_LINES = 20_000
 FOLDS, HELD_OUT = 3, 1
 UPPER, DIGITS, SYMBOLS, STOPS = (bytes(x) for x in (range(65, 91), range(48, 58), b"#*$%&|<>", b".,;:?"))
 #: Statistics of one line: share of capitals, of digits, shouts, symbols and stops a word, word length, distinct words, words seen before, length.
@@ -172,13 +174,17 @@ def fit(statistics: list[np.ndarray], lengths: list[np.ndarray], quality: np.nda
 SAMPLED = "doc_id long, quality int, n_lines int, statistics binary, lengths binary"
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fit on at most sample labelled documents of the training folds; rows of labels without id or quality are ignored, and an id with
-    two qualities counts as bad. Only the sample's line statistics reach the driver."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Model:
+    """Fit on at most sample labelled documents of the training folds, of at most sample_lines lines each.
+
+    Rows of labels without id or quality are ignored, and an id with two qualities counts as bad. Of several texts under
+    one id the one of least MD5 is taken. Only the sample's line statistics reach the driver.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & (id_crc32(F.col("doc_id")) % FOLDS != HELD_OUT))
     chosen = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # chosen has at most sample rows
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(held(chosen, "crf-sample")), "doc_id")
+    one = texts.groupBy("doc_id", "quality").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("digest"), "text"))["text"].alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,7 +194,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 rows.append((doc_id, quality, len(n), s.tobytes(), n.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 5, (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=[f.split()[0] for f in SAMPLED.split(", ")])
 
-    rows = sorted((r.doc_id, bytes(r.lengths), bytes(r.statistics), r.quality) for r in texts.mapInArrow(measure, SAMPLED).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).collect())
+    rows = sorted((r.doc_id, bytes(r.lengths), bytes(r.statistics), r.quality) for r in one.mapInArrow(measure, SAMPLED).where(F.col("n_lines") <= sample_lines).collect())
     statistics = [np.frombuffer(s, np.float32).reshape(-1, WIDTH) for _, _, s, _ in rows]
     return fit(statistics, [np.frombuffer(n, np.float64) for _, n, _, _ in rows], np.array([q for *_, q in rows], np.float64))
 

@@ -227,7 +227,11 @@ def known_norms(raw: bytes) -> tuple[LogBilinear, np.ndarray]:
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS) -> LogBilinear:
-    """Passes over all texts of docs: every task trains from the common start on its own part, and parameters are averaged by tokens."""
+    """Passes over all texts of docs: every task trains from the common start on its own part, and parameters are averaged by tokens.
+
+    So the model depends on how rows are dealt to tasks, as minibatches do on their order; perplexity hardly does, as a task's
+    part is long against the model. The same rows dealt alike give the same model.
+    """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((vocabulary.units, vocabulary.unit_counts))
     model = LogBilinear.start(vocabulary.unit_counts)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import itertools
 import zlib
 
@@ -48,3 +49,43 @@ def test_distinct_words_of_a_whole_line():
     fresh = " ".join(f"w{i}" for i in range(400))
     plain, tail, half = (m.line_statistics(t)[0][0, 7] for t in (f"{fresh} {fresh}", fresh + " buy it now" * 5000, fresh + " same" * 200))
     assert plain == 1 and tail < 0.05 and abs(half - 401 / 600) < 1e-6
+
+
+def test_an_id_with_many_texts_counts_once(spark):
+    """The text of least MD5 is fitted on, and a document of too many lines is not."""
+    docs = [(i, f"Plain words stand here and say {i} things.") for i in range(30) if zlib.crc32(str(i).encode()) % 3 != 1]
+    labels = [(i, i % 2) for i, _ in docs]
+    more = [(docs[0][0], f"another text {k}") for k in range(200)]
+    least = min([docs[0][1], *(t for _, t in more)], key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    label = spark.createDataFrame(labels, "doc_id long, quality int")
+    a, b = m.train(frame(docs + more), label), m.train(frame([(docs[0][0], least), *docs[1:]]), label)
+    assert np.array_equal(a.weights, b.weights) and (a.base, a.slope) == (b.base, b.slope)
+    c, d = m.train(frame([*docs[1:], (docs[0][0], "x\n" * 50)]), label, sample_lines=20), m.train(frame(docs[1:]), label)
+    assert np.array_equal(c.weights, d.weights)
+
+
+def test_scores_word_by_word(spark):
+    """Scores of a fitted model against a plain forward-backward over each document's lines."""
+    path = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    model = m.train(docs, labels)
+    got = {r.doc_id: r.score for r in m.score_quality(docs, labels).collect()}
+    for r in docs.collect():
+        own, lengths = m.line_statistics(r.text)
+        n, bad = len(own), 1.0
+        if n:
+            pad = np.zeros((1, m.WIDTH), np.float32)
+            x = np.concatenate([own, np.concatenate([pad, own[:-1]]), np.concatenate([own[1:], pad])], 1).astype(float)
+            odds, e = x @ model.weights, np.exp(model.stay)
+            f, b = np.ones((n, 2)), np.ones((n, 2))
+            node = np.stack([np.ones(n), np.exp(odds)], 1)
+            for i in range(n):
+                f[i] = node[i] * (f[i - 1] @ e if i else 1)
+                f[i] /= f[i].sum()
+            for i in range(n - 2, -1, -1):
+                b[i] = e @ (node[i + 1] * b[i + 1])
+                b[i] /= b[i].sum()
+            both = f * b
+            bad = float((both[:, 1] / both.sum(1) * lengths).sum() / lengths.sum())
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-(model.base - model.slope * bad)))) < 1e-6
