@@ -245,9 +245,9 @@ def crowd_links(docs: DataFrame, texts: DataFrame, crowded: DataFrame, similarit
 
     Exact, by prefixes: with units in one order, rare ones first, the first common unit of two texts linked lies within the first
     n - similarity * n + 1 units of the larger and the first n - 2 * similarity / (1 + similarity) * n + 1 of the smaller, so that
-    what a whole family shares is met only by texts that are alike. Texts are dealt to blocks by their family's largest bucket. A unit joins
-    blocks and not texts, so that B blocks that share it make B * B rows; the texts of two blocks that met are compared
-    in one task by a product of matrices, and only numbers of links and a link to hang by leave it.
+    what a whole family shares is met only by texts that are alike. Texts are dealt to blocks by their family's largest bucket. Under a unit
+    blocks meet and not texts: each set of blocks that stand together under some unit makes its pairs once, and the texts of two blocks
+    that met are compared in one task by a product of matrices. Only numbers of links and a link to hang by leave it.
     """
     home = crowded.groupBy("node", "n_shingles").agg(F.max(F.struct("n", "band", "key")).alias("crowd"))
     for _ in range(2):  # a family's buckets share texts; its texts go to the largest of them
@@ -268,8 +268,9 @@ def crowd_links(docs: DataFrame, texts: DataFrame, crowded: DataFrame, similarit
     cut = ranked.select("node", "block", F.transform(F.slice("all", F.lit(1), within(similarity)), lambda u: u["unit"]).alias("prefix"), within(2 * similarity / (1 + similarity)).alias("short_n"))
     prefixes = held(cut, "crowd-prefixes")
     at = prefixes.select("block", "short_n", F.posexplode("prefix").alias("pos", "unit")).groupBy("unit", "block").agg(F.max(F.col("pos") < F.col("short_n")).alias("short"))
-    at = held(at, "crowd-units-at")
-    met = at.select("unit", F.col("block").alias("x")).join(at.where("short").select("unit", F.col("block").alias("y")), "unit").select("x", "y").distinct()
+    # Units that stand in the same blocks say the same about them.
+    together = held(at.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("block", "short"))).alias("who")).select("who").distinct(), "crowd-together")
+    met = together.select("who", F.explode("who").alias("y")).where("y.short").select("y", F.explode("who").alias("x")).select("x.block", F.col("y.block").alias("y")).toDF("x", "y").distinct()
     whole = held(sets.join(prefixes.drop("block"), "node").groupBy("block").agg(F.collect_list(F.struct("node", "units", "prefix", "short_n")).alias("members")), "crowd-members")  # of bounded size
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
