@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,14 +43,41 @@ def duck_haversine(a: str, b: str, c: str, d: str) -> str:
     return f"(2 * 6371000.0 * atan2(sqrt({h}), sqrt(1 - {h})))"
 
 
-def near_pairs(points, places, metres: float, size: float = 0.01):
-    """points x places within metres: an equi-join on grid cells at least as wide as the reach, then the exact distance.
+def with_chord(rows, lat: str, lng: str, prefix: str):
+    """rows with the point on the unit sphere as three columns, so that pairs are told apart without trigonometry."""
+    y, x = F.radians(F.col(lat)), F.radians(F.col(lng))
+    parts = (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))
+    return rows.withColumns({f"{prefix}{i}": part for i, part in enumerate(parts)})
+
+
+def near_pairs(points, places, metres: float, also: tuple[str, ...] = ()):
+    """points x places with their distance, metres to three places; all pairs within the reach and a few just beyond, to be cut by the caller.
 
-    points(lat, lng, ..) are dealt to the nine cells around theirs, so that nothing is compared across the map.
+    An equi-join on grid cells (and on the columns also, which both sides have), then straight distances, then the exact one.
+    Cells are as high as the reach. Each row of cells is cut into as many columns as leave a cell as wide as the reach at the row's
+    far end from the equator and that of its neighbours, so that cells hold at all latitudes and close up at 180 degrees.
+    points(lat, lng, ..) are dealt to the cells around theirs, nine at most; nothing is compared across the map. Rows are
+    few against their pairs, so they are dealt to a number of tasks that doesn't go by their size. places' lat and lng become p_lat and p_lng.
     """
-    wide = max(size, 2 * metres / METRES_PER_DEGREE)
-    around = F.sequence(F.lit(-1), F.lit(1))
-    dealt = points.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around))
-    dealt = dealt.withColumn("_y", F.floor(F.col("lat") / wide) + F.col("_dy")).withColumn("_x", F.floor(F.col("lng") / wide) + F.col("_dx")).drop("_dy", "_dx")
-    there = places.withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"}).withColumn("_y", F.floor(F.col("p_lat") / wide)).withColumn("_x", F.floor(F.col("p_lng") / wide))
-    return dealt, there, haversine(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng"))
+    high = 1.0001 * metres / METRES_PER_DEGREE
+    row = lambda lat: F.floor(lat / high).cast("long")
+
+    def columns(y):
+        far = F.least(F.lit(90.0), (F.greatest(F.abs(y), F.abs(y + 1)) + 1) * high)
+        chord = F.least(F.lit(1.0), F.sin(F.radians(F.lit(high / 2))) / F.greatest(F.cos(F.radians(far)), F.lit(1e-9)))
+        return F.greatest(F.lit(1), F.floor(180 / F.degrees(F.asin(chord)))).cast("long")
+
+    def column(lng, n):
+        return F.floor((F.pmod(lng, F.lit(360.0)) / 360) * n).cast("long") % n
+
+    keys, tasks = ["_y", "_x", *also], 4 * int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = with_chord(points, "lat", "lng", "_a").withColumn("_y", F.explode(F.sequence(row(F.col("lat")) - 1, row(F.col("lat")) + 1)))
+    n, x = columns(F.col("_y")), column(F.col("lng"), columns(F.col("_y")))
+    dealt = dealt.withColumn("_x", F.explode(F.array_distinct(F.array(*(F.pmod(x + step, n) for step in (-1, 0, 1))))))
+    there = with_chord(places.withColumnsRenamed({"lat": "p_lat", "lng": "p_lng"}), "p_lat", "p_lng", "_b").withColumn("_y", row(F.col("p_lat")))
+    there = there.withColumn("_x", column(F.col("p_lng"), columns(F.col("_y"))))
+    straight = sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) * (F.col(f"_a{i}") - F.col(f"_b{i}")) for i in (1, 2)), (F.col("_a0") - F.col("_b0")) * (F.col("_a0") - F.col("_b0")))
+    most = (2 * math.sin(min(math.pi, (metres + 0.01) / EARTH_M) / 2)) ** 2 * (1 + 1e-6) + 1e-18
+    met = dealt.repartition(tasks, *keys).join(there.repartition(tasks, *keys), keys).where(straight <= most)
+    exact = F.round(haversine(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")), 3)
+    return met.drop("_y", "_x", *(f"{side}{i}" for side in ("_a", "_b") for i in range(3))).withColumn("metres", exact)

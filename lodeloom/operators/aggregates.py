@@ -61,7 +61,7 @@ def agg8(d: Domain) -> DataFrame:
     return d.tasks.where(~F.col("kind").eqNullSafe("birthday")).groupBy("uid", "day").agg(F.every("done").alias("all_done"), F.count_if(~F.col("done")).alias("remaining"))
 
 
-@query("agg9_brushed_types", "SELECT uid, count(DISTINCT poi) AS n, array_to_string(list_sort(list_distinct(list(poi))), ',') AS types FROM tasks WHERE done AND poi IS NOT NULL GROUP BY uid")
+@query("agg9_completed_types", "SELECT uid, count(DISTINCT poi) AS n, array_to_string(list_sort(list_distinct(list(poi))), ',') AS types FROM tasks WHERE done AND poi IS NOT NULL GROUP BY uid")
 def agg9(d: Domain) -> DataFrame:
     kinds = F.collect_set("poi")
     return d.tasks.where("done and poi is not null").groupBy("uid").agg(F.size(kinds).cast("long").alias("n"), F.array_join(F.sort_array(kinds), ",").alias("types"))
@@ -189,7 +189,7 @@ def set4(d: Domain) -> DataFrame:
     return d.places.select("poi").distinct().exceptAll(d.places.where((F.col("fetched_s") >= NOW - 3 * DAY) & F.col("osm")).select("poi").distinct())
 
 
-@query("set5_brushed_union", "SELECT uid, count(DISTINCT poi) AS n FROM (SELECT uid, poi FROM tasks WHERE done AND poi IS NOT NULL UNION ALL SELECT uid, visited FROM tasks WHERE visited IS NOT NULL) GROUP BY uid")
+@query("set5_completed_union", "SELECT uid, count(DISTINCT poi) AS n FROM (SELECT uid, poi FROM tasks WHERE done AND poi IS NOT NULL UNION ALL SELECT uid, visited FROM tasks WHERE visited IS NOT NULL) GROUP BY uid")
 def set5(d: Domain) -> DataFrame:
     sets = d.tasks.groupBy("uid").agg(F.collect_set(F.when(F.col("done"), F.col("poi"))).alias("a"), F.collect_set("visited").alias("b"))
     return sets.select("uid", F.size(F.array_union("a", "b")).cast("long").alias("n")).where("n > 0")

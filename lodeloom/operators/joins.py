@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeloom.binding import NOW, TODAY, Domain, query
-from lodeloom.functions.geo import duck_haversine, haversine, in_box, near_pairs
+from lodeloom.functions.geo import duck_haversine, haversine, near_pairs
 from lodeloom.functions.text import tokens
 
 #: Metres within which a place counts as nearby.
 NEAR = 400.0
+#: Metres around an anchor within which errands are bundled, places of a type that count as candidates, and errands of a bundle at least.
+AROUND, CANDIDATES, LEAST_ERRANDS = 700.0, 5, 2
 
 
 @query("jn1_task_places", "SELECT poi, count(*) AS pairs FROM tasks JOIN places USING (poi) WHERE NOT done GROUP BY poi")
@@ -23,10 +25,8 @@ _UP = duck_haversine("u.lat", "u.lng", "p.lat", "p.lng")
 
 
 def places_near(d: Domain, metres: float) -> DataFrame:
-    """uid, place_id, poi, metres of all places within metres of a user: cells first, then a box, then the distance."""
-    points, there, distance = near_pairs(d.users.select("uid", "lat", "lng"), d.places.select("place_id", "poi", "lat", "lng"), metres)
-    box = in_box(F.col("p_lat"), F.col("p_lng"), F.col("lat"), F.col("lng"), F.lit(metres))
-    met = points.join(there, ["_y", "_x"]).where(box).withColumn("metres", F.round(distance, 3))
+    """uid, place_id, poi, metres of all places within metres of a user."""
+    met = near_pairs(d.users.select("uid", "lat", "lng"), d.places.select("place_id", "poi", "lat", "lng"), metres)
     return met.where(F.col("metres") < metres).select("uid", "place_id", "poi", "metres")
 
 
@@ -38,11 +38,10 @@ def jn2(d: Domain) -> DataFrame:
 _PC = duck_haversine("c.lat", "c.lng", "p.lat", "p.lng")
 
 
-@query("jn3_same_place", f"SELECT c.place_id AS candidate, arg_min(p.place_id, round({_PC}, 3) * 100000 + p.place_id / 1e6) AS place_id FROM (SELECT place_id, poi, lat + 0.0004 AS lat, lng, split_part(name, ' ', 1) AS name FROM places WHERE place_id % 3 = 0) c JOIN places p ON p.poi = c.poi AND round({_PC}, 3) <= 150 AND (contains(p.name, c.name) OR contains(c.name, p.name)) GROUP BY c.place_id")
+@query("jn3_same_place", f"SELECT c.place_id AS candidate, arg_min(p.place_id, round({_PC}, 3) * 100000 + p.place_id / 1e6) AS place_id FROM (SELECT place_id, poi, lat + 0.0004 AS lat, lng, split_part(name, ' ', 1) AS name FROM places) c JOIN places p ON p.poi = c.poi AND round({_PC}, 3) <= 150 AND (contains(p.name, c.name) OR contains(c.name, p.name)) GROUP BY c.place_id")
 def jn3(d: Domain) -> DataFrame:
-    candidates = d.places.where("place_id % 3 = 0").selectExpr("place_id as candidate", "poi", "lat + 0.0004 as lat", "lng", "split_part(name, ' ', 1) as short")
-    points, there, distance = near_pairs(candidates, d.places.select("place_id", "poi", "name", "lat", "lng"), 150.0)
-    met = points.join(there, ["_y", "_x", "poi"]).withColumn("metres", F.round(distance, 3))
+    candidates = d.places.selectExpr("place_id as candidate", "poi", "lat + 0.0004 as lat", "lng", "split_part(name, ' ', 1) as short")
+    met = near_pairs(candidates, d.places.select("place_id", "poi", "name", "lat", "lng"), 150.0, ("poi",))
     same = met.where((F.col("metres") <= 150) & (F.contains("name", "short") | F.contains("short", "name")))
     return same.groupBy("candidate").agg(F.min_by("place_id", F.struct("metres", "place_id")).alias("place_id"))
 
@@ -86,11 +85,11 @@ def jn7(d: Domain) -> DataFrame:
 _AB = duck_haversine("a.lat", "a.lng", "b.lat", "b.lng")
 
 
-@query("jn8_place_pairs", f"SELECT a.place_id AS anchor, b.place_id AS other, round({_AB}, 3) AS metres FROM places a JOIN places b ON a.place_id <> b.place_id AND a.poi < b.poi AND round({_AB}, 3) <= 100")
+@query("jn8_place_pairs", f"SELECT a.place_id AS anchor, b.place_id AS other, round({_AB}, 3) AS metres FROM places a JOIN places b ON a.place_id <> b.place_id AND round({_AB}, 3) <= {AROUND}")
 def jn8(d: Domain) -> DataFrame:
-    points, there, distance = near_pairs(d.places.select(F.col("place_id").alias("anchor"), F.col("poi").alias("poi_a"), "lat", "lng"), d.places.select(F.col("place_id").alias("other"), "poi", "lat", "lng"), 100.0)
-    met = points.join(there, ["_y", "_x"]).where("anchor <> other and poi_a < poi").withColumn("metres", F.round(distance, 3))
-    return met.where("metres <= 100").select("anchor", "other", "metres")
+    """Pairs of places that one errand could take in."""
+    met = near_pairs(d.places.select(F.col("place_id").alias("anchor"), "lat", "lng"), d.places.select(F.col("place_id").alias("other"), "lat", "lng"), AROUND)
+    return met.where((F.col("metres") <= AROUND) & (F.col("anchor") != F.col("other"))).select("anchor", "other", "metres")
 
 
 @query("jn9_import_new_titles", "SELECT id FROM (SELECT id, concat('BUY BREAD ', id % 200) AS title FROM inbox) i WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE lower(regexp_replace(t.title, '^\\s+|\\s+$', '', 'g')) = lower(i.title))")
@@ -112,10 +111,12 @@ def jn11(d: Domain) -> DataFrame:
     return d.trips.select("trip_id").join(d.players.where("won").select(F.col("challenge_id").alias("trip_id")), "trip_id", "left_anti")
 
 
-@query("jn12_unknown_location", "SELECT place_id FROM places p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda t: length(t) >= 3)) AS w FROM places WHERE place_id % 40 = 1) k WHERE list_contains(list_filter(regexp_split_to_array(lower(p.name), '[^a-z0-9]+'), lambda t: length(t) >= 3), k.w))")
+@query("jn12_unknown_location", f"SELECT place_id FROM places p WHERE NOT EXISTS (SELECT 1 FROM (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda t: length(t) >= 3)) AS w FROM places WHERE fetched_s >= {NOW // 86400 * 86400} AND matched_s >= {NOW // 86400 * 86400}) k WHERE list_contains(list_filter(regexp_split_to_array(lower(p.name), '[^a-z0-9]+'), lambda t: length(t) >= 3), k.w))")
 def jn12(d: Domain) -> DataFrame:
+    """Places that share no word with one that was fetched and met today."""
+    today = NOW // 86400 * 86400
     words = d.places.select("place_id", F.explode(tokens(F.col("name"))).alias("w"))
-    known = d.places.where("place_id % 40 = 1").select(F.explode(tokens(F.col("name"))).alias("w")).distinct()
+    known = d.places.where((F.col("fetched_s") >= today) & (F.col("matched_s") >= today)).select(F.explode(tokens(F.col("name"))).alias("w")).distinct()
     return d.places.select("place_id").join(words.join(known, "w", "left_semi").select("place_id").distinct(), "place_id", "left_anti")
 
 
@@ -179,10 +180,12 @@ def jn22(d: Domain) -> DataFrame:
     return d.users.select("uid", F.round(haversine(F.col("lat"), F.col("lng"), F.col("home_lat"), F.col("home_lng")), 3).alias("metres")).withColumn("at_home", F.col("metres") <= 150)
 
 
-@query("jn24_label_domain", "SELECT vec_id, CASE WHEN label BETWEEN 0 AND 4 THEN label END AS poi FROM embeddings")
+@query("jn24_label_domain", "SELECT vec_id, CASE WHEN label IN (SELECT poi FROM places WHERE osm) THEN CAST(label AS BIGINT) END AS poi FROM embeddings")
 def jn24(d: Domain) -> DataFrame:
-    domain = d.spark.range(5).select(F.col("id").cast("int").alias("label"), F.col("id").cast("int").alias("poi"))
-    return d.raw("embeddings").join(F.broadcast(domain), "label", "left").select("vec_id", "poi")
+    """A label stands if it is a type that places have."""
+    domain = d.places.where("osm").select("poi").distinct()
+    labelled = d.raw("embeddings").select("vec_id", F.col("label").cast("long").alias("label"))
+    return labelled.join(domain, labelled["label"] == domain["poi"], "left").select("vec_id", "poi")
 
 
 @query("jn25_first_requested_type", "SELECT place_id, CASE WHEN poi IN (2, 5, 9) THEN poi WHEN (poi + 3) % 16 IN (2, 5, 9) THEN (poi + 3) % 16 END AS matched FROM places")
@@ -204,9 +207,16 @@ _HERO = f"SELECT u.uid, p.poi, p.place_id, round({_UP}, 3) AS metres FROM users
 
 
 def nearby_of_open_tasks(d: Domain) -> DataFrame:
-    """uid, poi, place_id, metres of the places near a user that an open task of theirs asks for."""
+    """uid, poi, place_id, metres of the places near a user that an open task of theirs asks for; the type is in the key of the join."""
     wanted = d.tasks.where("not done and poi is not null").select("uid", "poi").distinct()
-    return places_near(d, NEAR).join(wanted, ["uid", "poi"]).select("uid", "poi", "place_id", "metres")
+    met = near_pairs(d.users.select("uid", "lat", "lng").join(wanted, "uid"), d.places.select("place_id", "poi", "lat", "lng"), NEAR, ("poi",))
+    return met.where(F.col("metres") < NEAR).select("uid", "poi", "place_id", "metres")
+
+
+def candidates(d: Domain) -> DataFrame:
+    """The CANDIDATES nearest places of each type that an open task of a user asks for."""
+    order = Window.partitionBy("uid", "poi").orderBy("metres", "place_id")
+    return nearby_of_open_tasks(d).withColumn("top", F.row_number().over(order)).where(F.col("top") <= CANDIDATES).drop("top")
 
 
 @query("win3_nearest_candidate", f"SELECT uid, poi, arg_min(place_id, metres * 100000 + place_id / 1e6) AS place_id, min(metres) AS metres FROM ({_HERO}) GROUP BY uid, poi")
@@ -234,43 +244,55 @@ def top8(d: Domain) -> DataFrame:
 @query("biz1_proximity", f"SELECT uid, poi, place_id, metres, rn = 1 AS hero, rn = 1 AND metres < 100 AS alert FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY metres, poi, place_id) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY uid, poi ORDER BY metres, place_id) AS top FROM ({_HERO})) WHERE top <= 5)")
 def biz1(d: Domain) -> DataFrame:
     """Open types of each user, five nearest places of each type, the nearest of all as hero, and whether it is close enough to alert."""
-    five = nearby_of_open_tasks(d).withColumn("top", F.row_number().over(Window.partitionBy("uid", "poi").orderBy("metres", "place_id"))).where("top <= 5")
-    placed = five.withColumn("rn", F.row_number().over(Window.partitionBy("uid").orderBy("metres", "poi", "place_id")))
+    placed = candidates(d).withColumn("rn", F.row_number().over(Window.partitionBy("uid").orderBy("metres", "poi", "place_id")))
     return placed.select("uid", "poi", "place_id", "metres", (F.col("rn") == 1).alias("hero"), ((F.col("rn") == 1) & (F.col("metres") < 100)).alias("alert"))
 
 
-_B = duck_haversine("a.lat", "a.lng", "p.lat", "p.lng")
-_BUNDLE = f"""SELECT uid, anchor, string_agg(poi, ',' ORDER BY CAST(poi AS VARCHAR)) AS task_set, count(*) AS n, round(sum(metres), 2) AS metres FROM (SELECT h.uid, h.place_id AS anchor, o.poi, min(round({_B}, 3)) AS metres FROM ({_HERO}) h JOIN places a ON a.place_id = h.place_id JOIN (SELECT DISTINCT uid, poi FROM tasks WHERE NOT done AND poi IS NOT NULL) o ON o.uid = h.uid JOIN places p ON p.poi = o.poi AND round({_B}, 3) <= 300 WHERE h.metres < 150 GROUP BY 1, 2, 3) GROUP BY uid, anchor HAVING count(*) >= 2"""
+_B = f"CAST(round(1000 * {duck_haversine('a.lat', 'a.lng', 'b.lat', 'b.lng')}) AS BIGINT)"
+_FIVE = f"SELECT c.uid, c.poi, c.place_id, l.lat, l.lng FROM (SELECT *, row_number() OVER (PARTITION BY uid, poi ORDER BY metres, place_id) AS top FROM ({_HERO})) c JOIN places l ON l.place_id = c.place_id WHERE top <= {CANDIDATES}"
+_AROUND = f"SELECT a.uid, a.place_id AS anchor, b.poi, min({_B}) AS mm FROM ({_FIVE}) a JOIN ({_FIVE}) b ON a.uid = b.uid AND {_B} <= {round(1000 * AROUND)} GROUP BY ALL"
+_BUNDLE = f"SELECT c.uid, c.anchor, string_agg(CAST(t.task_id AS VARCHAR), ',' ORDER BY CAST(t.task_id AS VARCHAR)) AS task_set, count(*) AS n, CAST(sum(c.mm) AS BIGINT) AS mm FROM ({_AROUND}) c JOIN tasks t ON t.uid = c.uid AND t.poi = c.poi AND NOT t.done GROUP BY c.uid, c.anchor HAVING count(*) >= {LEAST_ERRANDS}"
+_SETS = f"SELECT uid, task_set, n, min(mm) AS mm, arg_min(anchor, mm * 1000000 + anchor) AS anchor FROM ({_BUNDLE}) GROUP BY uid, task_set, n"
 
 
 def bundles(d: Domain) -> DataFrame:
-    """uid, anchor, task_set, n, metres: place types of open tasks that lie within 300 m of an anchor near the user."""
-    anchors = nearby_of_open_tasks(d).where("metres < 150").select("uid", F.col("place_id").alias("anchor"))
-    at = d.places.select(F.col("place_id").alias("anchor"), "lat", "lng").join(anchors.select("anchor").distinct(), "anchor", "left_semi")
-    points, there, distance = near_pairs(at, d.places.select("poi", "lat", "lng"), 300.0)
-    around = points.join(there, ["_y", "_x"]).withColumn("metres", F.round(distance, 3)).where("metres <= 300").groupBy("anchor", "poi").agg(F.min("metres").alias("metres"))
-    wanted = d.tasks.where("not done and poi is not null").select("uid", "poi").distinct()
-    met = anchors.distinct().join(around, "anchor").join(wanted, ["uid", "poi"])
-    key = F.array_join(F.sort_array(F.collect_set(F.col("poi").cast("string"))), ",")
-    return met.groupBy("uid", "anchor").agg(key.alias("task_set"), F.count("*").alias("n"), F.round(F.sum("metres"), 2).alias("metres")).where("n >= 2")
+    """uid, anchor, task_set, n, mm: open tasks of a user that each have a candidate place within AROUND of an anchor, itself a candidate.
+
+    A task counts with its nearest such place; mm is the sum of these ways in whole millimetres, so that sums don't depend on
+    their order. A user's candidates are CANDIDATES for each type at most, so their pairs are few, and met by the user.
+    """
+    placed = candidates(d).join(d.places.select("place_id", "lat", "lng"), "place_id").select("uid", "poi", "place_id", "lat", "lng")
+    anchors = placed.select("uid", F.col("place_id").alias("anchor"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
+    mm = F.round(1000 * haversine(F.col("a_lat"), F.col("a_lng"), F.col("lat"), F.col("lng"))).cast("long")
+    around = anchors.join(placed, "uid").withColumn("mm", mm).where(F.col("mm") <= round(1000 * AROUND)).groupBy("uid", "anchor", "poi").agg(F.min("mm").alias("mm"))
+    met = around.join(d.tasks.where("not done and poi is not null").select("uid", "poi", F.col("task_id").cast("string").alias("task")), ["uid", "poi"])
+    every = met.groupBy("uid", "anchor").agg(F.array_join(F.sort_array(F.collect_list("task")), ",").alias("task_set"), F.count("*").alias("n"), F.sum("mm").alias("mm"))
+    return every.where(F.col("n") >= LEAST_ERRANDS)
+
+
+def bundle_sets(d: Domain) -> DataFrame:
+    """Of bundles of the same tasks the one of the least way, then the least anchor."""
+    best = bundles(d).groupBy("uid", "task_set", "n").agg(F.min(F.struct("mm", "anchor")).alias("b"))
+    return best.select("uid", "task_set", "n", "b.mm", "b.anchor")
 
 
-@query("agg17_bundle_anchors", f"SELECT uid, anchor, n, metres FROM ({_BUNDLE})")
+@query("agg17_bundle_anchors", f"SELECT uid, anchor, n, mm FROM ({_BUNDLE})")
 def agg17(d: Domain) -> DataFrame:
-    return bundles(d).select("uid", "anchor", "n", "metres")
+    return bundles(d).select("uid", "anchor", "n", "mm")
 
 
-@query("agg18_bundle_sets", f"SELECT uid, task_set, arg_min(anchor, metres * 100000 + anchor / 1e6) AS anchor FROM ({_BUNDLE}) GROUP BY uid, task_set")
+@query("agg18_bundle_sets", f"SELECT uid, task_set, anchor FROM ({_SETS})")
 def agg18(d: Domain) -> DataFrame:
-    return bundles(d).groupBy("uid", "task_set").agg(F.min(F.struct("metres", "anchor"))["anchor"].alias("anchor"))
+    return bundle_sets(d).select("uid", "task_set", "anchor")
 
 
-@query("biz2_errand_bundles", f"SELECT uid, task_set, anchor, n FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, metres, anchor) AS rn FROM ({_BUNDLE})) WHERE rn = 1")
+@query("biz2_errand_bundles", f"SELECT uid, task_set, anchor, n FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY n DESC, mm, anchor) AS rn FROM ({_SETS})) WHERE rn = 1")
 def biz2(d: Domain) -> DataFrame:
-    best = F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("n"), "metres", "anchor"))
-    return bundles(d).withColumn("rn", best).where("rn = 1").select("uid", "task_set", "anchor", "n")
+    best = bundle_sets(d).groupBy("uid").agg(F.min(F.struct((-F.col("n")).alias("late"), "mm", "anchor", "task_set", "n")).alias("b"))
+    return best.select("uid", "b.task_set", "b.anchor", "b.n")
 
 
-@query("top2_bundle_rank", f"SELECT uid, anchor, row_number() OVER (PARTITION BY uid ORDER BY n DESC, metres, anchor) AS place FROM ({_BUNDLE})")
+@query("top2_bundle_rank", f"SELECT uid, anchor, task_set, row_number() OVER (PARTITION BY uid ORDER BY n DESC, mm, anchor) AS place FROM ({_SETS})")
 def top2(d: Domain) -> DataFrame:
-    return bundles(d).select("uid", "anchor", F.row_number().over(Window.partitionBy("uid").orderBy(F.desc("n"), "metres", "anchor")).cast("long").alias("place"))
+    order = Window.partitionBy("uid").orderBy(F.desc("n"), "mm", "anchor")
+    return bundle_sets(d).select("uid", "anchor", "task_set", F.row_number().over(order).cast("long").alias("place"))

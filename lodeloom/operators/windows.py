@@ -81,13 +81,13 @@ def win12(d: Domain) -> DataFrame:
 
 @query("win13_daily_alert", "SELECT uid, kind, at_s // 86400 AS day_no, min(id) AS id FROM inbox GROUP BY ALL")
 def win13(d: Domain) -> DataFrame:
-    first = F.row_number().over(Window.partitionBy("uid", "kind", "day_no").orderBy("id"))
-    return d.inbox.withColumn("day_no", F.expr("at_s div 86400")).withColumn("rn", first).where("rn = 1").select("uid", "kind", "day_no", "id")
+    return d.inbox.groupBy("uid", "kind", F.expr("at_s div 86400").alias("day_no")).agg(F.min("id").alias("id"))
 
 
-@query("win14_lru_eviction", "SELECT place_id FROM places WHERE area IS NOT NULL UNION ALL (SELECT place_id FROM places WHERE area IS NULL ORDER BY matched_s DESC, place_id DESC LIMIT 900)")
-def win14(d: Domain) -> DataFrame:
-    ambient = d.places.where("area is null").orderBy(F.desc("matched_s"), F.desc("place_id")).limit(900)
+@query("win14_lru_eviction", "SELECT place_id FROM places WHERE area IS NOT NULL UNION ALL (SELECT place_id FROM places WHERE area IS NULL ORDER BY matched_s DESC, place_id DESC LIMIT 2000)")
+def win14(d: Domain, most: int = 2000) -> DataFrame:
+    """Places of areas stay; of all others the most that were met last."""
+    ambient = d.places.where("area is null").orderBy(F.desc("matched_s"), F.desc("place_id")).limit(most)
     return d.places.where("area is not null").select("place_id").union(ambient.select("place_id"))
 
 

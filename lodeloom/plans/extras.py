@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from lodeloom.binding import NOW, Domain, query
 
 
+#: Ids that a range has at most when rows are numbered.
+RANGE = 65_536
+
+
 class EmptyArea(ValueError):
     """A download without a single place."""
 
@@ -47,10 +51,17 @@ def snk1(d: Domain) -> DataFrame:
     return d.tasks.select(F.uuid().alias("id")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
 
 
-@query("snk3_batches", "SELECT batch, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY task_id) - 1) // 500 AS batch FROM tasks WHERE task_id <= 3000) GROUP BY batch")
+@query("snk3_batches", "SELECT batch, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY task_id) - 1) // 500 AS batch FROM tasks) GROUP BY batch")
 def snk3(d: Domain) -> DataFrame:
-    """Batches of at most 500 as the store would take them; a table writer needs none."""
-    numbered = d.tasks.where("task_id <= 3000").selectExpr("(row_number() over (order by task_id) - 1) div 500 as batch")
+    """Batches of at most 500 as the store would take them; a table writer needs none.
+
+    Rows are numbered within ranges of ids, and ranges by the numbers of rows before them, so that no task sees all rows.
+    """
+    ranged = d.tasks.select("task_id", F.floor(F.col("task_id") / RANGE).alias("range"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    nth = F.row_number().over(Window.partitionBy("range").orderBy("task_id"))
+    numbered = ranged.withColumn("nth", nth).join(starts, "range").select(F.expr("(start + nth - 1) div 500").alias("batch"))
     return numbered.groupBy("batch").agg(F.count("*").alias("n"))
 
 

@@ -37,11 +37,11 @@ def completions(d: Domain) -> DataFrame:
     return rows.withColumn("kinds", F.sum((F.col("poi").isNotNull() & (F.col("nth_of_type") == 1)).cast("int")).over(so_far))
 
 
-@query("biz4_rewards", f"SELECT task_id, nth = 1 AS first_brush, completed_s - created_s >= 3 * 86400 AS worth_wait, poi IS NOT NULL AND nth_of_type = 1 AND kinds = 3 AS out_about, poi IS NOT NULL AND poi_so_far = 10 AS explorer, completed_s % 86400 < 9 * 3600 AS early_bird FROM ({_REWARDS})")
+@query("biz4_rewards", f"SELECT task_id, nth = 1 AS first_done, completed_s - created_s >= 3 * 86400 AS worth_wait, poi IS NOT NULL AND nth_of_type = 1 AND kinds = 3 AS out_about, poi IS NOT NULL AND poi_so_far = 10 AS explorer, completed_s % 86400 < 9 * 3600 AS early_bird FROM ({_REWARDS})")
 def biz4(d: Domain) -> DataFrame:
     """The closed-form rules, one flag each for the completion that earns it."""
     went, c = F.col("poi").isNotNull(), F.col
-    return completions(d).select("task_id", (c("nth") == 1).alias("first_brush"), (c("completed_s") - c("created_s") >= 3 * DAY).alias("worth_wait"), (went & (c("nth_of_type") == 1) & (c("kinds") == 3)).alias("out_about"), (went & (c("poi_so_far") == 10)).alias("explorer"), (c("completed_s") % DAY < 9 * 3600).alias("early_bird"))
+    return completions(d).select("task_id", (c("nth") == 1).alias("first_done"), (c("completed_s") - c("created_s") >= 3 * DAY).alias("worth_wait"), (went & (c("nth_of_type") == 1) & (c("kinds") == 3)).alias("out_about"), (went & (c("poi_so_far") == 10)).alias("explorer"), (c("completed_s") % DAY < 9 * 3600).alias("early_bird"))
 
 
 @query("biz5_award_or_progress", "SELECT uid, kind, n, CASE WHEN n >= 5 AND (kind % 2 = 0 OR n = 5) THEN 'award' ELSE 'progress' END AS outcome FROM (SELECT uid, id % 11 AS kind, count(*) AS n FROM ledger GROUP BY ALL)")
@@ -165,8 +165,7 @@ def biz25(d: Domain) -> DataFrame:
 
 @query("biz26_share_moves", "SELECT uid, entry AS id, 'task' AS place FROM players WHERE joined = 'accepted' UNION ALL SELECT uid, entry, 'inbox' FROM players WHERE joined = 'pending'")
 def biz26(d: Domain) -> DataFrame:
-    answered = d.players.where("joined <> 'pending'").select("entry")
-    waiting = d.players.join(answered, "entry", "left_anti").select("uid", F.col("entry").alias("id"), F.lit("inbox").alias("place"))
+    waiting = d.players.where("joined = 'pending'").select("uid", F.col("entry").alias("id"), F.lit("inbox").alias("place"))
     return waiting.union(d.players.where("joined = 'accepted'").select("uid", "entry", F.lit("task")))
 
 
