@@ -147,6 +147,8 @@ def duckdb_sql(body: str) -> str:
     needed = [n for n in DERIVED if n in body.replace("(", " ").replace(",", " ").replace(")", " ").split()]
     derivations = [f"{n} AS (SELECT {', '.join(f'{e} AS {c}' for c, e in DERIVED[n][1].items())} FROM {DERIVED[n][0]})" for n in needed]
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join([*derivations, body[15:]])
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join([*derivations, body[5:]])
     return ("WITH " + ", ".join(derivations) + " " if derivations else "") + body

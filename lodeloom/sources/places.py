@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,3 +102,42 @@ def src16(d: Domain) -> DataFrame:
     return d.places.join(F.broadcast(types), "poi").agg(F.count("*").alias("n"), F.countDistinct("poi").alias("types"))
 
 
+@query("src11_lenient_types", "SELECT t AS poi_type, count(place_id) FILTER (t <> 3 AND place_id % 5 <> 0) AS n FROM (SELECT unnest(range(4)) AS t) LEFT JOIN places ON poi % 4 = t GROUP BY t")
+def src11(d: Domain) -> DataFrame:
+    """A lenient reader: every requested type has a row, and one whose response can't be parsed has an empty bucket."""
+    tag = F.map_from_arrays(F.array(F.lit("name"), F.lit("amenity")), F.array("name", (F.col("poi") % 4).cast("string")))
+    element = F.struct(F.when(F.col("place_id") % 5 == 0, "way").otherwise("node").alias("type"), F.col("place_id").alias("id"), "lat", F.col("lng").alias("lon"), tag.alias("tags"))
+    json = F.to_json(F.struct(F.collect_list(element).alias("elements")))
+    text = sliced(d.places).groupBy("poi", "slice").agg(json.alias("json")).select(F.when(F.col("poi") % 4 == 3, F.concat(F.lit("error: "), "json")).otherwise(F.col("json")).alias("json"))
+    tags = d.spark.range(4).select(F.col("id").alias("poi_type"), F.lit("amenity").alias("key"), F.col("id").cast("string").alias("value"), F.col("id").alias("pos"))
+    found = match_elements(text.select(F.from_json("json", OVERPASS).alias("r")).select("r.elements"), tags)
+    counts = found.groupBy("poi_type").agg(F.count("*").alias("n"))
+    return tags.select("poi_type").join(counts, "poi_type", "left").select("poi_type", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query("src17_labelled_text", "SELECT task_id, concat(title, ', \"x\"') AS text, category AS label FROM tasks")
+def src17(d: Domain) -> DataFrame:
+    """Labelled text as CSV lines and back; commas, quotes and spaces at the ends stay."""
+    options = {"escape": '"', "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+    lines = d.tasks.select("task_id", F.to_csv(F.struct(F.concat("title", F.lit(', "x"')).alias("text"), F.col("category").alias("label")), options).alias("line"))
+    return lines.select("task_id", F.from_csv("line", "text string, label string", options).alias("r")).select("task_id", "r.text", "r.label")
+
+
+def settled(read: Callable[[], DataFrame], default: DataFrame) -> DataFrame:
+    """What a source gives, or default where it can't be read; other sources go on."""
+    try:
+        return read()
+    except AnalysisException:  # no such path, or columns that aren't there
+        return default
+
+
+@query("rel3_settle_all", "SELECT u.uid, coalesce(t.n, 0) AS open_tasks, coalesce(r.n, 0) AS trips, CAST(0 AS BIGINT) AS forecasts FROM users u LEFT JOIN (SELECT uid, count(*) AS n FROM tasks WHERE NOT done GROUP BY uid) t USING (uid) LEFT JOIN (SELECT uid, count(*) AS n FROM trips GROUP BY uid) r USING (uid)")
+def rel3(d: Domain) -> DataFrame:
+    """A screen's counts from several sources, one of which isn't there: each failed or empty source gives its default."""
+    nothing = d.spark.createDataFrame([], "uid long, n long")
+    per_user = lambda rows: rows.groupBy("uid").agg(F.count("*").alias("n"))
+    sources = {"open_tasks": lambda: per_user(d.tasks.where("not done")), "trips": lambda: per_user(d.trips), "forecasts": lambda: per_user(d.raw("no_such_table"))}
+    out = d.users.select("uid")
+    for name, read in sources.items():
+        out = out.join(settled(read, nothing).withColumnRenamed("n", name), "uid", "left")
+    return out.select("uid", *(F.coalesce(name, F.lit(0).cast("long")).alias(name) for name in sources))

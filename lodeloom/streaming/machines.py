@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from lodeloom.binding import Domain, query
+from lodeloom.functions.geo import duck_haversine
 
 State = dict[str, Any]
 Step = Callable[[State, State], tuple[State, Any]]
@@ -36,7 +37,7 @@ def movement_gate(state: State, fix: State, least: float = 200.0) -> tuple[State
 
 def dwell(state: State, fix: State, wait: int = 300) -> tuple[State, str | None]:
     """A prompt when a place is the hero again wait seconds after it first was; the clock then starts anew."""
-    place = str(fix["fix_id"] % 3)
+    place = str(fix["place"])
     first = state.get(place)
     if first is None:
         return state | {place: fix["at_s"]}, None
@@ -82,19 +83,20 @@ def tuning(state: State, fix: State) -> tuple[State, str | None]:
 
 
 def alert_dedup(state: State, fix: State) -> tuple[State, str | None]:
-    """One alert a place and day; when nothing is near, the day's memory goes."""
+    """One alert a place and day; when nothing is near, the day's memory goes, and that of earlier days goes anyway."""
     if fix["accuracy"] > 200:
         return {}, None
-    key = f"{fix['fix_id'] % 3}:{fix['at_s'] // 86400}"
+    day = f":{fix['at_s'] // 86400}"
+    state, key = {k: v for k, v in state.items() if k.endswith(day)}, f"{fix['place']}{day}"
     return (state, None) if key in state else (state | {key: True}, f"alert {key}")
 
 
 def cooldown(state: State, fix: State, keep: int = 3600) -> tuple[State, str | None]:
-    """An empty result keeps its cell from being asked for again for keep seconds."""
-    cell = str(fix["fix_id"] % 4)
-    if fix["at_s"] - state.get(cell, -keep) < keep:
+    """An empty result keeps its cell from being asked for again for keep seconds; cells are forgotten when that is over."""
+    state, cell = {k: v for k, v in state.items() if fix["at_s"] - v < keep}, str(fix["cell"])
+    if cell in state:
         return state, "skip"
-    return (state | {cell: fix["at_s"]} if fix["fix_id"] % 2 else state), "ask"
+    return (state | {cell: fix["at_s"]} if fix["empty"] else state), "ask"
 
 
 STEPS: dict[str, Step] = {"win9_movement_gate": movement_gate, "win15_dwell": dwell, "stm2_indoor": indoor, "win11_rate_limit": rate_limit, "stm3_tuning": tuning, "stm7_alert_dedup": alert_dedup, "stm17_cooldown": cooldown}
@@ -143,8 +145,26 @@ def stream(step: Step, events: DataFrame) -> DataFrame:
     return events.groupBy("uid").transformWithStateInPandas(statefulProcessor=Machine(step), outputStructType=OUT, outputMode="Append", timeMode="None")
 
 
+def sightings(d: Domain) -> DataFrame:
+    """Fixes with what was found at each: the nearest place, the map cell, and whether a search there came back empty."""
+    return d.fixes.selectExpr("*", "fix_id % 3 as place", "fix_id % 4 as cell", "fix_id % 2 = 1 as empty")
+
+
+_IN_ORDER = "SELECT *, {p} AS part, row_number() OVER (PARTITION BY uid, {p} ORDER BY at_s, fix_id) AS k FROM fixes"
+_NEXT = "FROM r JOIN f ON f.uid = r.uid AND f.part = r.part AND f.k = r.k + 1"
+_FAR = f"{duck_haversine('r.lat', 'r.lng', 'f.lat', 'f.lng')} >= 200"
+#: The machines in SQL: a recursion over a user's events, or over those of a user's place or cell where these don't touch one another.
+STEP_SQL = {
+    "win9_movement_gate": f"WITH RECURSIVE f AS ({_IN_ORDER.format(p=0)}), r AS (SELECT uid, part, k, fix_id, lat, lng, true AS hit FROM f WHERE k = 1 UNION ALL SELECT f.uid, f.part, f.k, f.fix_id, CASE WHEN {_FAR} THEN f.lat ELSE r.lat END, CASE WHEN {_FAR} THEN f.lng ELSE r.lng END, {_FAR} {_NEXT}) SELECT uid, fix_id, 'search' AS said FROM r WHERE hit",
+    "win11_rate_limit": f"WITH RECURSIVE f AS ({_IN_ORDER.format(p=0)}), r AS (SELECT uid, part, k, fix_id, at_s AS start, 1 AS n, 'allow' AS said FROM f WHERE k = 1 UNION ALL SELECT f.uid, f.part, f.k, f.fix_id, CASE WHEN f.at_s - r.start >= 3600 THEN f.at_s ELSE r.start END, CASE WHEN f.at_s - r.start >= 3600 THEN 1 WHEN r.n >= 2 THEN r.n ELSE r.n + 1 END, CASE WHEN f.at_s - r.start >= 3600 OR r.n < 2 THEN 'allow' ELSE 'refuse' END {_NEXT}) SELECT uid, fix_id, said FROM r",
+    "win15_dwell": f"WITH RECURSIVE f AS ({_IN_ORDER.format(p='fix_id % 3')}), r AS (SELECT uid, part, k, fix_id, at_s AS first, false AS hit FROM f WHERE k = 1 UNION ALL SELECT f.uid, f.part, f.k, f.fix_id, CASE WHEN r.first IS NULL THEN f.at_s WHEN f.at_s - r.first < 300 THEN r.first END, coalesce(f.at_s - r.first >= 300, false) {_NEXT}) SELECT uid, fix_id, concat('prompt ', part) AS said FROM r WHERE hit",
+    "stm3_tuning": f"WITH RECURSIVE f AS ({_IN_ORDER.format(p=0)}), r AS (SELECT uid, part, k, fix_id, CASE WHEN accuracy > 50 THEN 'prompted' ELSE 'new' END AS now, accuracy > 50 AS hit FROM f WHERE k = 1 UNION ALL SELECT f.uid, f.part, f.k, f.fix_id, CASE WHEN r.now = 'new' AND f.accuracy > 50 THEN 'prompted' WHEN r.now = 'prompted' AND f.accuracy <= 20 THEN 'active' WHEN r.now = 'active' AND f.accuracy > 200 THEN 'off' ELSE r.now END, (r.now = 'new' AND f.accuracy > 50) OR (r.now = 'prompted' AND f.accuracy <= 20) OR (r.now = 'active' AND f.accuracy > 200) {_NEXT}) SELECT uid, fix_id, now AS said FROM r WHERE hit",
+    "stm7_alert_dedup": "SELECT uid, fix_id, concat('alert ', place, ':', day) AS said FROM (SELECT *, row_number() OVER (PARTITION BY uid, cleared, place, day ORDER BY at_s, fix_id) AS nth FROM (SELECT *, fix_id % 3 AS place, at_s // 86400 AS day, count(*) FILTER (accuracy > 200) OVER (PARTITION BY uid ORDER BY at_s, fix_id ROWS UNBOUNDED PRECEDING) AS cleared FROM fixes) WHERE NOT coalesce(accuracy > 200, false)) WHERE nth = 1",
+    "stm17_cooldown": f"WITH RECURSIVE f AS ({_IN_ORDER.format(p='fix_id % 4')}), r AS (SELECT uid, part, k, fix_id, CASE WHEN fix_id % 2 = 1 THEN at_s END AS last, 'ask' AS said FROM f WHERE k = 1 UNION ALL SELECT f.uid, f.part, f.k, f.fix_id, CASE WHEN f.at_s - r.last < 3600 THEN r.last WHEN f.fix_id % 2 = 1 THEN f.at_s END, CASE WHEN f.at_s - r.last < 3600 THEN 'skip' ELSE 'ask' END {_NEXT}) SELECT uid, fix_id, said FROM r",
+}
+
 for _name, _step in STEPS.items():
-    query(_name, None)(lambda d, s=_step: fold(s, d.fixes))
+    query(_name, STEP_SQL.get(_name))(lambda d, s=_step: fold(s, sightings(d)))
 
 
 @query("stm6_offline_queue", "SELECT id FROM inbox WHERE id % 10 * 60 <= 300")
