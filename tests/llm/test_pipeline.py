@@ -21,7 +21,7 @@ def test_stages_and_run(spark, sf, tmp_path):
     texts = [{r.doc_id: r.text for r in b.collect()} for b, _ in seen]
     kept = {r.doc_id for r in quality.judge(seen[0][0]).where("kept").collect()}
     assert texts[1] == {i: t for i, t in texts[0].items() if i in kept}
-    drop = {(r.node, r.line_no) for r in lines.line_classes(seen[1][0]).where("not kept").collect()}
+    drop = {(r.doc_id, r.line_no) for r in lines.line_classes(seen[1][0]).where("not kept").collect()}
     pruned = {i: "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in drop) for i, t in texts[1].items()}
     assert drop and texts[2] == {i: t for i, t in pruned.items() if t.split() or not texts[1][i].split()}
     classes = brute_classes(list(texts[2].items()))
