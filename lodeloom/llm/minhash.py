@@ -28,6 +28,8 @@ BANDS, ROWS = 28, 5
 SMALL = 32
 #: Shingles and texts of a block of crowded texts, about, and columns of a product of blocks.
 BLOCK, BLOCK_TEXTS, COLUMNS = 1 << 18, 1 << 11, 1 << 13
+#: Cells of the table of counts that puts units in order, whatever the input.
+CELLS = 1 << 16
 #: Rounding that a bound on counts may be off by.
 SLACK = 1e-6
 U = np.uint64
@@ -226,6 +228,42 @@ def lists_of(array: pa.Array) -> list[np.ndarray]:
     return np.split(pc.list_flatten(array).to_numpy(zero_copy_only=False), ends[:-1]) if len(array) else []
 
 
+def cell_counts(sets: DataFrame) -> np.ndarray:
+    """How many units of sets(units) fall into each of CELLS cells. Tasks count first, and this table of fixed size is all that reaches the driver."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            total += np.bincount(cells_of(pc.list_flatten(batch["units"]).to_numpy(zero_copy_only=False)), minlength=CELLS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
+
+    found = sets.select("units").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(CELLS, np.int64)
+    out[found["cell"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def cells_of(units: np.ndarray) -> np.ndarray:
+    return units & np.int64(CELLS - 1)
+
+
+def with_prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
+    """sets(node, block, units) with prefix, its first units by (counts of their cell, unit), and short_n, how many of these it needs as the smaller text."""
+
+    def most(n: int, share: float) -> int:
+        return max(0, n + 1 - int(np.ceil(n * share - SLACK)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch["units"]).to_pylist()
+            first = [u[np.lexsort((u, counts[cells_of(u)]))[: most(len(u), similarity)]] for u in lists_of(batch["units"])]
+            short = pa.array([most(n, 2 * similarity / (1 + similarity)) for n in sizes], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["block"], batch["units"], pa.array(first, pa.list_(pa.int64())), short], names=["node", "block", "units", "prefix", "short_n"])
+
+    return sets.select("node", "block", "units").mapInArrow(cut, "node long, block long, units array<long>, prefix array<long>, short_n int")
+
+
 def linked_between(longer: pa.StructArray, shorter: pa.StructArray, similarity: float) -> pa.RecordBatch:
     """crossed for the members of two blocks that share a unit of their prefixes, the whole one of longer and the short one of shorter."""
     ahead, after = lists_of(longer.field("prefix")), [p[:n] for p, n in zip(lists_of(shorter.field("prefix")), shorter.field("short_n").to_pylist(), strict=True)]
@@ -238,15 +276,16 @@ def linked_between(longer: pa.StructArray, shorter: pa.StructArray, similarity:
     return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(other[some]), pa.array(links[some].astype(np.int64))], names=["node", "other", "n_links"])
 
 
-def crowd_links(docs: DataFrame, texts: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
-    """node, other, n_links for texts of crowded(node, n_shingles, band, key, n), the members of crowded buckets.
+def crowd_links(known: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
+    """node, other, n_links for texts of crowded(node, n_shingles, band, key, n), the members of crowded buckets; known(node, units) has their units.
 
     The sum of n_links over a node's rows is the number of all crowded texts it is linked to; other hangs together with node by links.
 
-    Exact, by prefixes: with units in one order, rare ones first, the first common unit of two texts linked lies within the first
-    n - similarity * n + 1 units of the larger and the first n - 2 * similarity / (1 + similarity) * n + 1 of the smaller, so that
-    what a whole family shares is met only by texts that are alike. Texts are dealt to blocks by their family's largest bucket. Under a unit
-    blocks meet and not texts: each set of blocks that stand together under some unit makes its pairs once, and the texts of two blocks
+    Exact, by prefixes: with units in one order, the first common unit of two texts linked lies within the first
+    n - similarity * n + 1 units of the larger and the first n - 2 * similarity / (1 + similarity) * n + 1 of the smaller; with rare ones first,
+    what a whole family shares is met only by texts that are alike. Any order does; this one goes by how many units fall into a unit's cell,
+    so that common ones come last, and it takes no join: cells are of a fixed number, and their counts are known to all tasks. Texts are
+    dealt to blocks by their family's largest bucket. Under a unit blocks meet and not texts: each set of blocks that stand together under some unit makes its pairs once, and the texts of two blocks
     that met are compared in one task by a product of matrices. Only numbers of links and a link to hang by leave it.
     """
     home = crowded.groupBy("node", "n_shingles").agg(F.max(F.struct("n", "band", "key")).alias("crowd"))
@@ -257,21 +296,13 @@ def crowd_links(docs: DataFrame, texts: DataFrame, crowded: DataFrame, similarit
     home = held(home, "crowd-homes")
     parts = home.groupBy("crowd").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("parts"))
     dealt = home.join(parts, "crowd").select("node", F.xxhash64("crowd.band", "crowd.key", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
-    blocks = held(dealt.join(texts.select("node", "digest", F.col("home")), "node"), "crowd-blocks")
-    sets = held(unit_sets(texts_of(docs, blocks.select("node", "digest", "home"))).join(blocks.select("node", "block"), "node"), "crowd-sets")
-
-    units = sets.select("node", "block", F.size("units").alias("size"), F.explode("units").alias("unit"))
-    shared = held(units.groupBy("unit").agg(F.count("*").alias("times")).where("times > 1"), "crowd-units")
-    ranked = units.join(shared, "unit").groupBy("node", "block", "size").agg(F.sort_array(F.collect_list(F.struct("times", "unit"))).alias("all"))
-    # Units of one text only come first; they take places and meet nothing.
-    within = lambda share: F.greatest(F.lit(0), F.size("all") + 1 - F.ceil(F.col("size") * share - SLACK)).cast("int")
-    cut = ranked.select("node", "block", F.transform(F.slice("all", F.lit(1), within(similarity)), lambda u: u["unit"]).alias("prefix"), within(2 * similarity / (1 + similarity)).alias("short_n"))
-    prefixes = held(cut, "crowd-prefixes")
+    sets = held(known.join(dealt, "node"), "crowd-sets")
+    prefixes = held(with_prefixes(sets, cell_counts(sets), similarity), "crowd-prefixes")
     at = prefixes.select("block", "short_n", F.posexplode("prefix").alias("pos", "unit")).groupBy("unit", "block").agg(F.max(F.col("pos") < F.col("short_n")).alias("short"))
     # Units that stand in the same blocks say the same about them.
     together = held(at.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("block", "short"))).alias("who")).select("who").distinct(), "crowd-together")
     met = together.select("who", F.explode("who").alias("y")).where("y.short").select("y", F.explode("who").alias("x")).select("x.block", F.col("y.block").alias("y")).toDF("x", "y").distinct()
-    whole = held(sets.join(prefixes.drop("block"), "node").groupBy("block").agg(F.collect_list(F.struct("node", "units", "prefix", "short_n")).alias("members")), "crowd-members")  # of bounded size
+    whole = held(prefixes.groupBy("block").agg(F.collect_list(F.struct("node", "units", "prefix", "short_n")).alias("members")), "crowd-members")  # of bounded size
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +322,6 @@ def classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     buckets = held(placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = held(placed.join(buckets, ["band", "key"]), "bucket-members")
     crowded = met.where(F.col("n") > SMALL)
-    crowds = held(crowd_links(docs, texts, crowded, similarity), "crowd-links")
     in_crowd = crowded.select("node").distinct().withColumn("in_crowd", F.lit(True))
     few = met.where(F.col("n") <= SMALL).join(in_crowd, "node", "left")
     member = F.struct("node", "n_shingles", F.coalesce("in_crowd", F.lit(False)).alias("in_crowd"))
@@ -301,9 +331,10 @@ def classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     alike = F.least("n_shingles", "n_other") >= similarity * F.greatest("n_shingles", "n_other")
     pairs = held(each.where(alike).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
     wanted = held(wanted.join(texts.select("node", "digest", "home"), "node"), "wanted")
     sets = held(unit_sets(texts_of(docs, wanted)), "unit-sets")
+    crowds = held(crowd_links(sets, crowded, similarity), "crowd-links")
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("units").alias("units_a")), "a")
     with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("units").alias("units_b")), "b")
     common = F.size(F.array_intersect("units_a", "units_b"))
