@@ -91,12 +91,12 @@ def top15(d: Domain) -> DataFrame:
     return type_scores(d).withColumn("place", F.row_number().over(order).cast("long")).where("place <= 8").select("task_id", "type", "place")
 
 
-@query("str11_token_ids", "SELECT t.task_id, array_to_string(list_resize(list_slice([coalesce(v[w], 1) FOR w IN string_split(lower(trim(title)), ' ')], 1, 12), 12, 0), ',') AS ids FROM tasks t, (SELECT map_from_entries(list((token, id))) AS v FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(trim(title)), ' ')) AS token FROM tasks) GROUP BY token) ORDER BY n DESC, token LIMIT 50))")
+@query("str11_token_ids", "SELECT t.task_id, array_to_string(list_resize(list_slice([coalesce(v[w], 1) FOR w IN string_split(lower(trim(title)), ' ')], 1, 12), 12, 0), ',') AS ids FROM tasks t, (SELECT map_from_entries(list((token, id))) AS v FROM (SELECT token, row_number() OVER (ORDER BY n DESC, token) + 1 AS id FROM (SELECT token, count(*) AS n FROM (SELECT unnest(string_split(lower(trim(title)), ' ')) AS token FROM tasks) WHERE token <> '' GROUP BY token) ORDER BY n DESC, token LIMIT 4998))")
 def str11(d: Domain) -> DataFrame:
     words = F.split(F.lower(F.trim("title")), " ")
-    counts = d.tasks.select(F.explode(words).alias("token")).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(50)
+    counts = d.tasks.select(F.explode(words).alias("token")).where("token <> ''").groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(4998)
     ids = counts.selectExpr("token", "cast(row_number() over (order by n desc, token) + 1 as bigint) as id")
-    table = ids.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("v"))  # fifty entries
+    table = ids.agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("v"))  # 4,998 entries at most, as in agg23
     rows = d.tasks.select("task_id", words.alias("w")).join(F.broadcast(table))
     known = F.transform(F.slice("w", 1, 12), lambda t: F.coalesce(F.try_element_at("v", t), F.lit(1).cast("long")))
     padded = F.slice(F.concat(known, F.array_repeat(F.lit(0).cast("long"), 12)), 1, 12)
