@@ -28,8 +28,6 @@ BANDS, ROWS = 28, 5
 SMALL = 32
 #: Shingles and texts of a block of crowded texts, about, and columns of a product of blocks.
 BLOCK, BLOCK_TEXTS, COLUMNS = 1 << 18, 1 << 11, 1 << 13
-#: Cells of the table of counts that puts units in order, whatever the input.
-CELLS = 1 << 16
 #: Rounding that a bound on counts may be off by.
 SLACK = 1e-6
 U = np.uint64
@@ -204,14 +202,14 @@ def in_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def crossed(longer: list[np.ndarray], shorter: list[np.ndarray], ids: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each text, those of longer first, and a node that it hangs together with; longer and shorter hold
-    sets of units, ids their nodes. Each pair counts once: as the greater (size, node) of longer with the lesser of shorter."""
-    n, sizes = len(longer), np.array([len(x) for x in [*longer, *shorter]])
-    common = in_common(longer, shorter)
-    a, b = sizes[:n, None], sizes[None, n:]
-    linked = common >= similarity * (a + b - common.astype(np.float64))
-    linked &= (a > b) | ((a == b) & (ids[:n, None] > ids[None, n:]))
+def crossed(left: list[np.ndarray], right: list[np.ndarray], ids: np.ndarray, same: bool, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each text, those of left first, and a node that it hangs together with; left and right hold sets of units,
+    ids their nodes. same: right is left again, and each of its pairs counts once."""
+    n, sizes = len(left), np.array([len(x) for x in [*left, *right]])
+    common = in_common(left, right)
+    linked = common >= similarity * (sizes[:n, None] + sizes[None, n:] - common.astype(np.float64))
+    if same:
+        linked &= ids[:n, None] > ids[None, n:]
     x, y = np.nonzero(linked)
     y += n
     known, place = np.unique(ids, return_inverse=True)  # a node may stand on both sides
@@ -228,65 +226,51 @@ def lists_of(array: pa.Array) -> list[np.ndarray]:
     return np.split(pc.list_flatten(array).to_numpy(zero_copy_only=False), ends[:-1]) if len(array) else []
 
 
-def cell_counts(sets: DataFrame) -> np.ndarray:
-    """How many units of sets(units) fall into each of CELLS cells. Tasks count first, and this table of fixed size is all that reaches the driver."""
+def that_may_link(left: list[np.ndarray], right: list[np.ndarray], same: bool, similarity: float) -> tuple[list[int], list[int]]:
+    """Which sets of left and of right share a unit of their prefixes with one of the other side; same: right is left again.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            total += np.bincount(cells_of(pc.list_flatten(batch["units"]).to_numpy(zero_copy_only=False)), minlength=CELLS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["cell", "n"])
-
-    found = sets.select("units").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(CELLS, np.int64)
-    out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out
-
-
-def cells_of(units: np.ndarray) -> np.ndarray:
-    return units & np.int64(CELLS - 1)
-
-
-def with_prefixes(sets: DataFrame, counts: np.ndarray, similarity: float) -> DataFrame:
-    """sets(node, block, units) with prefix, its first units by (counts of their cell, unit), and short_n, how many of these it needs as the smaller text."""
-
-    def most(n: int, share: float) -> int:
-        return max(0, n + 1 - int(np.ceil(n * share - SLACK)))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.list_value_length(batch["units"]).to_pylist()
-            first = [u[np.lexsort((u, counts[cells_of(u)]))[: most(len(u), similarity)]] for u in lists_of(batch["units"])]
-            short = pa.array([most(n, 2 * similarity / (1 + similarity)) for n in sizes], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["block"], batch["units"], pa.array(first, pa.list_(pa.int64())), short], names=["node", "block", "units", "prefix", "short_n"])
-
-    return sets.select("node", "block", "units").mapInArrow(cut, "node long, block long, units array<long>, prefix array<long>, short_n int")
-
-
-def linked_between(longer: pa.StructArray, shorter: pa.StructArray, similarity: float) -> pa.RecordBatch:
-    """crossed for the members of two blocks that share a unit of their prefixes, the whole one of longer and the short one of shorter."""
-    ahead, after = lists_of(longer.field("prefix")), [p[:n] for p, n in zip(lists_of(shorter.field("prefix")), shorter.field("short_n").to_pylist(), strict=True)]
-    meet = np.intersect1d(np.concatenate(ahead), np.concatenate(after))
-    x, y = ([i for i, p in enumerate(side) if np.isin(p, meet).any()] for side in (ahead, after))
-    longer, shorter = longer.take(pa.array(x, pa.int64())), shorter.take(pa.array(y, pa.int64()))
-    ids = np.concatenate([longer.field("node").to_numpy(), shorter.field("node").to_numpy()])
-    links, other = crossed(lists_of(longer.field("units")), lists_of(shorter.field("units")), ids, similarity)
+    With the units of both sides in one order, rare ones first, two sets of n units or more that are linked have a unit in common
+    within the first n - similarity * n + 1 of each, so that no link is lost.
+    """
+    sets = left if same else [*left, *right]
+    sizes = np.array([len(u) for u in sets])
+    known, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(known), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(known))
+    owner, rank = np.repeat(np.arange(len(sets)), sizes), rank[place]
+    order = np.lexsort((rank, owner))
+    nth = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ahead = order[nth < np.repeat(sizes + 1 - np.ceil(sizes * similarity - SLACK), sizes)]
+    if same:
+        shared = np.bincount(rank[ahead], minlength=len(known)) > 1
+        some = np.unique(owner[ahead][shared[rank[ahead]]]).tolist()
+        return some, some
+    first = owner[ahead] < len(left)
+    shared = np.zeros((2, len(known)), bool)
+    shared[0, rank[ahead][first]] = shared[1, rank[ahead][~first]] = True
+    some = np.unique(owner[ahead][shared.all(0)[rank[ahead]]])
+    return some[some < len(left)].tolist(), (some[some >= len(left)] - len(left)).tolist()
+
+
+def linked_between(left: pa.StructArray, right: pa.StructArray, same: bool, similarity: float) -> pa.RecordBatch:
+    """node, other, n_links: what crossed finds for two blocks of (node, units), or for one block with itself."""
+    nodes, sets = [b.field("node").to_numpy() for b in (left, right)], [lists_of(b.field("units")) for b in (left, right)]
+    x, y = that_may_link(*sets, same, similarity)
+    ids = np.concatenate([nodes[0][x], nodes[1][y]])
+    links, other = crossed([sets[0][i] for i in x], [sets[1][i] for i in y], ids, same, similarity)
     some = links > 0
     return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(other[some]), pa.array(links[some].astype(np.int64))], names=["node", "other", "n_links"])
 
 
 def crowd_links(known: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
-    """node, other, n_links for texts of crowded(node, n_shingles, band, key, n), the members of crowded buckets; known(node, units) has their units.
+    """node, other, n_links for the texts of crowded(node, n_shingles, band, key, n), all rows in buckets of the texts that stand in a
+    crowded one; known(node, units) has their units.
 
-    The sum of n_links over a node's rows is the number of all crowded texts it is linked to; other hangs together with node by links.
+    The sum of n_links over a node's rows is the number of all such texts it is linked to; other hangs together with node by links.
 
-    Exact, by prefixes: with units in one order, the first common unit of two texts linked lies within the first
-    n - similarity * n + 1 units of the larger and the first n - 2 * similarity / (1 + similarity) * n + 1 of the smaller; with rare ones first,
-    what a whole family shares is met only by texts that are alike. Any order does; this one goes by how many units fall into a unit's cell,
-    so that common ones come last, and it takes no join: cells are of a fixed number, and their counts are known to all tasks. Texts are
-    dealt to blocks by their family's largest bucket. Under a unit blocks meet and not texts: each set of blocks that stand together under some unit makes its pairs once, and the texts of two blocks
-    that met are compared in one task by a product of matrices. Only numbers of links and a link to hang by leave it.
+    Texts are dealt to blocks by their family's largest bucket. In a bucket blocks meet and not texts: each set of blocks that stand
+    together in some bucket makes its pairs once, and all texts of two blocks that met are compared in one task, by their prefixes and then by
+    a product of matrices. So every link between texts that share a bucket is found. Only numbers of links and a link to hang by leave the task.
     """
     home = crowded.groupBy("node", "n_shingles").agg(F.max(F.struct("n", "band", "key")).alias("crowd"))
     for _ in range(2):  # a family's buckets share texts; its texts go to the largest of them
@@ -295,22 +279,21 @@ def crowd_links(known: DataFrame, crowded: DataFrame, similarity: float) -> Data
         home = home.join(larger, (F.col("crowd.band") == F.col("band")) & (F.col("crowd.key") == F.col("key"))).select("node", "n_shingles", F.col("larger").alias("crowd"))
     home = held(home, "crowd-homes")
     parts = home.groupBy("crowd").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("parts"))
-    dealt = home.join(parts, "crowd").select("node", F.xxhash64("crowd.band", "crowd.key", F.pmod(F.xxhash64("node"), "parts")).alias("block"))
-    sets = held(known.join(dealt, "node"), "crowd-sets")
-    prefixes = held(with_prefixes(sets, cell_counts(sets), similarity), "crowd-prefixes")
-    at = prefixes.select("block", "short_n", F.posexplode("prefix").alias("pos", "unit")).groupBy("unit", "block").agg(F.max(F.col("pos") < F.col("short_n")).alias("short"))
-    # Units that stand in the same blocks say the same about them.
-    together = held(at.groupBy("unit").agg(F.sort_array(F.collect_list(F.struct("block", "short"))).alias("who")).select("who").distinct(), "crowd-together")
-    met = together.select("who", F.explode("who").alias("y")).where("y.short").select("y", F.explode("who").alias("x")).select("x.block", F.col("y.block").alias("y")).toDF("x", "y").distinct()
-    whole = held(prefixes.groupBy("block").agg(F.collect_list(F.struct("node", "units", "prefix", "short_n")).alias("members")), "crowd-members")  # of bounded size
+    dealt = held(home.join(parts, "crowd").select("node", F.xxhash64("crowd.band", "crowd.key", F.pmod(F.xxhash64("node"), "parts")).alias("block")), "crowd-dealt")
+    # Buckets in which the same blocks stand say the same about them.
+    at = crowded.select("node", "band", "key").join(dealt, "node").groupBy("band", "key").agg(F.sort_array(F.collect_set("block")).alias("who"))
+    together = held(at.select("who").distinct(), "crowd-together")
+    met = together.select("who", F.explode("who").alias("x")).select("x", F.explode("who").alias("y")).where("x <= y").distinct()
+    members = known.join(dealt, "node").groupBy("block").agg(F.collect_list(F.struct("node", "units")).alias("members"))
+    whole = held(members, "crowd-members")  # of bounded size
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                yield linked_between(batch["longer"][i].values, batch["shorter"][i].values, similarity)
+                yield linked_between(batch["left"][i].values, batch["right"][i].values, batch["same"][i].as_py(), similarity)
 
-    both = held(met, "crowd-met").join(whole.select(F.col("block").alias("x"), F.col("members").alias("longer")), "x").join(whole.select(F.col("block").alias("y"), F.col("members").alias("shorter")), "y")
-    return both.select("longer", "shorter").mapInArrow(compare, "node long, other long, n_links long")
+    both = held(met, "crowd-met").join(whole.select(F.col("block").alias("x"), F.col("members").alias("left")), "x").join(whole.select(F.col("block").alias("y"), F.col("members").alias("right")), "y")
+    return both.select("left", "right", (F.col("x") == F.col("y")).alias("same")).mapInArrow(compare, "node long, other long, n_links long")
 
 
 def classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -321,8 +304,8 @@ def classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     placed = texts.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = held(placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = held(placed.join(buckets, ["band", "key"]), "bucket-members")
-    crowded = met.where(F.col("n") > SMALL)
-    in_crowd = crowded.select("node").distinct().withColumn("in_crowd", F.lit(True))
+    in_crowd = held(met.where(F.col("n") > SMALL).select("node").distinct(), "crowd-nodes").withColumn("in_crowd", F.lit(True))
+    crowded = met.join(in_crowd.select("node"), "node")
     few = met.where(F.col("n") <= SMALL).join(in_crowd, "node", "left")
     member = F.struct("node", "n_shingles", F.coalesce("in_crowd", F.lit(False)).alias("in_crowd"))
     groups = few.groupBy("band", "key").agg(F.collect_list(member).alias("all"))  # SMALL texts each at most
@@ -331,10 +314,10 @@ def classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     alike = F.least("n_shingles", "n_other") >= similarity * F.greatest("n_shingles", "n_other")
     pairs = held(each.where(alike).select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
 
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(crowded.select("node")).distinct()
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(in_crowd.select("node")).distinct()
     wanted = held(wanted.join(texts.select("node", "digest", "home"), "node"), "wanted")
     sets = held(unit_sets(texts_of(docs, wanted)), "unit-sets")
-    crowds = held(crowd_links(sets, crowded, similarity), "crowd-links")
+    crowds = held(crowd_links(sets, held(crowded, "crowded"), similarity), "crowd-links")
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("units").alias("units_a")), "a")
     with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("units").alias("units_b")), "b")
     common = F.size(F.array_intersect("units_a", "units_b"))
@@ -359,8 +342,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     class_id, so that no two classes share one. Null texts count as empty, and all empty texts are copies of one another;
     other columns are ignored; an empty table gives no rows.
 
-    In buckets of SMALL texts at most all pairs are made and verified on whole shingle sets. Texts of larger buckets are joined among
-    themselves by crowd_links, which finds all links between them.
+    In buckets of SMALL texts at most all pairs are made and verified on whole shingle sets. Texts that stand in a larger bucket are joined among
+    themselves by crowd_links, which finds all links between those that share a bucket of any size.
     """
     drawn, by_text = classified(docs, similarity)
     return drawn.select("doc_id", "digest").join(by_text, "digest").select("doc_id", "class_id", "n_copies", "n_links")
