@@ -79,6 +79,18 @@ def test_links_in_crowded_buckets_against_all_pairs(spark, tail):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(list(texts.items()))
 
 
+@pytest.mark.parametrize("n", [40, 7])
+def test_prefixes_part_no_linked_sets(n):
+    """Sets at and about the threshold, whose prefixes are taken in one block or between two."""
+    rng = np.random.default_rng(n)
+    base = np.arange(n)
+    sets = [np.r_[base[rng.random(n) > rng.random() / 4], 1000 * i + np.arange(rng.integers(0, n // 3 + 1))] for i in range(1, 60)]
+    for left, right, same in ((sets, sets, True), (sets[:30], sets[30:], False)):
+        x, y = m.that_may_link(left, right, same, 0.8)
+        linked = [(i, k) for i, a in enumerate(left) for k, b in enumerate(right) if (i != k or not same) and len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))]
+        assert linked and {i for i, _ in linked} <= set(x) and {k for _, k in linked} <= set(y)
+
+
 @pytest.mark.parametrize("sizes", [(70, 50, 40)])
 def test_every_family_of_a_crowd_is_found(spark, sizes, monkeypatch):
     """Families on one template meet in crowded buckets; each is a class, whichever block its members lie in."""
