@@ -263,28 +263,25 @@ def linked_between(left: pa.StructArray, right: pa.StructArray, same: bool, simi
 
 
 def crowd_links(known: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
-    """node, other, n_links for the texts of crowded(node, n_shingles, band, key, n), all rows in buckets of the texts that stand in a
-    crowded one; known(node, units) has their units.
+    """node, other, n_links for the texts of crowded(node, n_shingles, buckets), each with its buckets(n, band, key); known(node, units) has
+    their units.
 
     The sum of n_links over a node's rows is the number of all such texts it is linked to; other hangs together with node by links.
 
-    Texts are dealt to blocks by their family's largest bucket. In a bucket blocks meet and not texts: each set of blocks that stand
+    Texts are dealt to blocks by their largest bucket. In a bucket blocks meet and not texts: each set of blocks that stand
     together in some bucket makes its pairs once, and all texts of two blocks that met are compared in one task, by their prefixes and then by
     a product of matrices. So every link between texts that share a bucket is found. Only numbers of links and a link to hang by leave the task.
     """
-    home = crowded.groupBy("node", "n_shingles").agg(F.max(F.struct("n", "band", "key")).alias("crowd"))
-    for _ in range(2):  # a family's buckets share texts; its texts go to the largest of them
-        home = held(home, "crowd-homes")
-        larger = crowded.join(home.select("node", "crowd"), "node").groupBy("band", "key").agg(F.max("crowd").alias("larger"))
-        home = home.join(larger, (F.col("crowd.band") == F.col("band")) & (F.col("crowd.key") == F.col("key"))).select("node", "n_shingles", F.col("larger").alias("crowd"))
-    home = held(home, "crowd-homes")
-    parts = home.groupBy("crowd").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("parts"))
-    dealt = held(home.join(parts, "crowd").select("node", F.xxhash64("crowd.band", "crowd.key", F.pmod(F.xxhash64("node"), "parts")).alias("block")), "crowd-dealt")
+    home = crowded.withColumn("home", F.array_max("buckets"))
+    parts = home.groupBy("home").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("parts"))
+    block = F.xxhash64("home.band", "home.key", F.pmod(F.xxhash64("node"), "parts")).alias("block")
+    dealt = held(home.join(parts, "home").select("node", "buckets", block), "crowd-dealt")
+    of_block = dealt.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("buckets"))).alias("buckets"))
     # Buckets in which the same blocks stand say the same about them.
-    at = crowded.select("node", "band", "key").join(dealt, "node").groupBy("band", "key").agg(F.sort_array(F.collect_set("block")).alias("who"))
+    at = of_block.select("block", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sort_array(F.collect_list("block")).alias("who"))
     together = held(at.select("who").distinct(), "crowd-together")
     met = together.select("who", F.explode("who").alias("x")).select("x", F.explode("who").alias("y")).where("x <= y").distinct()
-    members = known.join(dealt, "node").groupBy("block").agg(F.collect_list(F.struct("node", "units")).alias("members"))
+    members = known.join(dealt.select("node", "block"), "node").groupBy("block").agg(F.collect_list(F.struct("node", "units")).alias("members"))
     whole = held(members, "crowd-members")  # of bounded size
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +301,9 @@ def classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     placed = texts.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
     buckets = held(placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     met = held(placed.join(buckets, ["band", "key"]), "bucket-members")
-    in_crowd = held(met.where(F.col("n") > SMALL).select("node").distinct(), "crowd-nodes").withColumn("in_crowd", F.lit(True))
-    crowded = met.join(in_crowd.select("node"), "node")
+    by_node = met.groupBy("node", "n_shingles").agg(F.collect_list(F.struct("n", "band", "key")).alias("buckets"))  # BANDS at most
+    crowded = held(by_node.where(F.array_max("buckets")["n"] > SMALL), "crowded")
+    in_crowd = crowded.select("node", F.lit(True).alias("in_crowd"))
     few = met.where(F.col("n") <= SMALL).join(in_crowd, "node", "left")
     member = F.struct("node", "n_shingles", F.coalesce("in_crowd", F.lit(False)).alias("in_crowd"))
     groups = few.groupBy("band", "key").agg(F.collect_list(member).alias("all"))  # SMALL texts each at most
@@ -317,7 +315,7 @@ def classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(in_crowd.select("node")).distinct()
     wanted = held(wanted.join(texts.select("node", "digest", "home"), "node"), "wanted")
     sets = held(unit_sets(texts_of(docs, wanted)), "unit-sets")
-    crowds = held(crowd_links(sets, held(crowded, "crowded"), similarity), "crowd-links")
+    crowds = held(crowd_links(sets, crowded, similarity), "crowd-links")
     with_a = pairs.join(sets.select(F.col("node").alias("a"), F.col("units").alias("units_a")), "a")
     with_both = with_a.join(sets.select(F.col("node").alias("b"), F.col("units").alias("units_b")), "b")
     common = F.size(F.array_intersect("units_a", "units_b"))
