@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,28 +47,59 @@ def in_text_batches(df: DataFrame, rows: int = TEXT_BATCH) -> DataFrame:
     return df
 
 
+class Held:
+    """Tables and folders that one run holds in the shared folder. Another run's are not touched by dropping these."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def drop(self, spark: SparkSession) -> None:
+        """Delete them. Only when all results that read them have been written: a result is computed when it is written."""
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        while self.paths:
+            path = jvm.org.apache.hadoop.fs.Path(self.paths.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+_RUN: ContextVar[Held] = ContextVar("run", default=Held())  # noqa: B039  what is held outside any run
+
+
+@contextmanager
+def holding() -> Iterator[Held]:
+    """What is held inside belongs to the run that this gives. Threads and nested runs have their own."""
+    own = Held()
+    token = _RUN.set(own)
+    try:
+        yield own
+    finally:
+        _RUN.reset(token)
+
+
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's name in the shared folder, with its scheme; the run holds it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/lodeloom-{what}-{uuid.uuid4().hex}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    path = fs.makeQualified(path)
+    fs.mkdirs(path)
+    _RUN.get().paths.append(path.toString())
+    return path.toString()
+
+
 def held(df: DataFrame, what: str) -> DataFrame:
     """Write df as a table in the shared folder and read it back, which cuts its lineage.
 
-    A lost executor then costs a reread of files and no recomputation. The table stays until drop_held is called.
+    A lost executor then costs a reread of files and no recomputation. The table stays until its run is dropped.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeloom-{what}-{uuid.uuid4().hex}"
+    _RUN.get().paths.append(path)
     df.write.parquet(path)
-    HELD.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Paths of the tables that this process holds, in order.
-HELD: list[str] = []
-
-
-def drop_held(spark: SparkSession, since: int = 0) -> None:
-    """Delete the tables held from the since-th on. Only for results that have been written: a result is read from these when it is computed."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while len(HELD) > since:
-        path = jvm.org.apache.hadoop.fs.Path(HELD.pop())
-        path.getFileSystem(conf).delete(path, True)
+def drop_held(spark: SparkSession) -> None:
+    """Delete what is held by the current run, or outside any run."""
+    _RUN.get().drop(spark)
 
 
 def utf8_crc32(text: Column) -> Column:

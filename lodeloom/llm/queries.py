@@ -17,6 +17,7 @@ from lodeloom.llm.packing import pack
 from lodeloom.llm.pii import find_pii
 from lodeloom.llm.quality import judge
 from lodeloom.llm.sharding import assign_shards
+from lodeloom.llm.token_store import store_and_read_tokens
 from lodeloom.llm.wfst import encode_and_decode
 
 
@@ -60,8 +61,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_and_read_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sharding, op2_line_dedup, op3_minhash, op4_pii, op5_quality_rules, op6_lm_scoring, op7_flac, op8_sentencepiece, op9_packing, op10_quality_classifier)
+    every = (op1_sharding, op2_line_dedup, op3_minhash, op4_pii, op5_quality_rules, op6_lm_scoring, op7_flac, op8_sentencepiece, op9_packing, op10_quality_classifier, op11_token_store)
     return {f.__name__: f for f in every}
 
 
