@@ -8,7 +8,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeloom.llm.common import HELD, drop_held, held, in_text_batches, table
+from lodeloom.llm.common import Held, held, holding, in_text_batches, table
 from lodeloom.llm.lines import without_repeated_lines
 from lodeloom.llm.minhash import keep_one_of_each
 from lodeloom.llm.packing import pack
@@ -53,11 +53,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages. When a stage's result is written, what the stage held and the result before it are deleted."""
-    docs, before = table(spark, sf_dir, "documents"), len(HELD)
+    """All stages. When a stage's result is written, what the stage held and the result before it are deleted.
+
+    Each run deletes its own tables only. The last stage's input stays, as the result reads it. Rows with nulls and an empty
+    table go through as the stages' operators define; columns that are not those of documents are carried to the last stage.
+    """
+    docs, before = table(spark, sf_dir, "documents"), Held()
     for name, stage in STAGES[:-1]:
-        docs = held(stage(spark, docs, sf_dir), f"pipeline-{name.lower().replace(' ', '-')}")
-        written = HELD.pop()
-        drop_held(spark, before)
-        HELD.append(written)
+        with holding() as own:
+            kept = stage(spark, docs, sf_dir)
+        with holding() as written:
+            docs = held(kept, f"pipeline-{name.lower().replace(' ', '-')}")
+        own.drop(spark)
+        before.drop(spark)
+        before = written
     return STAGES[-1][1](spark, docs, sf_dir)
