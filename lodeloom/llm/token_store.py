@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -22,7 +23,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,8 +35,8 @@ MARK = b"SEGM"
 END_ID = 0
 #: Ids of a segment, after which the next begins at a document's border; bytes of a file, after which the next begins.
 SEGMENT_IDS, FILE_BYTES = 4_000_000, 256_000_000
-#: Pieces of text whose ids a task remembers.
-MEMO = 300_000
+#: Pieces of text whose ids a worker remembers, from task to task.
+MEMO = 400_000
 
 MANIFEST = "file string, first_id long, first_hash long, first_row long, n_docs long, n_ids long"
 STORED = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -49,8 +49,10 @@ class ByteLevel:
     characters that the pattern's classes have long agreed on are cut here; all others go through the library whole.
     """
 
-    PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-    SETTLED = regex.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ‐-‧]*")
+    # Letters and numbers up to U+024F, as Unicode has them; the pattern is the tokenizer's own.
+    LETTERS, NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe"
+    PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{NUMBERS}]+| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+")
+    SETTLED = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f\u2010-\u2027]*")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -257,7 +259,6 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = END
             if segment.n_ids:
                 part.write(segment)
             yield part.close()
-        encoder.memo.clear()  # the worker lives on and has other tasks
 
     keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
     order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
