@@ -14,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 TODAY, NOW = "2024-01-15", 19737 * 86400 + 12 * 3600
 FIRST_DAY = 19723
 
+# The words that messages are made of.
+VERBS = "buy |Get some |pick up ||go to the |purchase a |comprar |ir ao |levantar |book a |place to |Mail the |get a loaf of |buy a new |grab a |remember: "
+NOUNS = "bread|milk|coffee|medicine|flowers|shoes|book|gym|run|letter|cash|café|pão|pastel de nata|um livro|multibanco|haircut|parcel|library|jog|dentist checkup|sushi|stamps|flight|novel|work out|Ginásio|correios|Wi-Fi router|aula de inglês|send package|relaxing place|petrol|buscar os miúdos|mall|reunião de pais|prescription|kite|bus stop|sushi_restaurant"
+TAILS = "| at 9am| 5pm|!!| on the way home| at 14:30| amanhã| near the park| x2"
+
 DERIVED: dict[str, tuple[str, dict[str, str]]] = {
     "users": ("customer", {
         "uid": "c_custkey",
@@ -108,6 +113,30 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
         "uid": "o_custkey",
         "sentence": "concat(case when o_orderkey % 3 = 0 then '  Fix   The ' when o_orderkey % 3 = 1 then 'fix the ' else '' end, case o_orderkey % 7 when 0 then '12' else concat('Thing ', cast(o_orderkey % 23 as string)) end)",
     }),
+    "messages": ("orders", {
+        "task_id": "o_orderkey",
+        "uid": "o_custkey",
+        "lang": "case when o_orderkey % 3 = 2 then 'pt-PT' else 'en' end",
+        "text": f"concat(split_part('{VERBS}', '|', cast(o_orderkey % 16 + 1 as int)), split_part('{NOUNS}', '|', cast((o_orderkey * 7 + o_custkey) % 40 + 1 as int)), split_part('{TAILS}', '|', cast(o_orderkey % 9 + 1 as int)))",
+        "poi": "case when o_orderkey % 5 = 0 then cast(null as bigint) else o_orderkey % 16 end",
+        "done": "o_orderstatus <> 'O'",
+    }),
+    "learnings": ("orders", {
+        "id": "o_orderkey",
+        "uid": "o_custkey",
+        "lang": "case o_orderkey % 7 when 0 then 'fr' when 1 then cast(null as string) when 2 then 'pt-PT' else 'en' end",
+        "keyword": f"case when o_orderkey % 13 = 0 then cast(null as string) when o_orderkey % 17 = 0 then ' !? ' else concat(case when o_orderkey % 4 = 0 then split_part('{VERBS}', '|', cast(o_orderkey % 16 + 1 as int)) else '' end, split_part('{NOUNS}', '|', cast(o_custkey % 40 + o_orderkey % 5 + 1 as int))) end",
+        "type": "case when o_orderkey % 19 = 0 then '' else split_part('atm|cafe|gym|sushi_restaurant|post|bakery|coffee_shop|salon', '|', cast(o_orderkey % 8 + 1 as int)) end",
+        "source": "case when o_orderkey % 2 = 0 then 'llm' else 'user' end",
+        "at_s": "19723 * 86400 + (o_orderkey * 7919) % 2419200",
+    }),
+    "own_categories": ("customer", {
+        "id": "c_custkey",
+        "uid": "c_custkey % 500",
+        "name": f"case when c_custkey % 23 = 0 then '' else split_part('{NOUNS}', '|', cast(c_custkey % 40 + 1 as int)) end",
+        "type": "case when c_custkey % 6 = 0 then cast(null as string) else split_part('bakery|florist|shoe_store|library|clinic', '|', cast(c_custkey % 5 + 1 as int)) end",
+        "synonym": f"case when c_custkey % 3 = 0 then cast(null as string) else split_part('{NOUNS}', '|', cast(c_custkey * 3 % 40 + 1 as int)) end",
+    }),
     "inbox": ("events", {
         "uid": "user_id",
         "id": "event_id",
@@ -135,7 +164,7 @@ class Domain:
         source, columns = DERIVED[name]
         return self.raw(source).selectExpr(*(f"{e} as {c}" for c, e in columns.items()))
 
-    users, tasks, places, ledger, trips, follows, players, fixes, misses, inbox = (cached_property(lambda self, n=n: self.derived(n)) for n in DERIVED)
+    users, tasks, places, ledger, trips, follows, players, fixes, misses, messages, learnings, own_categories, inbox = (cached_property(lambda self, n=n: self.derived(n)) for n in DERIVED)
 
 
 for _name in DERIVED:
