@@ -137,6 +137,20 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
         "type": "case when c_custkey % 6 = 0 then cast(null as string) else split_part('bakery|florist|shoe_store|library|clinic', '|', cast(c_custkey % 5 + 1 as int)) end",
         "synonym": f"case when c_custkey % 3 = 0 then cast(null as string) else split_part('{NOUNS}', '|', cast(c_custkey * 3 % 40 + 1 as int)) end",
     }),
+    "ticks": ("events", {  # 64 fixes a user, three seconds apart, indoors for half of them
+        "uid": "cast(floor(event_id / 64) as bigint)",
+        "fix_id": "event_id",
+        "at_s": "19723 * 86400 + event_id * 3",
+        "accuracy": "case when cast(floor(event_id / 64) as bigint) % 5 <> 4 and (event_id % 64 between 8 and 40) <> (event_id % 11 = 5) then 50.5e0 + value else 8e0 end",
+        "lat": "38.72e0 + ((cast(floor(event_id / 64) as bigint) * 7919) % 2001 - 1000) / 1e5 + (cast(floor(event_id / 64) as bigint) % 7) * 7e-4",
+        "lng": "-9.14e0 + ((cast(floor(event_id / 64) as bigint) * 104729) % 2001 - 1000) / 1e5",
+    }),
+    "net": ("events", {  # a user's searches, 40 seconds apart, between losses and returns of the connection
+        "uid": "cast(floor(event_id / 64) as bigint)",
+        "fix_id": "event_id",
+        "at_s": "19723 * 86400 + event_id * 40",
+        "kind": "case event_id % 16 when 3 then 'offline' when 12 then 'online' else 'search' end",
+    }),
     "inbox": ("events", {
         "uid": "user_id",
         "id": "event_id",
@@ -164,7 +178,7 @@ class Domain:
         source, columns = DERIVED[name]
         return self.raw(source).selectExpr(*(f"{e} as {c}" for c, e in columns.items()))
 
-    users, tasks, places, ledger, trips, follows, players, fixes, misses, messages, learnings, own_categories, inbox = (cached_property(lambda self, n=n: self.derived(n)) for n in DERIVED)
+    users, tasks, places, ledger, trips, follows, players, fixes, misses, messages, learnings, own_categories, ticks, net, inbox = (cached_property(lambda self, n=n: self.derived(n)) for n in DERIVED)
 
 
 for _name in DERIVED:
