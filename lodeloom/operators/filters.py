@@ -241,18 +241,6 @@ def prj9(d: Domain) -> DataFrame:
     return d.raw("part").select(F.col("p_partkey").alias("place_id"), F.when(t == "PROMO", "tag").when(t.endswith("STEEL"), "bolt").when(t.contains("A"), "leaf").otherwise("pin").alias("icon"))
 
 
-@query("snk2_merge_write", "SELECT u.uid, coalesce(n.display_name, u.display_name) AS display_name, coalesce(n.username, u.username) AS username FROM users u LEFT JOIN (SELECT uid, CASE WHEN uid % 4 = 0 THEN 'renamed' END AS display_name, CASE WHEN uid % 6 = 0 THEN 'u6' END AS username FROM users WHERE uid % 2 = 0) n USING (uid)")
-def snk2(d: Domain) -> DataFrame:
-    new = d.users.where("uid % 2 = 0").selectExpr("uid", "case when uid % 4 = 0 then 'renamed' end as new_name", "case when uid % 6 = 0 then 'u6' end as new_username")
-    return d.users.join(new, "uid", "full_outer").select("uid", F.coalesce("new_name", "display_name").alias("display_name"), F.coalesce("new_username", "username").alias("username"))
-
-
-@query("snk4_area_replace", "SELECT place_id, area, poi FROM places WHERE area IS DISTINCT FROM 'ta_10' UNION ALL SELECT place_id + 1000000, 'ta_10', poi FROM places WHERE poi = 3 AND place_id % 5 = 0")
-def snk4(d: Domain) -> DataFrame:
-    fresh = d.places.where("poi = 3 and place_id % 5 = 0").selectExpr("place_id + 1000000 as place_id", "'ta_10' as area", "poi")
-    old = d.places.select("place_id", "area", "poi").join(F.broadcast(d.spark.createDataFrame([("ta_10",)], "area string")), "area", "left_anti")
-    return old.select("place_id", "area", "poi").union(fresh)
-
 
 @query("snk5_watch_payload", "SELECT uid, CAST(count(*) AS BIGINT) AS n FROM tasks WHERE NOT done GROUP BY uid")
 def snk5(d: Domain) -> DataFrame:
@@ -275,9 +263,3 @@ def snk8(d: Domain) -> DataFrame:
 @query("snk9_stamp_seen", f"SELECT task_id, CASE WHEN task_id % 9 = 0 THEN DATE '{TODAY}' END AS seen FROM tasks")
 def snk9(d: Domain) -> DataFrame:
     return d.tasks.select("task_id", F.when(F.col("task_id") % 9 == 0, F.lit(TODAY).cast("date")).alias("seen"))
-
-
-@query("snk10_username_claim", "SELECT w.uid, w.wanted FROM (SELECT uid, lower(concat('USER_', uid * 2)) AS wanted FROM users) w WHERE NOT EXISTS (SELECT 1 FROM users u WHERE u.username = w.wanted)")
-def snk10(d: Domain) -> DataFrame:
-    wanted = d.users.select("uid", F.lower(F.concat(F.lit("USER_"), (F.col("uid") * 2).cast("string"))).alias("wanted"))
-    return wanted.join(d.users.select(F.col("username").alias("wanted")), "wanted", "left_anti").select("uid", "wanted")

@@ -45,11 +45,6 @@ def map1(d: Domain) -> DataFrame:
     return maps.select("uid", F.explode(F.transform_values("m", lambda k, v: v + F.when(k == 3, 1).otherwise(0))).alias("kind", "n"))
 
 
-@query("snk1_insert", "SELECT count(*) AS n, count(*) AS ids FROM tasks")
-def snk1(d: Domain) -> DataFrame:
-    """Rows get generated ids, all different."""
-    return d.tasks.select(F.uuid().alias("id")).agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"))
-
 
 @query("snk3_batches", "SELECT batch, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY task_id) - 1) // 500 AS batch FROM tasks) GROUP BY batch")
 def snk3(d: Domain) -> DataFrame:

@@ -222,12 +222,6 @@ def stm9(d: Domain) -> DataFrame:
     return d.players.withColumn("was", before).where(F.col("won") & ~F.coalesce("was", F.lit(False))).select("entry")
 
 
-@query("stm10_create_triggers", "SELECT concat('follow_', id) AS key FROM inbox WHERE kind = 'follow' UNION SELECT concat('share_', id) FROM inbox WHERE kind = 'share'")
-def stm10(d: Domain) -> DataFrame:
-    """Deterministic keys, so that a repeated delivery changes nothing."""
-    events = d.inbox.union(d.inbox.where("id % 7 = 0"))
-    return events.where(F.col("kind").isin("follow", "share")).select(F.concat_ws("_", "kind", "id").alias("key")).dropDuplicates(["key"])
-
 
 @query("stm14_latest_toggle", "SELECT uid, arg_max(task_id, seq * 10000000 + task_id) AS task_id FROM tasks GROUP BY uid")
 def stm14(d: Domain) -> DataFrame:
