@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 EARTH_M = 6371000.0
 METRES_PER_DEGREE = 111195.0
+#: Pairs of a cell that one task compares; a cell with more is dealt to several.
+CELL_PAIRS = 4_000_000
 
 
 def haversine(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
@@ -56,8 +58,10 @@ def near_pairs(points, places, metres: float, also: tuple[str, ...] = ()):
     An equi-join on grid cells (and on the columns also, which both sides have), then straight distances, then the exact one.
     Cells are as high as the reach. Each row of cells is cut into as many columns as leave a cell as wide as the reach at the row's
     far end from the equator and that of its neighbours, so that cells hold at all latitudes and close up at 180 degrees.
-    points(lat, lng, ..) are dealt to the cells around theirs, nine at most; nothing is compared across the map. Rows are
-    few against their pairs, so they are dealt to a number of tasks that doesn't go by their size. places' lat and lng become p_lat and p_lng.
+    points(lat, lng, ..) are dealt to the cells around theirs, nine at most; nothing is compared across the map. Cells are counted
+    first: where points times places are more than CELL_PAIRS, the larger side is cut into parts by a hash of its rows and the
+    smaller one goes to each, so that a dense cell becomes many tasks. Rows are few against their pairs, so they are dealt to a
+    number of tasks that doesn't go by their size. places' lat and lng become p_lat and p_lng.
     """
     high = 1.0001 * metres / METRES_PER_DEGREE
     row = lambda lat: F.floor(lat / high).cast("long")
@@ -78,6 +82,16 @@ def near_pairs(points, places, metres: float, also: tuple[str, ...] = ()):
     there = there.withColumn("_x", column(F.col("p_lng"), columns(F.col("_y"))))
     straight = sum(((F.col(f"_a{i}") - F.col(f"_b{i}")) * (F.col(f"_a{i}") - F.col(f"_b{i}")) for i in (1, 2)), (F.col("_a0") - F.col("_b0")) * (F.col("_a0") - F.col("_b0")))
     most = (2 * math.sin(min(math.pi, (metres + 0.01) / EARTH_M) / 2)) ** 2 * (1 + 1e-6) + 1e-18
-    met = dealt.repartition(tasks, *keys).join(there.repartition(tasks, *keys), keys).where(straight <= most)
+    count = lambda rows, name: rows.groupBy(*keys).agg(F.count("*").alias(name))
+    dense = count(dealt, "_n").join(count(there, "_m"), keys).where(F.col("_n") * F.col("_m") > CELL_PAIRS)
+    dense = dense.select(*keys, F.ceil(F.col("_n") * F.col("_m") / CELL_PAIRS).cast("int").alias("_parts"), (F.col("_n") >= F.col("_m")).alias("_cut"))
+
+    def in_parts(rows, cut):
+        """One part by a hash where this side is cut, every part where the other is."""
+        own = F.array(F.pmod(F.xxhash64(*rows.columns), F.col("_parts")).cast("int"))
+        parts = F.when(F.col("_parts").isNull(), F.array(F.lit(0))).when(cut, own).otherwise(F.sequence(F.lit(0), F.col("_parts") - 1))
+        return rows.join(dense, keys, "left").withColumn("_part", F.explode(parts)).drop("_parts", "_cut").repartition(tasks, *keys, "_part")
+
+    met = in_parts(dealt, F.col("_cut")).join(in_parts(there, ~F.col("_cut")), [*keys, "_part"]).where(straight <= most)
     exact = F.round(haversine(F.col("lat"), F.col("lng"), F.col("p_lat"), F.col("p_lng")), 3)
-    return met.drop("_y", "_x", *(f"{side}{i}" for side in ("_a", "_b") for i in range(3))).withColumn("metres", exact)
+    return met.drop("_y", "_x", "_part", *(f"{side}{i}" for side in ("_a", "_b") for i in range(3))).withColumn("metres", exact)

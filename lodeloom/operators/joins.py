@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodeloom.binding import NOW, TODAY, Domain, query
 from lodeloom.functions.geo import duck_haversine, haversine, near_pairs
 from lodeloom.functions.text import tokens
+from lodeloom.sinks.versions import Table, scratch_folder
 
 #: Metres within which a place counts as nearby.
 NEAR = 400.0
@@ -82,16 +83,6 @@ def jn7(d: Domain) -> DataFrame:
     return met.groupBy("uid", "day").agg(F.max(F.struct("start_day", "trip_id"))["trip_id"].alias("trip_id"))
 
 
-_AB = duck_haversine("a.lat", "a.lng", "b.lat", "b.lng")
-
-
-@query("jn8_place_pairs", f"SELECT a.place_id AS anchor, b.place_id AS other, round({_AB}, 3) AS metres FROM places a JOIN places b ON a.place_id <> b.place_id AND round({_AB}, 3) <= {AROUND}")
-def jn8(d: Domain) -> DataFrame:
-    """Pairs of places that one errand could take in."""
-    met = near_pairs(d.places.select(F.col("place_id").alias("anchor"), "lat", "lng"), d.places.select(F.col("place_id").alias("other"), "lat", "lng"), AROUND)
-    return met.where((F.col("metres") <= AROUND) & (F.col("anchor") != F.col("other"))).select("anchor", "other", "metres")
-
-
 @query("jn9_import_new_titles", "SELECT id FROM (SELECT id, concat('BUY BREAD ', id % 200) AS title FROM inbox) i WHERE NOT EXISTS (SELECT 1 FROM tasks t WHERE lower(regexp_replace(t.title, '^\\s+|\\s+$', '', 'g')) = lower(i.title))")
 def jn9(d: Domain) -> DataFrame:
     key = lambda c: F.lower(F.regexp_replace(c, r"^\s+|\s+$", ""))
@@ -99,13 +90,6 @@ def jn9(d: Domain) -> DataFrame:
     return incoming.join(d.tasks.select(key(F.col("title")).alias("key")), "key", "left_anti").select("id")
 
 
-@query("jn10_not_dismissed_today", f"SELECT uid, task_id FROM tasks WHERE day = DATE '{TODAY}' AND NOT EXISTS (SELECT 1 FROM players p WHERE p.uid = tasks.uid AND p.joined = 'declined' AND p.challenge_id % 28 = tasks.task_id % 28)")
-def jn10(d: Domain) -> DataFrame:
-    gone = d.players.where("joined = 'declined'").selectExpr("uid", "challenge_id % 28 as slot")
-    today = d.tasks.where(F.col("day") == F.lit(TODAY).cast("date")).selectExpr("uid", "task_id", "task_id % 28 as slot")
-    return today.join(gone, ["uid", "slot"], "left_anti").select("uid", "task_id")
-
-
 @query("jn11_signals_left", "SELECT trip_id FROM trips WHERE trip_id NOT IN (SELECT DISTINCT challenge_id FROM players WHERE won)")
 def jn11(d: Domain) -> DataFrame:
     return d.trips.select("trip_id").join(d.players.where("won").select(F.col("challenge_id").alias("trip_id")), "trip_id", "left_anti")
@@ -210,7 +194,7 @@ def nearby_of_open_tasks(d: Domain) -> DataFrame:
     """uid, poi, place_id, metres of the places near a user that an open task of theirs asks for; the type is in the key of the join."""
     wanted = d.tasks.where("not done and poi is not null").select("uid", "poi").distinct()
     met = near_pairs(d.users.select("uid", "lat", "lng").join(wanted, "uid"), d.places.select("place_id", "poi", "lat", "lng"), NEAR, ("poi",))
-    return met.where(F.col("metres") < NEAR).select("uid", "poi", "place_id", "metres")
+    return met.where(F.col("metres") < NEAR).select("uid", "poi", "place_id", "metres", F.col("p_lat").alias("lat"), F.col("p_lng").alias("lng"))
 
 
 def candidates(d: Domain) -> DataFrame:
@@ -225,20 +209,47 @@ def win3(d: Domain) -> DataFrame:
     return best.select("uid", "poi", "b.place_id", "b.metres")
 
 
-@query("top7_hero", f"SELECT uid, poi, place_id, metres FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY metres, poi, place_id) AS rn FROM ({_HERO}) WHERE metres < 200) WHERE rn = 1")
+#: The nearest place of all is the hero within so many metres.
+HERO = 100.0
+
+
+@query("top7_hero", f"SELECT uid, poi, place_id, metres FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY metres, poi, place_id) AS rn FROM ({_HERO}) WHERE metres < {HERO}) WHERE rn = 1")
 def top7(d: Domain) -> DataFrame:
-    best = nearby_of_open_tasks(d).where("metres < 200").groupBy("uid").agg(F.min(F.struct("metres", "poi", "place_id")).alias("b"))
+    best = nearby_of_open_tasks(d).where(F.col("metres") < HERO).groupBy("uid").agg(F.min(F.struct("metres", "poi", "place_id")).alias("b"))
     return best.select("uid", "b.poi", "b.place_id", "b.metres")
 
 
-_LEARNED = "SELECT uid, visited AS place_id FROM tasks WHERE visited IS NOT NULL GROUP BY ALL"
+#: Visits that make a place a learned one.
+LEARNED_VISITS = 3
+_VISITS = f"SELECT uid, poi, place_id FROM ({_HERO}) WHERE (uid + place_id) % 2 = 0"
+_LEARNED = f"SELECT uid, poi, arg_max(place_id, visits * 1000000 - place_id) AS place_id FROM (SELECT uid, poi, place_id, 2 + place_id % 3 AS visits FROM ({_VISITS})) WHERE visits >= {LEARNED_VISITS} GROUP BY uid, poi"
+
 
+def visits(d: Domain) -> DataFrame:
+    """uid, poi, place_id of visits: two to four to every other place near a user."""
+    every = nearby_of_open_tasks(d).where((F.col("uid") + F.col("place_id")) % 2 == 0)
+    return every.select("uid", "poi", "place_id", F.explode(F.sequence(F.lit(1), (2 + F.col("place_id") % 3).cast("int"))).alias("nth")).drop("nth")
 
-@query("top8_learned_hero", f"SELECT uid, poi, arg_min(place_id, CASE WHEN learned THEN 0 ELSE 1e9 END + metres * 100000 + place_id / 1e6) AS place_id FROM (SELECT h.*, l.place_id IS NOT NULL AS learned FROM ({_HERO}) h LEFT JOIN ({_LEARNED}) l ON l.uid = h.uid AND l.place_id = h.place_id % 12) GROUP BY uid, poi")
+
+def learned_places(visited: DataFrame) -> DataFrame:
+    """uid, poi, learned: the place of each type that a user has visited most, LEARNED_VISITS times at least; then the least id."""
+    counted = visited.groupBy("uid", "poi", "place_id").agg(F.count("*").alias("n")).where(F.col("n") >= LEARNED_VISITS)
+    return counted.groupBy("uid", "poi").agg(F.min(F.struct((-F.col("n")).alias("late"), "place_id"))["place_id"].alias("learned"))
+
+
+@query(
+    "top8_learned_hero",
+    f"WITH h AS ({_HERO}), hero AS (SELECT uid, poi, place_id FROM h WHERE metres < {HERO} QUALIFY row_number() OVER (PARTITION BY uid ORDER BY metres, poi, place_id) = 1), "
+    f"five AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY uid, poi ORDER BY metres, place_id) <= {CANDIDATES}) "
+    f"SELECT hero.uid, hero.poi, coalesce(f.place_id, hero.place_id) AS place_id, coalesce(f.place_id <> hero.place_id, false) AS promoted FROM hero LEFT JOIN ({_LEARNED}) l ON l.uid = hero.uid AND l.poi = hero.poi "
+    f"LEFT JOIN five f ON f.uid = l.uid AND f.poi = l.poi AND f.place_id = l.place_id AND f.metres < {HERO}",
+)
 def top8(d: Domain) -> DataFrame:
-    learned = d.tasks.where("visited is not null").select("uid", F.col("visited").alias("slot")).distinct().withColumn("late", F.lit(0))
-    met = nearby_of_open_tasks(d).withColumn("slot", F.col("place_id") % 12).join(learned, ["uid", "slot"], "left")
-    return met.groupBy("uid", "poi").agg(F.min(F.struct(F.coalesce("late", F.lit(1)).alias("late"), "metres", "place_id"))["place_id"].alias("place_id"))
+    """The hero of each user. Which type it is goes by distance alone; of its candidates the learned place counts, if it is a hero's distance away."""
+    near = candidates(d).where(F.col("metres") < HERO).join(learned_places(visits(d)), ["uid", "poi"], "left")
+    by_type = near.groupBy("uid", "poi").agg(F.min(F.struct("metres", "place_id")).alias("first"), F.max(F.when(F.col("place_id") == F.col("learned"), F.col("place_id"))).alias("own"))
+    hero = by_type.groupBy("uid").agg(F.min(F.struct("first.metres", "poi", "first.place_id", "own")).alias("b"))
+    return hero.select("uid", "b.poi", F.coalesce("b.own", "b.place_id").alias("place_id"), F.coalesce(F.col("b.own") != F.col("b.place_id"), F.lit(False)).alias("promoted"))
 
 
 @query("biz1_proximity", f"SELECT uid, poi, place_id, metres, rn = 1 AS hero, rn = 1 AND metres < 100 AS alert FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY metres, poi, place_id) AS rn FROM (SELECT *, row_number() OVER (PARTITION BY uid, poi ORDER BY metres, place_id) AS top FROM ({_HERO})) WHERE top <= 5)")
@@ -255,17 +266,43 @@ _BUNDLE = f"SELECT c.uid, c.anchor, string_agg(CAST(t.task_id AS VARCHAR), ',' O
 _SETS = f"SELECT uid, task_set, n, min(mm) AS mm, arg_min(anchor, mm * 1000000 + anchor) AS anchor FROM ({_BUNDLE}) GROUP BY uid, task_set, n"
 
 
-def bundles(d: Domain) -> DataFrame:
-    """uid, anchor, task_set, n, mm: open tasks of a user that each have a candidate place within AROUND of an anchor, itself a candidate.
+def ways(d: Domain) -> DataFrame:
+    """uid, anchor, poi, mm: from each candidate of a user, the way to the nearest of each type's within AROUND of it.
 
-    A task counts with its nearest such place; mm is the sum of these ways in whole millimetres, so that sums don't depend on
-    their order. A user's candidates are CANDIDATES for each type at most, so their pairs are few, and met by the user.
+    A user's candidates are CANDIDATES for each type at most, so their pairs are few, and met by the user. Ways are in whole
+    millimetres, so that sums don't depend on their order.
     """
-    placed = candidates(d).join(d.places.select("place_id", "lat", "lng"), "place_id").select("uid", "poi", "place_id", "lat", "lng")
+    placed = candidates(d).select("uid", "poi", "place_id", "lat", "lng")
     anchors = placed.select("uid", F.col("place_id").alias("anchor"), F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
     mm = F.round(1000 * haversine(F.col("a_lat"), F.col("a_lng"), F.col("lat"), F.col("lng"))).cast("long")
-    around = anchors.join(placed, "uid").withColumn("mm", mm).where(F.col("mm") <= round(1000 * AROUND)).groupBy("uid", "anchor", "poi").agg(F.min("mm").alias("mm"))
-    met = around.join(d.tasks.where("not done and poi is not null").select("uid", "poi", F.col("task_id").cast("string").alias("task")), ["uid", "poi"])
+    return anchors.join(placed, "uid").withColumn("mm", mm).where(F.col("mm") <= round(1000 * AROUND)).groupBy("uid", "anchor", "poi").agg(F.min("mm").alias("mm"))
+
+
+@query(
+    "jn8_task_pairs",
+    f"WITH around AS ({_AROUND}), wanted AS (SELECT uid, poi, count(*) AS n FROM tasks WHERE NOT done AND poi IS NOT NULL GROUP BY ALL) "
+    "SELECT a.uid, a.poi AS poi_a, b.poi AS poi_b, any_value(u.n * v.n) AS pairs, count(*) AS anchors, CAST(min(a.mm + b.mm) AS BIGINT) AS mm, arg_min(a.anchor, (a.mm + b.mm) * 1000000 + a.anchor) AS anchor "
+    "FROM around a JOIN around b ON a.uid = b.uid AND a.anchor = b.anchor AND a.poi < b.poi JOIN wanted u ON u.uid = a.uid AND u.poi = a.poi JOIN wanted v ON v.uid = b.uid AND v.poi = b.poi GROUP BY a.uid, a.poi, b.poi",
+)
+def jn8(d: Domain) -> DataFrame:
+    """Pairs of a user's open tasks that an anchor brings together, by their types: how many, by how many anchors, and the best anchor.
+
+    There are as many rows as pairs of types, whatever the number of tasks of a user.
+    """
+    wanted = d.tasks.where("not done and poi is not null").groupBy("uid", "poi").agg(F.count("*").alias("n"))
+    near = ways(d).join(wanted, ["uid", "poi"])
+    side = lambda x: near.select("uid", "anchor", F.col("poi").alias(f"poi_{x}"), F.col("mm").alias(f"mm_{x}"), F.col("n").alias(f"n_{x}"))
+    met = side("a").join(side("b"), ["uid", "anchor"]).where("poi_a < poi_b").withColumn("mm", F.col("mm_a") + F.col("mm_b"))
+    best = met.groupBy("uid", "poi_a", "poi_b").agg(F.max(F.col("n_a") * F.col("n_b")).alias("pairs"), F.count("*").alias("anchors"), F.min(F.struct("mm", "anchor")).alias("b"))
+    return best.select("uid", "poi_a", "poi_b", "pairs", "anchors", "b.mm", "b.anchor")
+
+
+def bundles(d: Domain) -> DataFrame:
+    """uid, anchor, task_set, n, mm: open tasks of a user that each have a candidate place within AROUND of an anchor, itself a candidate.
+
+    A task counts with its nearest such place; mm is the sum of these ways.
+    """
+    met = ways(d).join(d.tasks.where("not done and poi is not null").select("uid", "poi", F.col("task_id").cast("string").alias("task")), ["uid", "poi"])
     every = met.groupBy("uid", "anchor").agg(F.array_join(F.sort_array(F.collect_list("task")), ",").alias("task_set"), F.count("*").alias("n"), F.sum("mm").alias("mm"))
     return every.where(F.col("n") >= LEAST_ERRANDS)
 
@@ -292,7 +329,51 @@ def biz2(d: Domain) -> DataFrame:
     return best.select("uid", "b.task_set", "b.anchor", "b.n")
 
 
-@query("top2_bundle_rank", f"SELECT uid, anchor, task_set, row_number() OVER (PARTITION BY uid ORDER BY n DESC, mm, anchor) AS place FROM ({_SETS})")
-def top2(d: Domain) -> DataFrame:
+def ranked_bundles(d: Domain) -> DataFrame:
     order = Window.partitionBy("uid").orderBy(F.desc("n"), "mm", "anchor")
-    return bundle_sets(d).select("uid", "anchor", "task_set", F.row_number().over(order).cast("long").alias("place"))
+    return bundle_sets(d).withColumn("place", F.row_number().over(order).cast("long"))
+
+
+def dismiss(dismissals: Table, bundles_: DataFrame, day: str) -> int:
+    """Note that users don't want bundles (uid, anchor) for the rest of a day; a second time changes nothing.
+
+    Bundles are known by their anchor. What was noted for earlier days has lapsed and goes.
+    """
+    new = bundles_.select("uid", F.lit(day).cast("date").alias("day"), "anchor").distinct()
+    if not dismissals.version():
+        return dismissals.commit(new)
+    return dismissals.update(lambda old: old.where(F.col("day") == F.lit(day).cast("date")).unionByName(new).distinct())
+
+
+def not_dismissed(bundles_: DataFrame, dismissals: DataFrame, day: str) -> DataFrame:
+    """Bundles (uid, anchor, ..) that weren't dismissed on the day."""
+    today = dismissals.where(F.col("day") == F.lit(day).cast("date")).select("uid", "anchor")
+    return bundles_.join(today, ["uid", "anchor"], "left_anti")
+
+
+def dismissed_some(d: Domain, ranked: DataFrame) -> DataFrame:
+    """Dismissals by users of every third id of their first bundle, by some of their second, and by others yesterday."""
+    table, today = Table(d.spark, scratch_folder(d.spark, "dismissals")), F.lit(TODAY).cast("date")
+    table.commit(ranked.where("uid % 3 = 1 and place = 1").select("uid", F.date_sub(today, 1).alias("day"), "anchor"))
+    lapsed = table.read()
+    dismiss(table, ranked.where("place = 1 and uid % 3 = 0"), TODAY)
+    dismiss(table, ranked.where("place <= 2 and uid % 6 = 0"), TODAY)
+    return table.read().unionByName(lapsed)  # also what has lapsed, which must not count
+
+
+_RANKED = f"SELECT uid, anchor, task_set, row_number() OVER (PARTITION BY uid ORDER BY n DESC, mm, anchor) AS place FROM ({_SETS})"
+_LEFT = f"SELECT * FROM ({_RANKED}) WHERE NOT (uid % 3 = 0 AND place = 1 OR uid % 6 = 0 AND place = 2)"
+
+
+@query("jn10_not_dismissed_today", f"SELECT uid, anchor, place FROM ({_LEFT})")
+def jn10(d: Domain) -> DataFrame:
+    ranked = ranked_bundles(d)
+    return not_dismissed(ranked, dismissed_some(d, ranked), TODAY).select("uid", "anchor", "place")
+
+
+@query("top2_bundle_rank", f"SELECT uid, arg_min(anchor, place) AS anchor, arg_min(task_set, place) AS task_set, min(place) AS place FROM ({_LEFT}) GROUP BY uid")
+def top2(d: Domain) -> DataFrame:
+    """The first bundle of each user that wasn't dismissed today, with its rank among all."""
+    ranked = ranked_bundles(d)
+    first = not_dismissed(ranked, dismissed_some(d, ranked), TODAY).groupBy("uid").agg(F.min(F.struct("place", "anchor", "task_set")).alias("b"))
+    return first.select("uid", "b.anchor", "b.task_set", "b.place")

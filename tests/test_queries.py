@@ -41,7 +41,7 @@ def test_matches_sql(name, spark, sf, duck):
 
 
 #: Joins by distance, whose order among near-equal distances shows on larger tables only.
-SPATIAL = ("jn2_places_in_radius", "jn3_same_place", "jn8_place_pairs", "jn21_known_location", "win3_nearest_candidate", "top7_hero", "biz1_proximity", "agg17_bundle_anchors", "agg18_bundle_sets", "biz2_errand_bundles", "top2_bundle_rank")
+SPATIAL = ("jn2_places_in_radius", "jn3_same_place", "jn8_task_pairs", "jn21_known_location", "win3_nearest_candidate", "top7_hero", "biz1_proximity", "agg17_bundle_anchors", "agg18_bundle_sets", "biz2_errand_bundles", "top2_bundle_rank")
 
 
 @pytest.mark.parametrize("name", SPATIAL)
