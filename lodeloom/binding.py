@@ -34,6 +34,7 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
         "opened_s": "19737 * 86400 + 43200 - (c_custkey % 240) * 3600",
         "nudged_s": "case when c_custkey % 3 = 0 then cast(null as bigint) else 19737 * 86400 - (c_custkey % 100) * 3600 end",
         "churned": "c_custkey % 11 = 0",
+        "tz": "split_part('UTC|Europe/Lisbon|America/New_York|Asia/Kolkata|Africa/Cairo|America/Havana|Atlantic/Azores|Pacific/Auckland|Australia/Lord_Howe', '|', cast(c_custkey % 9 + 1 as int))",
         "battery": "cast(c_custkey % 100 as double) / 100",
         "friend_nudges": "case when c_custkey % 5 = 0 then cast(null as boolean) else c_custkey % 5 <> 1 end",
     }),
@@ -151,6 +152,33 @@ DERIVED: dict[str, tuple[str, dict[str, str]]] = {
         "at_s": "19723 * 86400 + event_id * 40",
         "kind": "case event_id % 16 when 3 then 'offline' when 12 then 'online' else 'search' end",
     }),
+    "instants": ("events", {  # over all of 2024, and around changes of clocks
+        "id": "event_id",
+        "uid": "user_id",
+        "at_s": "case when event_id % 3 = 0 then 1704067200 + (event_id * 52361) % 31622400 when event_id % 3 = 1 then 1710046800 + (event_id * 997) % 90000 else 1730592000 + (event_id * 1009) % 90000 end",
+    }),
+    "completions": ("orders", {  # tasks done in the last fifty minutes
+        "task_id": "o_orderkey",
+        "uid": "o_custkey",
+        "day": "date '2024-01-15' + cast(o_orderkey % 2 as int)",
+        "done": "o_orderstatus <> 'O' or o_custkey % 7 = 0",
+        "completed_s": "case when o_orderstatus <> 'O' or o_custkey % 7 = 0 then 19737 * 86400 + 43200 - (o_orderkey * 7919) % 3000 end",
+    }),
+    "nudges": ("customer", {
+        "follower": "c_custkey",
+        "actor": "(c_custkey * 7 + 3) % 150 + 1",
+        "at_s": "19737 * 86400 + 43200 - (c_custkey % 60) * 3600",
+    }),
+    "contacts": ("orders", {
+        "uid": "o_custkey",
+        "contact": "(o_custkey * 7 + 3 + o_orderkey % 4) % 150 + 1",
+    }),
+    "plans": ("orders", {  # entries of a calendar with a place
+        "event_id": "o_orderkey",
+        "uid": "o_custkey",
+        "place": "case o_orderkey % 5 when 0 then '  ' when 1 then concat('Hotel ', cast(o_orderkey % 30 as string)) when 2 then concat('Supplier#', lpad(cast(o_orderkey % 100 as string), 9, '0'), ' hall') when 3 then 'St de' else cast(null as string) end",
+        "at_s": "19737 * 86400 + 43200 + (o_orderkey % 12 - 2) * 43200",
+    }),
     "inbox": ("events", {
         "uid": "user_id",
         "id": "event_id",
@@ -178,7 +206,7 @@ class Domain:
         source, columns = DERIVED[name]
         return self.raw(source).selectExpr(*(f"{e} as {c}" for c, e in columns.items()))
 
-    users, tasks, places, ledger, trips, follows, players, fixes, misses, messages, learnings, own_categories, ticks, net, inbox = (cached_property(lambda self, n=n: self.derived(n)) for n in DERIVED)
+    users, tasks, places, ledger, trips, follows, players, fixes, misses, messages, learnings, own_categories, ticks, net, instants, completions, nudges, contacts, plans, inbox = (cached_property(lambda self, n=n: self.derived(n)) for n in DERIVED)
 
 
 for _name in DERIVED:

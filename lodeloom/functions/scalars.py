@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeloom.binding import NOW, TODAY, Domain, query
 from lodeloom.functions.geo import cell, duck_haversine, haversine
-from lodeloom.functions.text import ACCENTED, PLAIN, folded, ngrams, spoken_time, tokens, trimmed, without_html, xor_hash36
+from lodeloom.functions.text import ACCENTED, PLAIN, folded, message_time, ngrams, tokens, trimmed, without_html, xor_hash36
 
 HOME = (38.72, -9.14)
 TIERS = (0, 50, 200, 500, 1200, 3000)
@@ -107,9 +107,22 @@ def str3(d: Domain) -> DataFrame:
     return d.tasks.select("task_id", F.nullif(trimmed(F.when(F.col("task_id") % 4 == 0, "   ").otherwise(F.col("title"))), F.lit("")).alias("description"))
 
 
-@query("str5_spoken_time", "SELECT task_id, CASE WHEN title LIKE '%at 9am%' THEN '09:00' WHEN title LIKE '%at 14:30%' THEN '14:30' END AS at_time FROM tasks")
+_AT = r"\bat\s+(\d{1,2})(?::(\d{2}))?\b\s*(am|pm)?\b"
+_CLOCK = r"\b(\d{1,2})(?::(\d{2}))?\s*(am|pm)\b"
+
+
+@query(
+    "str5_spoken_time",
+    f"""
+WITH said AS (
+  SELECT task_id, CASE WHEN regexp_matches(text, '{_AT}', 'i') THEN regexp_extract(text, '{_AT}', ['h', 'm', 'half'], 'i') WHEN regexp_matches(text, '{_CLOCK}', 'i') THEN regexp_extract(text, '{_CLOCK}', ['h', 'm', 'half'], 'i') END AS t FROM messages
+), clock AS (
+  SELECT task_id, CAST(t.h AS INTEGER) + CASE WHEN lower(t.half) = 'pm' AND CAST(t.h AS INTEGER) < 12 THEN 12 WHEN lower(t.half) = 'am' AND CAST(t.h AS INTEGER) = 12 THEN -12 ELSE 0 END AS h, CAST(coalesce(nullif(t.m, ''), '0') AS INTEGER) AS m FROM said
+)
+SELECT task_id, CASE WHEN h < 24 AND m < 60 THEN printf('%02d:%02d', h, m) END AS at_time FROM clock""",
+)
 def str5(d: Domain) -> DataFrame:
-    return d.tasks.select("task_id", spoken_time(F.col("title")).alias("at_time"))
+    return d.messages.select("task_id", message_time(F.col("text")).alias("at_time"))
 
 
 @query("str7_birthday", f"SELECT task_id, regexp_matches({_DUCK_FOLDED.format('title')}, 'birthday|aniversario') AS birthday FROM tasks")
@@ -132,9 +145,9 @@ def str12(d: Domain) -> DataFrame:
     return d.misses.select("uid", "sentence", F.regexp_replace(F.lower(F.trim("sentence")), r"\s+", " ").alias("norm"))
 
 
-@query("str15_parser_cleanup", "SELECT task_id, nullif(category, 'work') AS poi, CASE WHEN regexp_matches(hhmm, '^([01][0-9]|2[0-3]):[0-5][0-9]$') THEN hhmm END AS at_time, substr(title, 1, 12) AS title FROM tasks")
+@query("str15_parser_cleanup", "SELECT task_id, nullif(category, 'work') AS poi, CASE WHEN regexp_matches(hhmm, '^([01][0-9]|2[0-3]):[0-5][0-9]$') THEN hhmm END AS at_time, substr(repeat(title, 8), 1, 80) AS title FROM tasks")
 def str15(d: Domain) -> DataFrame:
-    return d.tasks.select("task_id", F.nullif("category", F.lit("work")).alias("poi"), F.when(F.col("hhmm").rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$"), F.col("hhmm")).alias("at_time"), F.substring("title", 1, 12).alias("title"))
+    return d.tasks.select("task_id", F.nullif("category", F.lit("work")).alias("poi"), F.when(F.col("hhmm").rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$"), F.col("hhmm")).alias("at_time"), F.substring(F.repeat("title", 8), 1, 80).alias("title"))
 
 
 @query("str17_locale", "SELECT doc_id, CASE WHEN starts_with(lower(CASE WHEN lang = 'es' THEN 'PT-br' ELSE lang END), 'pt') THEN 'pt-PT' ELSE 'en' END AS language FROM documents")
@@ -153,11 +166,6 @@ def hsh2(d: Domain) -> DataFrame:
     return d.users.select("uid", F.sha2(F.lower(F.trim("email")), 256).alias("hash"))
 
 
-@query("dat1_local_day", "SELECT fix_id, strftime(make_timestamp((at_s + 3600 * (uid % 5)) * 1000000), '%Y-%m-%d') AS day FROM fixes")
-def dat1(d: Domain) -> DataFrame:
-    return d.fixes.select("fix_id", F.date_format(F.timestamp_seconds(F.col("at_s") + 3600 * (F.col("uid") % 5)), "yyyy-MM-dd").alias("day"))
-
-
 @query("dat2_week_bounds", f"SELECT task_id, CAST(date_trunc('week', day) AS DATE) AS monday, CAST(date_trunc('week', day) AS DATE) + 6 AS sunday, date_trunc('week', day) = date_trunc('week', DATE '{TODAY}') AS this_week FROM tasks")
 def dat2(d: Domain) -> DataFrame:
     monday = F.trunc("day", "week")
@@ -269,9 +277,5 @@ def arr1(d: Domain) -> DataFrame:
 
 @query("map2_explode_players", "SELECT challenge_id, uid, CAST(max(completed) AS BIGINT) AS completed FROM players GROUP BY ALL")
 def map2(d: Domain) -> DataFrame:
-    best = d.players.groupBy("challenge_id", "uid").agg(F.max("completed").alias("completed"))
-    maps = best.groupBy("challenge_id").agg(F.map_from_entries(F.collect_list(F.struct("uid", "completed"))).alias("m"))
-    return maps.select("challenge_id", F.explode("m").alias("uid", "completed"))
-
-
-
+    """Players of a challenge as rows. Stored as a map of a challenge, they would be one value that grows with it; so no map is built."""
+    return d.players.groupBy("challenge_id", "uid").agg(F.max("completed").cast("long").alias("completed"))

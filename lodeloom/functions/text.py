@@ -82,16 +82,6 @@ def xor_hash36(x: Column) -> Column:
     return F.lower(F.conv(h.cast("string"), 10, 36))
 
 
-def spoken_time(x: Column) -> Column:
-    """HH:MM of "at 9am", "at 14:30", "3:45pm"; null where there is none."""
-    first = r"(?i)\bat\s+(\d{1,2})(?::(\d{2}))?\s*(am|pm)?\b"
-    second = r"(?i)\b(\d{1,2}):(\d{2})\s*(am|pm)?\b"
-    pick = lambda g: F.when(x.rlike(first), F.regexp_extract(x, first, g)).otherwise(F.regexp_extract(x, second, g))
-    hour, minute, half = F.when(pick(1) != "", pick(1).cast("int")), F.when(pick(2) != "", pick(2).cast("int")).otherwise(0), F.lower(pick(3))
-    hour = F.when((half == "pm") & (hour < 12), hour + 12).when((half == "am") & (hour == 12), 0).otherwise(hour)
-    return F.when((hour < 24) & (minute < 60), F.concat(F.lpad(hour.cast("string"), 2, "0"), F.lit(":"), F.lpad(minute.cast("string"), 2, "0")))
-
-
 def message_time(x: Column) -> Column:
     """HH:MM of the first "at 9", "at 14:30", "at 9 pm", or else of the first "3:45pm", "9 PM"; null where there is none or it is no time."""
     first = r"(?i)\bat\s+(\d{1,2})(?::(\d{2}))?\b\s*(am|pm)?\b"

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeloom.binding import NOW, Domain, query
+from lodeloom.binding import NOW, TODAY, Domain, query
+from lodeloom.plans.numbering import numbered
 
 DAY = 86400
 # Points of each achievement kind, by number.
@@ -67,9 +68,21 @@ def agg9(d: Domain) -> DataFrame:
     return d.tasks.where("done and poi is not null").groupBy("uid").agg(F.size(kinds).cast("long").alias("n"), F.array_join(F.sort_array(kinds), ",").alias("types"))
 
 
-@query("agg10_friend_trigger", "SELECT uid, day, bool_and(done) AS all_done, count(*) FILTER (completed_s % 86400 BETWEEN 36000 AND 57600) >= 2 AS burst FROM tasks GROUP BY ALL")
+#: Tasks done within so many seconds up to now that make a burst.
+BURST, BURST_SECONDS = 3, 1800
+_TRIGGERS = f"SELECT uid, bool_and(done) AS full_list, NOT bool_and(done) AND count(*) FILTER (done AND completed_s >= {NOW} - {BURST_SECONDS}) >= {BURST} AS burst FROM completions WHERE day = DATE '{TODAY}' GROUP BY uid"
+
+
+def friend_triggers(tasks: DataFrame, today: str = TODAY, now: int = NOW) -> DataFrame:
+    """uid, full_list, burst of users with tasks today: whether all are done, or else three or more of them in the last half hour."""
+    recent = F.col("done") & (F.col("completed_s") >= now - BURST_SECONDS)
+    by_user = tasks.where(F.col("day") == F.lit(today).cast("date")).groupBy("uid").agg(F.every("done").alias("full_list"), F.count_if(recent).alias("n"))
+    return by_user.select("uid", "full_list", (~F.col("full_list") & (F.col("n") >= BURST)).alias("burst"))
+
+
+@query("agg10_friend_trigger", _TRIGGERS)
 def agg10(d: Domain) -> DataFrame:
-    return d.tasks.groupBy("uid", "day").agg(F.every("done").alias("all_done"), (F.count_if((F.col("completed_s") % DAY).between(36000, 57600)) >= 2).alias("burst"))
+    return friend_triggers(d.completions)
 
 
 _NORM = "regexp_replace(lower(trim(sentence)), '\\s+', ' ', 'g')"
@@ -112,10 +125,16 @@ def agg16(d: Domain) -> DataFrame:
     return d.users.select("uid").join(into, "uid", "left").join(out, "uid", "left").na.fill(0)
 
 
-@query("agg19_trips_by_year", "SELECT year(end_day + CAST(trip_id % 3 * 366 AS INTEGER)) AS year, count(*) AS n, array_to_string(list(trip_id ORDER BY end_day + CAST(trip_id % 3 * 366 AS INTEGER) DESC, trip_id DESC), ',') AS trips FROM trips WHERE end_day IS NOT NULL GROUP BY ALL")
+@query(
+    "agg19_trips_by_year",
+    "SELECT year(ended) AS year, trip_id, row_number() OVER (PARTITION BY year(ended) ORDER BY ended DESC, trip_id DESC) AS place, count(*) OVER (PARTITION BY year(ended)) AS n "
+    "FROM (SELECT trip_id, end_day + CAST(trip_id % 3 * 366 AS INTEGER) AS ended FROM trips WHERE end_day IS NOT NULL)",
+)
 def agg19(d: Domain) -> DataFrame:
-    ended = d.trips.where("end_day is not null").selectExpr("trip_id", "end_day + cast(trip_id % 3 * 366 as int) as ended")
-    return ended.groupBy(F.year("ended").cast("long").alias("year")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ended", "trip_id")), asc=False), lambda s: s["trip_id"]), ",").alias("trips"))
+    """Trips of each year with their place, the last to end first, and how many there are. They are numbered by the days they end on."""
+    ended = d.trips.where("end_day is not null").selectExpr("trip_id", "end_day + cast(trip_id % 3 * 366 as int) as ended").withColumn("year", F.year("ended").cast("long"))
+    placed = numbered(ended, -F.unix_date("ended"), [F.desc("trip_id")], ["year"], "place")
+    return placed.join(ended.groupBy("year").agg(F.count("*").alias("n")), "year").select("year", "trip_id", (F.col("place") + 1).alias("place"), "n")
 
 
 @query("agg20_earned_locked", "SELECT uid, count(*) FILTER (n IS NOT NULL) AS earned, count(*) FILTER (n IS NULL) AS locked FROM (SELECT DISTINCT uid FROM ledger) u CROSS JOIN (SELECT unnest(range(7)) AS kind) k LEFT JOIN (SELECT uid, id % 11 AS kind, count(*) AS n FROM ledger WHERE reason = 'achievement' GROUP BY ALL) e USING (uid, kind) GROUP BY uid")
@@ -198,5 +217,3 @@ def set5(d: Domain) -> DataFrame:
 @query("set6_contact_values", "SELECT DISTINCT lower(trim(email)) AS contact FROM users UNION SELECT DISTINCT username FROM users WHERE username IS NOT NULL")
 def set6(d: Domain) -> DataFrame:
     return d.users.select(F.explode(F.array(F.lower(F.trim("email")), "username")).alias("contact")).where("contact is not null").distinct()
-
-

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeloom.binding import NOW, TODAY, Domain, query
@@ -90,15 +90,6 @@ def flt5(d: Domain) -> DataFrame:
     return d.trips.select("trip_id", (F.coalesce(F.col("start_day") <= today, F.lit(True)) & F.coalesce(today <= F.col("end_day"), F.lit(True))).alias("inside"))
 
 
-_LOCAL = "(at_s + 3600 * (uid % 5)) // 3600 % 24"
-
-
-@query("flt6_quiet_local", f"SELECT fix_id, {_LOCAL} >= 22 OR {_LOCAL} < 8 AS quiet FROM fixes")
-def flt6(d: Domain) -> DataFrame:
-    h = F.hour(F.timestamp_seconds(F.col("at_s") + 3600 * (F.col("uid") % 5)))
-    return d.fixes.select("fix_id", ((h >= 22) | (h < 8)).alias("quiet"))
-
-
 @query("flt7_quiet_utc", "SELECT fix_id, at_s // 3600 % 24 >= 22 OR at_s // 3600 % 24 < 8 AS quiet FROM fixes")
 def flt7(d: Domain) -> DataFrame:
     h = F.hour(F.timestamp_seconds("at_s"))
@@ -110,17 +101,51 @@ def flt8(d: Domain) -> DataFrame:
     return d.tasks.select("task_id", (F.col("hhmm").isNull() & (F.col("day") > F.lit("2024-01-20").cast("date"))).alias("skipped"))
 
 
-@query("flt9_task_rules", "SELECT task_id, concat_ws(',', CASE WHEN length(title) > 22 THEN 'title' END, CASE WHEN NOT regexp_matches(category, '^[a-z]+$') THEN 'category' END, CASE WHEN hhmm > '23:59' THEN 'time' END, CASE WHEN done AND completed_s < created_s THEN 'order' END) AS broken FROM tasks")
-def flt9(d: Domain) -> DataFrame:
-    rules = {"title": F.length("title") > 22, "category": ~F.col("category").rlike("^[a-z]+$"), "time": F.col("hhmm") > "23:59", "order": F.col("done") & (F.col("completed_s") < F.col("created_s"))}
-    return d.tasks.select("task_id", F.concat_ws(",", *(F.when(c, n) for n, c in rules.items())).alias("broken"))
+#: Most letters of a task's title and category.
+MOST_TITLE, MOST_CATEGORY = 500, 120
+_STORED = "SELECT task_id, repeat(title, CAST(task_id % 60 AS INTEGER)) AS title, repeat(category, CAST(task_id % 40 AS INTEGER)) AS category, CASE WHEN task_id % 17 = 0 THEN hhmm || '0' ELSE hhmm END AS hhmm, CASE WHEN task_id % 22 = 0 THEN 'party' ELSE kind END AS kind FROM tasks"
+
+
+def broken_rules() -> Column:
+    """Names of the rules that a task (title, category, hhmm, kind) breaks, comma-joined. What may be missing is null."""
+    size = lambda c, most: ~F.coalesce(F.length(c).between(1, most), F.lit(False))
+    rules = {
+        "title": size("title", MOST_TITLE),
+        "category": size("category", MOST_CATEGORY),
+        "time": ~F.col("hhmm").rlike("^([01][0-9]|2[0-3]):[0-5][0-9]$"),
+        "kind": F.col("kind") != "birthday",
+    }
+    return F.concat_ws(",", *(F.when(c, n) for n, c in rules.items()))
 
 
-@query("flt10_entity_rules", "SELECT 'trip' AS entity, trip_id AS id, radius BETWEEN 1 AND 800 AND (start_day IS NULL OR end_day IS NULL OR start_day <= end_day) AS valid FROM trips UNION ALL SELECT 'ledger', id, points BETWEEN 1 AND 90 FROM ledger")
+@query(
+    "flt9_task_rules",
+    f"SELECT task_id, concat_ws(',', CASE WHEN length(title) NOT BETWEEN 1 AND 500 THEN 'title' END, CASE WHEN length(category) NOT BETWEEN 1 AND 120 THEN 'category' END, CASE WHEN NOT regexp_full_match(hhmm, '([01][0-9]|2[0-3]):[0-5][0-9]') THEN 'time' END, CASE WHEN kind <> 'birthday' THEN 'kind' END) AS broken FROM ({_STORED})",
+)
+def flt9(d: Domain) -> DataFrame:
+    times = lambda c, n: F.repeat(c, (F.col("task_id") % n).cast("int"))
+    stored = d.tasks.select(
+        "task_id", times(F.col("title"), 60).alias("title"), times(F.col("category"), 40).alias("category"),
+        F.when(F.col("task_id") % 17 == 0, F.concat("hhmm", F.lit("0"))).otherwise(F.col("hhmm")).alias("hhmm"), F.when(F.col("task_id") % 22 == 0, "party").otherwise(F.col("kind")).alias("kind"),
+    )
+    return stored.select("task_id", broken_rules().alias("broken"))
+
+
+@query(
+    "flt10_entity_rules",
+    "SELECT 'trip' AS entity, trip_id AS id, length(destination) BETWEEN 1 AND 120 AND lat BETWEEN -90 AND 90 AND lng BETWEEN -180 AND 180 AND radius - 300 > 0 AND coalesce(kind = 'offgrid', true) AS valid FROM trips "
+    "UNION ALL SELECT 'radius', trip_id, radius * 2 BETWEEN 1 AND 1000 FROM trips UNION ALL SELECT 'ledger', id, points + id % 29 BETWEEN 1 AND 100 AND reason IN ('task_completed', 'achievement', 'onboarding') FROM ledger "
+    "UNION ALL SELECT 'category', task_id, length(category) BETWEEN 1 AND 80 AND coalesce(poi < 12, true) FROM tasks",
+)
 def flt10(d: Domain) -> DataFrame:
-    ordered = F.col("start_day").isNull() | F.col("end_day").isNull() | (F.col("start_day") <= F.col("end_day"))
-    trips = d.trips.select(F.lit("trip").alias("entity"), F.col("trip_id").alias("id"), (F.col("radius").between(1, 800) & ordered).alias("valid"))
-    return trips.union(d.ledger.select(F.lit("ledger"), "id", F.col("points").between(1, 90)))
+    """Whether trips, preferences of a radius, points and categories keep their rules: 1 to 1000 metres, 1 to 100 points, known reasons and kinds."""
+    place = F.col("lat").between(-90, 90) & F.col("lng").between(-180, 180)
+    trip = F.length("destination").between(1, 120) & place & (F.col("radius") - 300 > 0) & F.coalesce(F.col("kind") == "offgrid", F.lit(True))
+    trips = d.trips.select(F.lit("trip").alias("entity"), F.col("trip_id").alias("id"), trip.alias("valid"))
+    radii = d.trips.select(F.lit("radius"), "trip_id", (F.col("radius") * 2).between(1, 1000))
+    points = (F.col("points") + F.col("id") % 29).between(1, 100) & F.col("reason").isin("task_completed", "achievement", "onboarding")
+    categories = d.tasks.select(F.lit("category"), "task_id", F.length("category").between(1, 80) & F.coalesce(F.col("poi") < 12, F.lit(True)))
+    return trips.union(radii).union(d.ledger.select(F.lit("ledger"), "id", points)).union(categories)
 
 
 @query("flt11_player_update", "SELECT challenge_id, entry, entry % 3 <> 0 AND completed % 5 >= 1 AND NOT (won AND completed % 2 = 1) AS allowed FROM players")
@@ -131,9 +156,11 @@ def flt11(d: Domain) -> DataFrame:
     return rows.select("challenge_id", "entry", (F.col("own") & (F.col("a.n") >= F.col("b.n")) & (F.col("a.w") | ~F.col("b.w"))).alias("allowed"))
 
 
-@query("flt12_username_valid", "SELECT uid, coalesce(regexp_matches(username, '^[a-z0-9_]{3,8}$'), false) AS valid FROM users")
+@query("flt12_username_valid", "SELECT uid, coalesce(regexp_full_match(name, '[a-z0-9_]{3,20}'), false) AS valid FROM (SELECT uid, CASE uid % 9 WHEN 1 THEN 'ab' WHEN 2 THEN repeat(username, 3) WHEN 3 THEN upper(username) ELSE username END AS name FROM users)")
 def flt12(d: Domain) -> DataFrame:
-    return d.users.select("uid", F.coalesce(F.col("username").rlike("^[a-z0-9_]{3,8}$"), F.lit(False)).alias("valid"))
+    k = F.col("uid") % 9
+    name = F.when(k == 1, "ab").when(k == 2, F.repeat("username", 3)).when(k == 3, F.upper("username")).otherwise(F.col("username"))
+    return d.users.select("uid", F.coalesce(name.rlike("^[a-z0-9_]{3,20}$"), F.lit(False)).alias("valid"))
 
 
 @query("flt13_rename_cooldown", f"SELECT uid, CASE WHEN renamed_s IS NULL OR {NOW} - created_s < 86400 THEN 0 ELSE CAST(greatest(0, ceil((renamed_s + 30 * 86400 - {NOW}) / 86400.0)) AS BIGINT) END AS days_left FROM users")
@@ -241,7 +268,6 @@ def prj9(d: Domain) -> DataFrame:
     return d.raw("part").select(F.col("p_partkey").alias("place_id"), F.when(t == "PROMO", "tag").when(t.endswith("STEEL"), "bolt").when(t.contains("A"), "leaf").otherwise("pin").alias("icon"))
 
 
-
 @query("snk5_watch_payload", "SELECT uid, CAST(count(*) AS BIGINT) AS n FROM tasks WHERE NOT done GROUP BY uid")
 def snk5(d: Domain) -> DataFrame:
     sent = d.tasks.where("not done").groupBy("uid").agg(F.to_json(F.sort_array(F.collect_list(F.struct("task_id", "title", "poi", "hhmm")))).alias("payload"))

@@ -123,10 +123,11 @@ def jn15(d: Domain) -> DataFrame:
     return d.users.select("uid", F.sha2(F.lower("email"), 256).alias("h")).join(mine, "h").select("uid").dropDuplicates(["uid"])
 
 
-@query("jn16_already_followed", "SELECT u.uid, f.follower IS NOT NULL AS followed FROM users u LEFT JOIN (SELECT DISTINCT follower, followed FROM follows WHERE followed = 11) f ON f.follower = u.uid WHERE u.uid <> 11")
+@query("jn16_already_followed", "SELECT c.uid, c.contact, f.follower IS NOT NULL AS followed FROM (SELECT DISTINCT uid, contact FROM contacts WHERE uid <> contact) c LEFT JOIN (SELECT DISTINCT follower, followed FROM follows) f ON f.follower = c.uid AND f.followed = c.contact")
 def jn16(d: Domain) -> DataFrame:
-    mine = d.follows.where("followed = 11").select(F.col("follower").alias("uid"), F.lit(True).alias("hit")).distinct()
-    return d.users.where("uid <> 11").join(mine, "uid", "left").select("uid", F.col("hit").isNotNull().alias("followed"))
+    """Every user's contacts but the user, and whether they are followed already."""
+    mine = d.follows.select(F.col("follower").alias("uid"), F.col("followed").alias("contact"), F.lit(True).alias("hit")).distinct()
+    return d.contacts.where("uid <> contact").distinct().join(mine, ["uid", "contact"], "left").select("uid", "contact", F.col("hit").isNotNull().alias("followed"))
 
 
 @query("jn17_username_hops", "SELECT f.follower, u.username FROM follows f JOIN users u ON u.uid = f.followed WHERE u.username IS NOT NULL")
@@ -180,11 +181,17 @@ def jn25(d: Domain) -> DataFrame:
     return d.places.select("place_id").join(first, "place_id", "left")
 
 
-@query("jn26_public_profile", "SELECT u.uid, u.username, coalesce(a.kinds, 0) AS kinds, f.follower IS NOT NULL AS follows_me FROM users u LEFT JOIN (SELECT uid, count(DISTINCT id % 11) AS kinds FROM ledger WHERE reason = 'achievement' GROUP BY uid) a USING (uid) LEFT JOIN (SELECT DISTINCT follower FROM follows WHERE followed = 11) f ON f.follower = u.uid WHERE u.username IS NOT NULL")
+@query(
+    "jn26_public_profile",
+    "SELECT c.uid, u.uid AS profile, u.username, coalesce(a.kinds, 0) AS kinds, f.follower IS NOT NULL AS followed FROM (SELECT DISTINCT uid, contact FROM contacts) c JOIN users u ON u.uid = c.contact AND u.username IS NOT NULL "
+    "LEFT JOIN (SELECT uid, count(DISTINCT id % 11) AS kinds FROM ledger WHERE reason = 'achievement' GROUP BY uid) a ON a.uid = u.uid LEFT JOIN (SELECT DISTINCT follower, followed FROM follows) f ON f.follower = c.uid AND f.followed = u.uid",
+)
 def jn26(d: Domain) -> DataFrame:
-    kinds = d.ledger.where("reason = 'achievement'").groupBy("uid").agg(F.size(F.collect_set(F.col("id") % 11)).cast("long").alias("kinds"))
-    mine = d.follows.where("followed = 11").select(F.col("follower").alias("uid"), F.lit(True).alias("hit")).distinct()
-    return d.users.where("username is not null").join(kinds, "uid", "left").join(mine, "uid", "left").select("uid", "username", F.coalesce("kinds", F.lit(0)).alias("kinds"), F.col("hit").isNotNull().alias("follows_me"))
+    """The profiles that each user may look at, with their achievements and whether the user follows them."""
+    kinds = d.ledger.where("reason = 'achievement'").groupBy(F.col("uid").alias("profile")).agg(F.count_distinct(F.col("id") % 11).alias("kinds"))
+    mine = d.follows.select(F.col("follower").alias("uid"), F.col("followed").alias("profile"), F.lit(True).alias("hit")).distinct()
+    seen = d.contacts.select("uid", F.col("contact").alias("profile")).distinct().join(d.users.where("username is not null").select(F.col("uid").alias("profile"), "username"), "profile")
+    return seen.join(kinds, "profile", "left").join(mine, ["uid", "profile"], "left").select("uid", "profile", "username", F.coalesce("kinds", F.lit(0)).alias("kinds"), F.col("hit").isNotNull().alias("followed"))
 
 
 _HERO = f"SELECT u.uid, p.poi, p.place_id, round({_UP}, 3) AS metres FROM users u JOIN (SELECT DISTINCT uid, poi FROM tasks WHERE NOT done AND poi IS NOT NULL) o ON o.uid = u.uid JOIN places p ON p.poi = o.poi AND round({_UP}, 3) < {NEAR}"

@@ -51,26 +51,28 @@ def win6(d: Domain) -> DataFrame:
     return d.ledger.select("uid", "id", F.sum("points").over(so_far).alias("total")).withColumn("tier", F.size(F.filter(steps, lambda t: t <= F.col("total"))) - 1)
 
 
-@query("win7_accuracy_window", "SELECT fix_id, n, round(bad / n, 6) AS ratio, n >= 3 AND bad / n >= 0.7 AS degraded FROM (SELECT fix_id, count(*) OVER w AS n, count(*) FILTER (accuracy > 50) OVER w AS bad FROM fixes WINDOW w AS (PARTITION BY uid ORDER BY at_s RANGE BETWEEN 21600 PRECEDING AND CURRENT ROW))")
+@query("win7_accuracy_window", "SELECT fix_id, n, round(bad / n, 6) AS ratio, n >= 3 AND bad / n >= 0.7 AS degraded FROM (SELECT fix_id, count(*) OVER w AS n, count(*) FILTER (accuracy > 50) OVER w AS bad FROM ticks WINDOW w AS (PARTITION BY uid ORDER BY at_s RANGE BETWEEN 30 PRECEDING AND CURRENT ROW))")
 def win7(d: Domain) -> DataFrame:
-    w = Window.partitionBy("uid").orderBy("at_s").rangeBetween(-21600, 0)
-    rows = d.fixes.select("fix_id", F.count("*").over(w).alias("n"), F.count_if(F.col("accuracy") > 50).over(w).alias("bad"))
+    """The share of poor readings in the last 30 seconds; with three readings or more it may be degraded."""
+    w = Window.partitionBy("uid").orderBy("at_s").rangeBetween(-30, 0)
+    rows = d.ticks.select("fix_id", F.count("*").over(w).alias("n"), F.count_if(F.col("accuracy") > 50).over(w).alias("bad"))
     share = F.col("bad") / F.col("n")
     return rows.select("fix_id", "n", F.round(share, 6).alias("ratio"), ((F.col("n") >= 3) & (share >= 0.7)).alias("degraded"))
 
 
-@query("win8_debounce", "SELECT uid, fix_id, at_s - min(at_s) OVER (PARTITION BY uid, isle) >= 1500 AS held FROM (SELECT *, sum(CASE WHEN bad = was THEN 0 ELSE 1 END) OVER (PARTITION BY uid ORDER BY at_s, fix_id ROWS UNBOUNDED PRECEDING) AS isle FROM (SELECT uid, fix_id, at_s, accuracy > 20 AS bad, coalesce(lag(accuracy > 20) OVER (PARTITION BY uid ORDER BY at_s, fix_id), accuracy <= 20) AS was FROM fixes))")
+@query("win8_debounce", "SELECT uid, fix_id, at_s - min(at_s) OVER (PARTITION BY uid, isle) >= 15 AS held FROM (SELECT *, sum(CASE WHEN bad = was THEN 0 ELSE 1 END) OVER (PARTITION BY uid ORDER BY at_s, fix_id ROWS UNBOUNDED PRECEDING) AS isle FROM (SELECT uid, fix_id, at_s, accuracy > 50 AS bad, coalesce(lag(accuracy > 50) OVER (PARTITION BY uid ORDER BY at_s, fix_id), accuracy <= 50) AS was FROM ticks))")
 def win8(d: Domain) -> DataFrame:
     order = Window.partitionBy("uid").orderBy("at_s", "fix_id")
-    bad = F.col("accuracy") > 20
-    turns = d.fixes.withColumn("turn", (~F.lag(bad).over(order).eqNullSafe(bad)).cast("int"))
+    bad = F.col("accuracy") > 50
+    turns = d.ticks.withColumn("turn", (~F.lag(bad).over(order).eqNullSafe(bad)).cast("int"))
     isles = turns.withColumn("isle", F.sum("turn").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return isles.select("uid", "fix_id", (F.col("at_s") - F.min("at_s").over(Window.partitionBy("uid", "isle")) >= 1500).alias("held"))
+    return isles.select("uid", "fix_id", (F.col("at_s") - F.min("at_s").over(Window.partitionBy("uid", "isle")) >= 15).alias("held"))
 
 
-@query("win10_session_count", "SELECT task_id, count(*) OVER (PARTITION BY uid ORDER BY completed_s RANGE BETWEEN 172800 PRECEDING AND CURRENT ROW) AS n FROM tasks WHERE done")
+@query("win10_session_count", "SELECT task_id, count(*) OVER (PARTITION BY uid ORDER BY completed_s RANGE BETWEEN 1800 PRECEDING AND CURRENT ROW) AS n FROM completions WHERE done")
 def win10(d: Domain) -> DataFrame:
-    return d.tasks.where("done").select("task_id", F.count("*").over(Window.partitionBy("uid").orderBy("completed_s").rangeBetween(-172800, 0)).alias("n"))
+    """How many tasks a user did in the half hour up to each completion."""
+    return d.completions.where("done").select("task_id", F.count("*").over(Window.partitionBy("uid").orderBy("completed_s").rangeBetween(-1800, 0)).alias("n"))
 
 
 @query("win12_pair_cooldown", "SELECT uid, id, coalesce(at_s - lag(at_s) OVER (PARTITION BY uid, kind ORDER BY at_s, id) >= 86400, true) AS allowed FROM inbox")
@@ -173,5 +175,3 @@ def top14(d: Domain) -> DataFrame:
 def top16(d: Domain) -> DataFrame:
     best = F.array_max("embedding")
     return d.raw("embeddings").select("vec_id", F.when(best >= 0.1, F.array_position("embedding", best) - 1).alias("label"))
-
-

@@ -6,10 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeloom.binding import NOW, Domain, query
-
-
-#: Ids that a range has at most when rows are numbered.
-RANGE = 65_536
+from lodeloom.plans.numbering import hash_bucket, numbered
 
 
 class EmptyArea(ValueError):
@@ -29,14 +26,6 @@ def biz14(d: Domain) -> DataFrame:
     return download_area(d.places.select("place_id", "poi", "area"), found, "ta_20")
 
 
-@query("biz31_dataset", "SELECT label, text, CASE WHEN substr(sha256(text), 1, 1) = '0' THEN 'test' ELSE 'train' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256(text), text) AS rn FROM (SELECT DISTINCT p.poi AS label, replace(t.template, '{}', split_part(p.name, ' ', 1)) AS text FROM places p CROSS JOIN (VALUES ('go to {}'), ('find {} now'), ('{} please')) t(template))) WHERE rn <= 40")
-def biz31(d: Domain) -> DataFrame:
-    templates = d.spark.createDataFrame([("go to {}",), ("find {} now",), ("{} please",)], "template string")
-    keywords = d.places.selectExpr("poi as label", "split_part(name, ' ', 1) as keyword").distinct()
-    texts = keywords.join(F.broadcast(templates)).select("label", F.replace("template", F.lit("{}"), F.col("keyword")).alias("text")).distinct()
-    ranked = texts.withColumn("rn", F.expr("row_number() over (partition by label order by sha2(text, 256), text)")).where("rn <= 40")
-    return ranked.select("label", "text", F.when(F.substring(F.sha2("text", 256), 1, 1) == "0", "test").otherwise("train").alias("part"))
-
 
 @query("map1_path_update", "SELECT uid, kind, CAST(n + CASE WHEN kind = 3 THEN 1 ELSE 0 END AS BIGINT) AS n FROM (SELECT uid, id % 11 AS kind, count(*) AS n FROM ledger GROUP BY ALL)")
 def map1(d: Domain) -> DataFrame:
@@ -48,16 +37,9 @@ def map1(d: Domain) -> DataFrame:
 
 @query("snk3_batches", "SELECT batch, count(*) AS n FROM (SELECT (row_number() OVER (ORDER BY task_id) - 1) // 500 AS batch FROM tasks) GROUP BY batch")
 def snk3(d: Domain) -> DataFrame:
-    """Batches of at most 500 as the store would take them; a table writer needs none.
-
-    Rows are numbered within ranges of ids, and ranges by the numbers of rows before them, so that no task sees all rows.
-    """
-    ranged = d.tasks.select("task_id", F.floor(F.col("task_id") / RANGE).alias("range"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
-    starts = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    nth = F.row_number().over(Window.partitionBy("range").orderBy("task_id"))
-    numbered = ranged.withColumn("nth", nth).join(starts, "range").select(F.expr("(start + nth - 1) div 500").alias("batch"))
-    return numbered.groupBy("batch").agg(F.count("*").alias("n"))
+    """Batches of at most 500 as the store would take them; a table writer needs none. Rows are numbered by counts of hash buckets."""
+    rows = numbered(d.tasks.select("task_id"), hash_bucket("task_id"), [F.col("task_id")])
+    return rows.groupBy(F.expr("nth div 500").alias("batch")).agg(F.count("*").alias("n"))
 
 
 @query("snk7_field_delete", "SELECT task_id, CASE WHEN done THEN completed_s END AS completed_s, CASE WHEN NOT done THEN NULL ELSE visited END AS visited FROM tasks")
@@ -78,11 +60,6 @@ def biz36(d: Domain) -> DataFrame:
     return d.trips.where("kind = 'offgrid'").select("trip_id", F.lit(15000).alias("radius"), until.alias("until_s"))
 
 
-@query("stm13_job_schedule", "SELECT fix_id, at_s // 86400 * 86400 + 300 + CASE WHEN at_s % 86400 > 300 THEN 86400 ELSE 0 END AS next_rollover FROM fixes")
-def stm13(d: Domain) -> DataFrame:
-    s = F.col("at_s")
-    return d.fixes.select("fix_id", (s - s % 86400 + 300 + F.when(s % 86400 > 300, 86400).otherwise(0)).alias("next_rollover"))
-
 
 @query("stm19_latest_input", "SELECT uid, CAST(session AS BIGINT) AS session, max(fix_id) AS fix_id FROM (SELECT uid, fix_id, sum(CASE WHEN gap >= 600 THEN 1 ELSE 0 END) OVER (PARTITION BY uid ORDER BY at_s, fix_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT *, at_s - lag(at_s) OVER (PARTITION BY uid ORDER BY at_s, fix_id) AS gap FROM fixes)) GROUP BY ALL")
 def stm19(d: Domain) -> DataFrame:

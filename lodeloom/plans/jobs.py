@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lodeloom.binding import NOW, TODAY, Domain, query
 from lodeloom.functions.geo import haversine
+from lodeloom.functions.text import tokens
+from lodeloom.operators.aggregates import _TRIGGERS, friend_triggers
 
 DAY = 86400
 
@@ -50,13 +52,13 @@ def biz5(d: Domain) -> DataFrame:
     return rows.withColumn("outcome", F.when((F.col("n") >= 5) & ((F.col("kind") % 2 == 0) | (F.col("n") == 5)), "award").otherwise("progress"))
 
 
-@query("biz6_on_a_roll", "SELECT uid, d AS day FROM (SELECT *, row_number() OVER (PARTITION BY uid, isle ORDER BY d) AS streak FROM (SELECT *, d - CAST(row_number() OVER (PARTITION BY uid ORDER BY d) AS INTEGER) AS isle FROM (SELECT uid, day AS d FROM tasks GROUP BY ALL HAVING bool_and(done)))) WHERE streak = 2")
+@query("biz6_on_a_roll", "SELECT uid, d AS day FROM (SELECT *, row_number() OVER (PARTITION BY uid, isle ORDER BY d) AS streak FROM (SELECT *, d - CAST(row_number() OVER (PARTITION BY uid ORDER BY d) AS INTEGER) AS isle FROM (SELECT uid, day AS d FROM tasks GROUP BY ALL HAVING bool_and(done)))) WHERE streak = 3")
 def biz6(d: Domain) -> DataFrame:
     days = d.tasks.groupBy("uid", "day").agg(F.every("done").alias("ok")).where("ok")
     isles = days.withColumn("isle", F.date_sub("day", F.row_number().over(Window.partitionBy("uid").orderBy("day"))))
     streak = isles.withColumn("streak", F.row_number().over(Window.partitionBy("uid", "isle").orderBy("day")))
     before = F.coalesce(F.lag("streak").over(Window.partitionBy("uid").orderBy("day")), F.lit(0))
-    return streak.withColumn("was", before).where("streak >= 2 and (was < 2 or streak = 1)").where("streak = 2").select("uid", "day")
+    return streak.withColumn("was", before).where("streak >= 3 and was < 3").select("uid", "day")
 
 
 @query("biz7_centurion", "SELECT uid, arg_min(id, at_s * 1000000 + id) AS id FROM (SELECT *, sum(points) OVER (PARTITION BY uid ORDER BY at_s, id ROWS UNBOUNDED PRECEDING) AS total FROM ledger) WHERE total >= 100 GROUP BY uid")
@@ -126,11 +128,18 @@ def biz18(d: Domain) -> DataFrame:
     return d.users.select("uid").join(live, "uid", "left").select("uid", chip.alias("chip"))
 
 
-@query("biz19_friend_nudges", f"SELECT DISTINCT f.follower, t.uid AS actor FROM (SELECT uid FROM tasks WHERE day = DATE '{TODAY}' GROUP BY uid HAVING bool_and(done)) t JOIN follows f ON f.followed = t.uid JOIN users u ON u.uid = f.follower WHERE coalesce(u.friend_nudges, true) AND coalesce(u.nudged_s < {NOW} - 86400, true)")
+@query(
+    "biz19_friend_nudges",
+    f"SELECT DISTINCT f.follower, t.uid AS actor, t.full_list FROM ({_TRIGGERS}) t JOIN follows f ON f.followed = t.uid JOIN users u ON u.uid = f.follower "
+    f"LEFT JOIN (SELECT follower, actor, max(at_s) AS at_s FROM nudges GROUP BY ALL) n ON n.follower = f.follower AND n.actor = t.uid WHERE (t.full_list OR t.burst) AND coalesce(u.friend_nudges, true) AND coalesce({NOW} - n.at_s >= 86400, true)",
+)
 def biz19(d: Domain) -> DataFrame:
-    active = d.tasks.where(F.col("day") == F.lit(TODAY).cast("date")).groupBy("uid").agg(F.every("done").alias("ok")).where("ok").select(F.col("uid").alias("actor"))
-    willing = d.users.where(F.coalesce("friend_nudges", F.lit(True)) & F.coalesce(F.col("nudged_s") < NOW - DAY, F.lit(True))).select(F.col("uid").alias("follower"))
-    return d.follows.select("follower", F.col("followed").alias("actor")).join(active, "actor").join(willing, "follower").select("follower", "actor").distinct()
+    """Followers to be told that a friend's list is done, or that three tasks were done in half an hour; once a day for each pair."""
+    active = friend_triggers(d.completions).where("full_list or burst").select(F.col("uid").alias("actor"), "full_list")
+    willing = d.users.where(F.coalesce("friend_nudges", F.lit(True))).select(F.col("uid").alias("follower"))
+    told = d.nudges.groupBy("follower", "actor").agg(F.max("at_s").alias("told_s")).where(NOW - F.col("told_s") < DAY)
+    pairs = d.follows.select("follower", F.col("followed").alias("actor")).distinct().join(active, "actor").join(willing, "follower")
+    return pairs.join(told, ["follower", "actor"], "left_anti").select("follower", "actor", "full_list")
 
 
 @query("biz20_re_engage", f"SELECT uid FROM users WHERE opened_s > {NOW} - 4 * 86400 AND opened_s <= {NOW} - 3 * 86400 AND NOT coalesce(nudged_s > {NOW} - 86400, false)")
@@ -149,12 +158,33 @@ def biz22(d: Domain) -> DataFrame:
     return d.tasks.where(F.col("day") == F.lit(TODAY).cast("date")).groupBy("uid").agg((F.count_if(~F.col("done")) > 0).alias("end_of_day"), F.every("done").alias("streak_safe"), (F.count("*") >= 2).alias("weekly"))
 
 
-@query("biz23_trip_suggestion", f"SELECT uid, min(task_id) AS task_id FROM (SELECT uid, task_id, day, min(day) OVER (PARTITION BY uid) AS first FROM tasks WHERE day BETWEEN DATE '{TODAY}' AND DATE '{TODAY}' + 7 AND category LIKE 'c%' AND NOT EXISTS (SELECT 1 FROM players p WHERE p.won AND p.entry = tasks.task_id)) WHERE day = first GROUP BY uid")
+#: Days ahead that the calendar is looked at.
+AHEAD_DAYS = 7
+_TOKENS = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: length(t) >= 3)"
+
+
+def trip_suggestions(events: DataFrame, known: DataFrame, dismissed: DataFrame, now: int = NOW) -> DataFrame:
+    """uid, event_id, place: the first event of each user, within AHEAD_DAYS, at a place that isn't known nor was dismissed.
+
+    A place is known if it shares a word of three letters or more with a known name (uid, name) of the user. Users' words meet by
+    equality. Events without a place don't count; a place without such a word isn't known.
+    """
+    soon = events.where(F.col("at_s").between(now, now + AHEAD_DAYS * DAY) & (F.trim("place") != ""))
+    words = soon.select("uid", "event_id", F.explode(tokens(F.col("place"))).alias("word"))
+    names = known.select("uid", F.explode(tokens(F.col("name"))).alias("word")).distinct()
+    met = words.join(names, ["uid", "word"], "left_semi").select("event_id").distinct()
+    left = soon.join(met, "event_id", "left_anti").join(dismissed, "event_id", "left_anti")
+    first = left.groupBy("uid").agg(F.min(F.struct("at_s", "event_id", F.trim("place").alias("place"))).alias("e"))
+    return first.select("uid", "e.event_id", "e.place")
+
+
+@query(
+    "biz23_trip_suggestion",
+    f"SELECT uid, arg_min(event_id, at_s * 1000000000 + event_id) AS event_id, arg_min(trim(place), at_s * 1000000000 + event_id) AS place FROM plans p WHERE trim(place) <> '' AND at_s BETWEEN {NOW} AND {NOW} + {AHEAD_DAYS} * 86400 "
+    f"AND NOT EXISTS (SELECT 1 FROM trips t WHERE t.uid = p.uid AND list_has_any({_TOKENS.format('t.destination')}, {_TOKENS.format('p.place')})) AND event_id NOT IN (SELECT entry FROM players WHERE won) GROUP BY uid",
+)
 def biz23(d: Domain) -> DataFrame:
-    today = F.lit(TODAY).cast("date")
-    soon = d.tasks.where(F.col("day").between(today, F.date_add(today, 7)) & F.col("category").like("c%"))
-    kept = soon.join(d.players.where("won").select(F.col("entry").alias("task_id")), "task_id", "left_anti")
-    return kept.groupBy("uid").agg(F.min(F.struct("day", "task_id"))["task_id"].alias("task_id"))
+    return trip_suggestions(d.plans, d.trips.select("uid", F.col("destination").alias("name")), d.players.where("won").select(F.col("entry").alias("event_id")))
 
 
 @query("biz25_follow_edges", "SELECT follower, followed FROM follows WHERE follower <> followed EXCEPT SELECT followed, follower FROM follows WHERE follower % 10 = 0")
@@ -175,11 +205,16 @@ def biz27(d: Domain) -> DataFrame:
     return d.tasks.where("done").join(hero, "uid").select("task_id", F.when(F.col("poi") == F.col("hero"), F.col("visited")).alias("place_id"))
 
 
-@query("biz28_challenge_create", "SELECT challenge_id, count(DISTINCT uid) AS n, min(uid) AS creator FROM players GROUP BY challenge_id")
+@query(
+    "biz28_challenge_create",
+    "SELECT challenge_id, uid, CASE WHEN uid = arg_min(uid, first) OVER (PARTITION BY challenge_id) THEN 'accepted' ELSE 'pending' END AS state, count(*) OVER (PARTITION BY challenge_id) AS n "
+    "FROM (SELECT challenge_id, uid, min(at_s * 1000000000 + entry) AS first FROM players GROUP BY challenge_id, uid)",
+)
 def biz28(d: Domain) -> DataFrame:
-    one = d.players.groupBy("challenge_id", "uid").agg(F.min("joined").alias("joined"))
-    maps = one.groupBy("challenge_id").agg(F.map_from_entries(F.collect_list(F.struct("uid", "joined"))).alias("m"))
-    return maps.select("challenge_id", F.size("m").cast("long").alias("n"), F.array_min(F.map_keys("m")).alias("creator"))
+    """Players of a new challenge, a row each: who made it has accepted, all others are asked. Nothing holds a challenge's players at once."""
+    one = d.players.groupBy("challenge_id", "uid").agg(F.min(F.struct("at_s", "entry")).alias("first"))
+    made = one.groupBy("challenge_id").agg(F.min(F.struct("first", "uid"))["uid"].alias("creator"), F.count("*").alias("n"))
+    return one.join(made, "challenge_id").select("challenge_id", "uid", F.when(F.col("uid") == F.col("creator"), "accepted").otherwise("pending").alias("state"), "n")
 
 
 @query("biz29_learned_keywords", "SELECT concat('en:', lower(trim(title))) AS id, arg_max(poi, task_id) AS poi FROM tasks WHERE poi IS NOT NULL AND length(trim(title)) >= 12 GROUP BY 1")

@@ -11,7 +11,7 @@ from lodeloom import binding
 
 FLAGSHIP = "biz1_proximity"
 #: Modules that register queries.
-MODULES = ("functions.scalars", "operators.filters", "operators.aggregates", "operators.windows", "operators.joins", "plans.jobs", "plans.text_search", "plans.extras", "sources.places", "streaming.machines", "sinks.writes")
+MODULES = ("functions.scalars", "operators.filters", "operators.aggregates", "operators.windows", "operators.joins", "plans.jobs", "plans.text_search", "plans.dataset", "plans.calendar", "plans.extras", "sources.places", "streaming.machines", "sinks.writes")
 
 for _m in MODULES:
     import_module(f"lodeloom.{_m}")
