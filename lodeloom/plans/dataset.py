@@ -46,7 +46,7 @@ def with_typo(word: Column, *by: Column | str | int) -> Column:
     head, tail = F.substr(word, F.lit(1), i - 1), F.substr(word, i + 1)
     beside = F.create_map(*(F.lit(x) for pair in NEXT_TO.items() for x in pair))
     letters = F.coalesce(F.try_element_at(beside, here), here)
-    other = F.substr(letters, (draw("other", *by) % F.length(letters) + 1).cast("int"), F.lit(1))
+    other = F.substr(letters, (draw("other", *by) % F.greatest(F.length(letters), F.lit(1)) + 1).cast("int"), F.lit(1))
     swapped = F.concat(head, F.substr(tail, F.lit(1), F.lit(1)), here, F.substr(tail, F.lit(2)))
     edited = F.when(how == 0, swapped).when(how == 1, F.concat(head, other, tail)).when(how == 2, F.concat(head, tail)).otherwise(F.concat(head, here, here, tail))
     return F.when(F.length(word) >= LEAST_LETTERS, edited).otherwise(word)
@@ -119,7 +119,7 @@ keywords AS (
   SELECT label, position, text, string_split(text, ' ') AS words FROM wanted JOIN pool USING (label, nth)
 ), placed AS (
   SELECT *, {d("word")} % len(words) + 1 AS which, words[which] AS w, {d("at")} % greatest(length(w), 1) + 1 AS i, {d("how")} % 4 AS how, substr(w, i, 1) AS letter, substr(w, 1, i - 1) AS head, substr(w, i + 1) AS tail, {beside} AS letters,
-    substr(letters, {d("other")} % length(letters) + 1, 1) AS other FROM drawn
+    substr(letters, {d("other")} % greatest(length(letters), 1) + 1, 1) AS other FROM drawn
 ), edited AS (
   SELECT label, position, text, words, which, CASE WHEN length(w) < {LEAST_LETTERS} THEN w WHEN how = 0 THEN concat(head, substr(tail, 1, 1), letter, substr(tail, 2)) WHEN how = 1 THEN concat(head, other, tail) WHEN how = 2 THEN concat(head, tail) ELSE concat(head, letter, letter, tail) END AS typed FROM placed
 ), made AS (
