@@ -28,6 +28,8 @@ BANDS, ROWS = 28, 5
 SMALL = 32
 #: Shingles and texts of a block of crowded texts, about, and columns of a product of blocks.
 BLOCK, BLOCK_TEXTS, COLUMNS = 1 << 18, 1 << 11, 1 << 13
+#: Texts that a centre is taken from, about, and steps of distance from it.
+CENTRE_TEXTS, BINS = 64, 64
 #: Rounding that a bound on counts may be off by.
 SLACK = 1e-6
 U = np.uint64
@@ -262,26 +264,105 @@ def linked_between(left: pa.StructArray, right: pa.StructArray, same: bool, simi
     return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(other[some]), pa.array(links[some].astype(np.int64))], names=["node", "other", "n_links"])
 
 
+def centres_of(known: DataFrame, homes: DataFrame) -> DataFrame:
+    """home, centre for homes(home, node): the units that more than half of about CENTRE_TEXTS of the home's texts have. Held.
+
+    Any set would do to bound distances by; one in the middle of a family bounds them best. So a sample, drawn by a hash, decides
+    how much is left to compare, and never what is linked. A home of which nothing was drawn has no centre.
+    """
+    sized = homes.groupBy("home").agg(F.ceil(F.count("*") / CENTRE_TEXTS).alias("parts"))
+    drawn = homes.join(sized, "home").where(F.pmod(F.xxhash64("node"), "parts") == 0).select("home", "node")
+    sizes = drawn.groupBy("home").agg(F.count("*").alias("drawn"))
+    units = known.join(drawn, "node").select("home", F.explode("units").alias("unit")).groupBy("home", "unit").agg(F.count("*").alias("n"))
+    common = units.join(sizes, "home").where(2 * F.col("n") > F.col("drawn"))
+    return held(common.groupBy("home").agg(F.collect_list("unit").alias("centre")), "crowd-centres")
+
+
+def distance(a: Column, b: Column) -> Column:
+    """Jaccard distance of two arrays of different units, a metric; 1 where one is missing."""
+    common = F.size(F.array_intersect(a, b))
+    return F.coalesce(1 - common / (F.size(a) + F.size(b) - common), F.lit(1.0))
+
+
+def cell_verdicts(cells: DataFrame, by_bucket: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
+    """x, y (x <= y), sure for pairs of cells that share a bucket and may hold a link. Held.
+
+    cells has cell (home, bin), and lo and hi, between which its texts are from the home's centre; by_bucket has the cells of each
+    bucket. Texts a and b are apart by hi(a) + between(centres) + hi(b) at most, so that all pairs of two cells may be links for
+    sure; and by between - hi(a) - hi(b), or by how their distances from one centre differ, at least, so that none may be.
+    """
+    most, slack = 1 - similarity, 1e-9
+    who = by_bucket.select(F.array_sort("cells").alias("who")).distinct()
+    pairs = who.select("who", F.explode("who").alias("x")).select("x", F.explode("who").alias("y")).where("x <= y").distinct()
+    pairs = held(pairs, "crowd-cell-pairs")
+    homes = pairs.where("x.home < y.home").select(F.col("x.home").alias("p"), F.col("y.home").alias("q")).distinct()
+    centre = lambda name: centres.select(F.col("home").alias(name), F.col("centre").alias(f"centre_{name}"))
+    apart = homes.join(centre("p"), "p", "left").join(centre("q"), "q", "left").select("p", "q", distance(F.col("centre_p"), F.col("centre_q")).alias("between"), (F.col("centre_p").isNotNull() & F.col("centre_q").isNotNull()).alias("known"))
+    side = lambda name: cells.select(F.col("cell").alias(name), F.col("lo").alias(f"lo_{name}"), F.col("hi").alias(f"hi_{name}"), F.col("centred").alias(f"centred_{name}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumns({"p": F.least("x.home", "y.home"), "q": F.greatest("x.home", "y.home")}).join(apart, ["p", "q"], "left")
+    one = F.col("x.home") == F.col("y.home")
+    bounded = F.col("centred_x") & F.col("centred_y") & (one | F.coalesce("known", F.lit(False)))
+    between = F.when(one, 0.0).otherwise(F.col("between"))
+    sure = bounded & (F.col("hi_x") + between + F.col("hi_y") <= most - slack)
+    gap = F.greatest(F.col("lo_x") - F.col("hi_y"), F.col("lo_y") - F.col("hi_x"))
+    out = bounded & F.when(one, gap > most + slack).otherwise(between - F.col("hi_x") - F.col("hi_y") > most + slack)
+    return held(both.select("x", "y", F.coalesce(sure, F.lit(False)).alias("sure"), F.coalesce(out, F.lit(False)).alias("out")).where(~F.col("out")).drop("out"), "crowd-cell-verdicts")
+
+
+def sure_links(dealt: DataFrame, cells: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """node, other, n_links of the pairs of cells whose texts are all linked: counted by the cells' sizes, with no pair made."""
+    sure = verdicts.where("sure").select("x", "y")
+    either = sure.union(sure.where("x <> y").select("y", "x"))
+    other = cells.select(F.col("cell").alias("y"), F.col("n").alias("n_y"), F.col("least").alias("least_y"))
+    by_cell = either.join(other, "y").groupBy("x").agg(F.sum(F.col("n_y") - (F.col("x") == F.col("y")).cast("int")).alias("n_links"), F.min("least_y").alias("other"))
+    nodes = dealt.select("node", F.struct("home", "bin").alias("x")).join(by_cell, "x").select("node", "other", "n_links")
+    mine = cells.select(F.col("cell").alias("x"), F.col("least").alias("least_x"))
+    across = sure.join(other, "y").join(mine, "x").select(F.col("least_x").alias("node"), F.col("least_y").alias("other"), F.lit(0).cast("long").alias("n_links"))
+    return nodes.union(across)
+
+
+def blocks_to_compare(by_bucket: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """x, y (x <= y) for blocks that share a bucket and whose cells may hold a link that isn't sure."""
+    unsure = verdicts.where("not sure").select(F.col("x").alias("cell_x"), F.col("y").alias("cell_y"))
+    some = unsure.select(F.col("cell_x").alias("cell")).union(unsure.select("cell_y")).distinct()
+    left = by_bucket.select("bucket", F.explode("blocks").alias("b")).select("bucket", F.struct("b.home", "b.bin").alias("cell"), "b").join(some, "cell")
+    # Buckets in which the same blocks stand say the same about them.
+    who = held(left.groupBy("bucket").agg(F.array_sort(F.collect_list("b")).alias("who")).select("who").distinct(), "crowd-together")
+    met = who.select("who", F.explode("who").alias("x")).select("x", F.explode("who").alias("y")).where("x <= y").distinct()
+    cell = lambda name: F.struct(f"{name}.home", f"{name}.bin").alias(f"cell_{name}")
+    # blocks are ordered by cell first, so that x <= y goes for cells too
+    return met.select("x", "y", cell("x"), cell("y")).join(unsure, ["cell_x", "cell_y"]).select(F.col("x.block").alias("x"), F.col("y.block").alias("y"))
+
+
 def crowd_links(known: DataFrame, crowded: DataFrame, similarity: float) -> DataFrame:
     """node, other, n_links for the texts of crowded(node, n_shingles, buckets), each with its buckets(n, band, key); known(node, units) has
     their units.
 
     The sum of n_links over a node's rows is the number of all such texts it is linked to; other hangs together with node by links.
 
-    Texts are dealt to blocks by their largest bucket. In a bucket blocks meet and not texts: each set of blocks that stand
-    together in some bucket makes its pairs once, and all texts of two blocks that met are compared in one task, by their prefixes and then by
-    a product of matrices. So every link between texts that share a bucket is found. Only numbers of links and a link to hang by leave the task.
+    A text's home is its largest bucket. Its distance from the home's centre puts it into a cell, and by the triangle inequality
+    most pairs of cells that share a bucket are links for sure, or none; these are counted by cell. What is left is dealt to
+    blocks, and all texts of two blocks that share a bucket are compared in one task, by their prefixes and then by a product of
+    matrices. So every link between texts that share a bucket is found, and a family of which most are within half the distance
+    of its centre costs as much as it has texts. Only numbers of links and a link to hang by leave the task.
     """
-    home = crowded.withColumn("home", F.array_max("buckets"))
-    parts = home.groupBy("home").agg(F.greatest(F.ceil(F.sum("n_shingles") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).alias("parts"))
-    block = F.xxhash64("home.band", "home.key", F.pmod(F.xxhash64("node"), "parts")).alias("block")
-    dealt = held(home.join(parts, "home").select("node", "buckets", block), "crowd-dealt")
-    of_block = dealt.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("buckets"))).alias("buckets"))
-    # Buckets in which the same blocks stand say the same about them.
-    at = of_block.select("block", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.sort_array(F.collect_list("block")).alias("who"))
-    together = held(at.select("who").distinct(), "crowd-together")
-    met = together.select("who", F.explode("who").alias("x")).select("x", F.explode("who").alias("y")).where("x <= y").distinct()
-    members = known.join(dealt.select("node", "block"), "node").groupBy("block").agg(F.collect_list(F.struct("node", "units")).alias("members"))
+    home = crowded.select("node", "n_shingles", "buckets", F.array_max("buckets").alias("home")).withColumn("home", F.xxhash64("home.band", "home.key"))
+    centres = centres_of(known, home.select("home", "node"))
+    spread = home.join(known, "node").join(centres, "home", "left").select("node", "n_shingles", "buckets", "home", distance(F.col("units"), F.col("centre")).alias("d"), F.col("centre").isNotNull().alias("centred"))
+    spread = held(spread.withColumn("bin", F.floor(F.col("d") * BINS).cast("int")), "crowd-spread")
+    cell = F.struct("home", "bin").alias("cell")
+    cells = spread.groupBy("home", "bin").agg(F.count("*").alias("n"), F.min("d").alias("lo"), F.max("d").alias("hi"), F.min("node").alias("least"), F.min("centred").alias("centred"), F.sum("n_shingles").alias("shingles"))
+    cells = held(cells.select(cell, "*", F.greatest(F.ceil(F.col("shingles") / BLOCK), F.ceil(F.col("n") / BLOCK_TEXTS)).alias("parts")), "crowd-cells")
+    block = F.xxhash64("home", "bin", F.pmod(F.xxhash64("node"), "parts")).alias("block")
+    dealt = held(spread.join(cells.select("home", "bin", "parts"), ["home", "bin"]).select("node", "home", "bin", "buckets", block), "crowd-dealt")
+    of_block = dealt.groupBy("home", "bin", "block").agg(F.array_distinct(F.flatten(F.collect_list("buckets"))).alias("buckets"))
+    at = of_block.select(F.struct("home", "bin", "block").alias("b"), F.explode("buckets").alias("bucket"))
+    by_bucket = held(at.groupBy("bucket").agg(F.collect_list("b").alias("blocks"), F.collect_set(F.struct("b.home", "b.bin")).alias("cells")), "crowd-buckets")
+
+    verdicts = cell_verdicts(cells, by_bucket, centres, similarity)
+    met = held(blocks_to_compare(by_bucket, verdicts), "crowd-met")
+    wanted = met.select(F.col("x").alias("block")).union(met.select("y")).distinct()
+    members = known.join(dealt.select("node", "block").join(wanted, "block"), "node").groupBy("block").agg(F.collect_list(F.struct("node", "units")).alias("members"))
     whole = held(members, "crowd-members")  # of bounded size
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,8 +370,9 @@ def crowd_links(known: DataFrame, crowded: DataFrame, similarity: float) -> Data
             for i in range(batch.num_rows):
                 yield linked_between(batch["left"][i].values, batch["right"][i].values, batch["same"][i].as_py(), similarity)
 
-    both = held(met, "crowd-met").join(whole.select(F.col("block").alias("x"), F.col("members").alias("left")), "x").join(whole.select(F.col("block").alias("y"), F.col("members").alias("right")), "y")
-    return both.select("left", "right", (F.col("x") == F.col("y")).alias("same")).mapInArrow(compare, "node long, other long, n_links long")
+    both = met.join(whole.select(F.col("block").alias("x"), F.col("members").alias("left")), "x").join(whole.select(F.col("block").alias("y"), F.col("members").alias("right")), "y")
+    found = both.select("left", "right", (F.col("x") == F.col("y")).alias("same")).mapInArrow(compare, "node long, other long, n_links long")
+    return found.union(sure_links(dealt, cells, verdicts))
 
 
 def classified(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:

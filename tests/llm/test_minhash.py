@@ -127,3 +127,54 @@ def test_odd_rows(odd_docs, no_docs):
     ids = [r.doc_id for r in kept.collect()]
     assert sorted(map(str, ids)) == sorted(map(str, [1, 1, 2, 4, None, 5, 6, 7, 8]))
     assert m.near_duplicates(no_docs).count() == 0 and m.keep_one_of_each(no_docs).count() == 0
+
+
+def held_rows(monkeypatch) -> dict[str, list[int]]:
+    """Rows of each table that is held from now on, by its name."""
+    rows, held = {}, m.held
+
+    def counting(df, what):
+        out = held(df, what)
+        rows.setdefault(what, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(m, "held", counting)
+    return rows
+
+
+def test_pairs_of_blocks_grow_with_the_family(spark, monkeypatch):
+    """A family near its template: its links are counted by distance from the centre, and hardly any blocks are compared."""
+    monkeypatch.setattr(m, "BLOCK_TEXTS", 16)
+    base, blocks = [f"t{i}" for i in range(200)], []
+    for n in (200, 800):
+        rows = held_rows(monkeypatch)
+        texts = [(i, " ".join([*base, *(f"own{i}x{j}" for j in range(1 + i % 5))])) for i in range(n)]
+        got = m.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+        assert {r.n_links for r in got} == {n - 1} and {r.class_id for r in got} == {0}
+        blocks.append(rows["crowd-met"][0] + rows["crowd-cell-verdicts"][0])
+        monkeypatch.undo()
+        monkeypatch.setattr(m, "BLOCK_TEXTS", 16)
+    assert blocks[1] <= 4 * blocks[0]  # all pairs of blocks would be 16 times as many
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_sure_unsure_and_no_links_together(spark, monkeypatch, seed):
+    """Families that are tight, loose and on the threshold, near and far from each other; every number of links is exact."""
+    monkeypatch.setattr(m, "BLOCK_TEXTS", 8)
+    monkeypatch.setattr(m, "CENTRE_TEXTS", 8)
+    rng, texts = np.random.default_rng(seed), {}
+    for family, (shared, most) in enumerate(((220, 4), (200, 22), (170, 45), (215, 8))):
+        base = [f"t{i}" for i in range(160)] + [f"f{family // 2}x{i}" for i in range(shared - 160)]
+        for i in range(60):
+            texts[1000 * family + i] = " ".join([*base, *(f"own{family}x{i}x{j}" for j in range(int(rng.integers(0, most + 1))))])
+    rows = held_rows(monkeypatch)
+    got = m.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in texts.items())}
+    by_text = {}
+    for i, t in texts.items():
+        by_text.setdefault(t, i)
+    ones = set(by_text.values())
+    links = {i: sum(len(sets[by_text[texts[i]]] & sets[k]) >= 0.8 * len(sets[by_text[texts[i]]] | sets[k]) for k in ones if k != by_text[texts[i]]) for i in texts}
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(list(texts.items()))
+    assert {r.doc_id: r.n_links for r in got} == links
+    assert rows["crowd-met"][0] > 0 and rows["crowd-cell-verdicts"][0] > 0
