@@ -29,7 +29,9 @@ SMALL = 32
 #: Shingles and texts of a block of crowded texts, about, and columns of a product of blocks.
 BLOCK, BLOCK_TEXTS, COLUMNS = 1 << 18, 1 << 11, 1 << 13
 #: Texts that a centre is taken from, about, and steps of distance from it.
-CENTRE_TEXTS, BINS = 64, 64
+CENTRE_TEXTS, BINS = 64, 20
+#: Times that the way from a bucket to the one it belongs to is doubled.
+JUMPS = 3
 #: Rounding that a bound on counts may be off by.
 SLACK = 1e-6
 U = np.uint64
@@ -264,6 +266,24 @@ def linked_between(left: pa.StructArray, right: pa.StructArray, same: bool, simi
     return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(other[some]), pa.array(links[some].astype(np.int64))], names=["node", "other", "n_links"])
 
 
+def families(crowded: DataFrame) -> DataFrame:
+    """node, n_shingles, buckets, home of crowded(node, n_shingles, buckets): home is a hash of a large bucket that stands for a family. Held.
+
+    A text is at home in its largest bucket. That bucket's home is in turn the largest one that a text of it is at home in, and so on,
+    so that a family which a few large buckets hold in part becomes one. Whose home is whose only decides what is compared where.
+    """
+    large = F.array_sort(F.transform(F.filter("buckets", lambda b: b["n"] > SMALL), lambda b: F.struct(b["n"].alias("n"), F.xxhash64(b["band"], b["key"]).alias("id"))))
+    own = held(crowded.select("node", "n_shingles", "buckets", large.alias("large"), F.array_max(large).alias("own")), "crowd-own")
+    parts = own.groupBy("own").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("parts"))
+    some = own.join(parts, "own").groupBy("own", F.pmod(F.xxhash64("node"), "parts")).agg(F.array_distinct(F.flatten(F.collect_list("large"))).alias("large"))
+    seen = some.select("own", F.explode("large").alias("bucket")).distinct().join(parts.select(F.col("own").alias("bucket")), "bucket", "left_semi")
+    up = held(seen.groupBy("bucket").agg(F.max("own").alias("up")), "crowd-homes")
+    for _ in range(JUMPS):
+        up = held(up.join(up.select(F.col("bucket").alias("up"), F.col("up").alias("top")), "up", "left").select("bucket", F.coalesce("top", "up").alias("up")), "crowd-homes")
+    homes = up.select(F.col("bucket").alias("own"), F.col("up.id").alias("home"))
+    return held(own.join(homes, "own").select("node", "n_shingles", "buckets", "home"), "crowd-families")
+
+
 def centres_of(known: DataFrame, homes: DataFrame) -> DataFrame:
     """home, centre for homes(home, node): the units that more than half of about CENTRE_TEXTS of the home's texts have. Held.
 
@@ -340,13 +360,13 @@ def crowd_links(known: DataFrame, crowded: DataFrame, similarity: float) -> Data
 
     The sum of n_links over a node's rows is the number of all such texts it is linked to; other hangs together with node by links.
 
-    A text's home is its largest bucket. Its distance from the home's centre puts it into a cell, and by the triangle inequality
+    A text's home is the largest bucket of its family. Its distance from the home's centre puts it into a cell, and by the triangle inequality
     most pairs of cells that share a bucket are links for sure, or none; these are counted by cell. What is left is dealt to
     blocks, and all texts of two blocks that share a bucket are compared in one task, by their prefixes and then by a product of
     matrices. So every link between texts that share a bucket is found, and a family of which most are within half the distance
     of its centre costs as much as it has texts. Only numbers of links and a link to hang by leave the task.
     """
-    home = crowded.select("node", "n_shingles", "buckets", F.array_max("buckets").alias("home")).withColumn("home", F.xxhash64("home.band", "home.key"))
+    home = families(crowded)
     centres = centres_of(known, home.select("home", "node"))
     spread = home.join(known, "node").join(centres, "home", "left").select("node", "n_shingles", "buckets", "home", distance(F.col("units"), F.col("centre")).alias("d"), F.col("centre").isNotNull().alias("centred"))
     spread = held(spread.withColumn("bin", F.floor(F.col("d") * BINS).cast("int")), "crowd-spread")
