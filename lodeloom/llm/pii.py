@@ -50,6 +50,15 @@ DIGIT_WORDS = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 
+# English names of numbers of two digits, and of the tens that a digit may follow.
+TEEN_WORDS = {
+    "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19",
+}
+TEN_WORDS = {"twenty": "2", "thirty": "3", "forty": "4", "fifty": "5", "sixty": "6", "seventy": "7", "eighty": "8", "ninety": "9"}
+# How "@" and dots are named; the word "point" is too common to count without brackets.
+AT_WORDS, DOT_WORDS = ("at", "arroba"), ("dot", "punto", "ponto", "punkt")
+BRACKETS = ("()", "[]", "{}", "<>")
+
 #: Kinds of Unicode's compatibility forms that are the same letter in another dress: mathematical letters, full-width ones, ringed ones.
 DRESSES = ("<font>", "<wide>", "<narrow>", "<circle>", "<square>")
 
@@ -74,27 +83,36 @@ def plain_letter(c: str) -> str | None:
     return None
 
 
-_WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
+NUMBER_WORDS = DIGIT_WORDS | TEEN_WORDS
+_WORDS = "|".join(sorted([*NUMBER_WORDS, *TEN_WORDS], key=len, reverse=True))
 _ONE = rf"(?:(?:double|triple)[ ]+)?(?:{_WORDS}|[0-9]++)"
 #: A run of spelled digits (or digits among them), three words at least; "plus" may lead, "dot" or "point" parts it, "double" and "triple" repeat the digit after them.
 SPELLED = re.compile(rf"(?i)(?<![^\W_])(?:plus[ -]+)?{_ONE}(?:(?:[ ]*,[ ]*|[ ]?-[ ]?|[ ]+)(?:dot[ ]+|point[ ]+)?{_ONE}){{2,}}(?![^\W_])")
-SPELLED_PART = re.compile(rf"(?i)(?P<times>double|triple)[ ]+(?P<one>{_WORDS}|[0-9](?![0-9]))|double|triple|{_WORDS}|[0-9]+|plus|dot|point|[ ,-]+")
+_DIGIT = "|".join(w for w, d in DIGIT_WORDS.items() if d != "0")
+SPELLED_PART = re.compile(
+    rf"(?i)(?P<times>double|triple)[ ]+(?P<one>{'|'.join(sorted(DIGIT_WORDS, key=len, reverse=True))}|[0-9](?![0-9]))(?![^\W_])|double|triple"
+    rf"|(?P<ten>{'|'.join(TEN_WORDS)})(?:[ -]+(?P<unit>{_DIGIT})(?![^\W_]))?|{_WORDS}|[0-9]+|plus|dot|point|[ ,-]+"
+)
 #: Digits that a run must spell or show at least.
 LEAST_DIGITS = 4
 #: A text without any of these words has no run of spelled digits; an article alone makes none.
-TELLTALE = frozenset(DIGIT_WORDS) - {"un", "oh", "null"}
+TELLTALE = frozenset([*NUMBER_WORDS, *TEN_WORDS]) - {"un", "oh", "null"}
+
+def bracketed(words: str) -> str:
+    return "|".join(rf"{re.escape(a)}(?:{words}){re.escape(b)}" for a, b in BRACKETS)
+
 
-_DOT = r"[ ]*(?:\((?:dot|\.)\)|\[(?:dot|\.)\]|\{(?:dot|\.)\}|<(?:dot|\.)>)[ ]*|[ ]+dot[ ]+"
+_DOT = rf"[ ]*(?:{bracketed('|'.join([*DOT_WORDS, 'point', re.escape('.')]))})[ ]*|[ ]+(?:{'|'.join(DOT_WORDS)})[ ]+"
 _NAME = r"[A-Za-z0-9-]+"
 #: Where an address may have its "@": in brackets, as a word, or as it is.
-AT_MARK = re.compile(r"(?i)\((?:at|@)\)|\[(?:at|@)\]|\{(?:at|@)\}|<(?:at|@)>|(?<= )at(?= )|@")
+AT_MARK = re.compile(rf"(?i){bracketed('|'.join([*AT_WORDS, '@']))}|(?<= )(?:{'|'.join(AT_WORDS)})(?= )|@")
 DOMAIN_AFTER = re.compile(rf"(?i){_NAME}+(?:(?:{_DOT}|\.){_NAME}+)++")
 DOT_MARK = re.compile(rf"(?i){_DOT}")
 #: A text without any of these, in lower case, has no disguised mark.
-DISGUISES = [f"{a}{mark}{b}" for mark in ("at", "@", "dot", ".") for a, b in ("()", "[]", "{}", "<>")] + [" dot ", " @", "@ "]
+DISGUISES = [f"{a}{mark}{b}" for mark in (*AT_WORDS, "@", *DOT_WORDS, "point", ".") for a, b in BRACKETS] + [f" {w} " for w in DOT_WORDS] + [" @", "@ "]
 IP_DISGUISED = re.compile(rf"(?i)(?<![0-9])[0-9]{{1,3}}(?:(?:{_DOT}|\.)[0-9]{{1,3}}){{3}}(?![0-9])")
 #: Dots in brackets, as they stand before the rest of a local part.
-BRACKETED = tuple(f"{a}{mark}{b}" for mark in ("dot", ".") for a, b in ("()", "[]", "{}", "<>"))
+BRACKETED = tuple(f"{a}{mark}{b}" for mark in (*DOT_WORDS, "point", ".") for a, b in BRACKETS)
 
 
 @dataclass(frozen=True)
@@ -211,8 +229,10 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
             if p["times"]:
                 one = p["one"].lower()
                 new = (2 if p["times"].lower() == "double" else 3) * DIGIT_WORDS.get(one, one)
+            elif p["ten"]:
+                new = TEN_WORDS[p["ten"].lower()] + (DIGIT_WORDS[p["unit"].lower()] if p["unit"] else "0")
             else:
-                new = DIGIT_WORDS.get(word) or {"plus": "+", "dot": ".", "point": "."}.get(word)
+                new = NUMBER_WORDS.get(word) or {"plus": "+", "dot": ".", "point": "."}.get(word)
             digits += len(new) if new and new.isdigit() else len(p[0]) * word[0].isdigit()
             if new or not word[0].isdigit():
                 own.append((p.start(), p.end(), new or ""))
@@ -236,7 +256,7 @@ def local_before(text: str, at: int, least: int) -> tuple[int, list[tuple[int, i
         end = spaces_before(text, start, least)
         if mark := next((b for b in BRACKETED if text[max(least, end - len(b)) : end].lower() == b), None):
             dot = spaces_before(text, end - len(mark), least)
-        elif end < start and text[max(least, end - 3) : end].lower() == "dot" and (dot := spaces_before(text, end - 3, least)) < end - 3:
+        elif end < start and (word := next((w for w in DOT_WORDS if text[max(least, end - len(w)) : end].lower() == w), None)) and (dot := spaces_before(text, end - len(word), least)) < end - len(word):
             pass
         else:
             return start, edits[::-1]
@@ -265,7 +285,7 @@ def mark_edits(text: str) -> list[tuple[int, int, str]]:
         if domain is None or before <= done or text[before - 1] not in LOCAL:
             continue
         dots = list(DOT_MARK.finditer(text, *domain.span()))
-        bare = mark[0].lower() == "at" or (mark[0] == "@" and before == mark.start() and after == mark.end())
+        bare = mark[0].lower() in AT_WORDS or (mark[0] == "@" and before == mark.start() and after == mark.end())
         if bare and not dots:
             continue
         _, own = local_before(text, before, done)

@@ -43,6 +43,12 @@ def test_plain_spans_are_those_of_the_patterns():
         ("ip ١٠.٠.٠.١ or", "ip", "١٠.٠.٠.١"),
         ("card ४१११ ११११ ११११ ११११ ok", "card", "४१११ ११११ ११११ ११११"),
         ("call plus one double nine triple eight five double five two four eight five.", "phone", "plus one double nine triple eight five double five two four eight five"),
+        ("escribe a jane[arroba]example[punto]com hoy", "email", "jane[arroba]example[punto]com"),
+        ("jane.doe arroba example punto com ponto br", "email", "jane.doe arroba example punto com ponto br"),
+        ("jane {at} example (point) org", "email", "jane {at} example (point) org"),
+        ("eva punkt maier (at) seite punkt de", "email", "eva punkt maier (at) seite punkt de"),
+        ("dial plus four four twenty seven ninety-one eleven sixty oh five nineteen now", "phone", "plus four four twenty seven ninety-one eleven sixty oh five nineteen"),
+        ("ip ten dot twenty dot thirty one dot two", "ip", "ten dot twenty dot thirty one dot two"),
         ("ann (dot) maria dot smith [at] site (dot) org", "email", "ann (dot) maria dot smith [at] site (dot) org"),
         ("a" * 5000 + " [at] " + "b" * 5000 + ".com", "email", "a" * 5000 + " [at] " + "b" * 5000 + ".com"),
     ],
@@ -79,7 +85,7 @@ def test_disguises_against_the_parts_they_are_made_of():
         assert not any(plain.values())
 
 
-@pytest.mark.parametrize("text", ["he is at home. dot it", "one two three go", "version 4.0 of a licence", "un un un un deux", "1" * 100_000 + "@" * 1000 + "+1 " * 30_000])
+@pytest.mark.parametrize("text", ["he is at home. dot it", "one two three go", "version 4.0 of a licence", "un un un un deux", "look at this point in time", "twenty one, twenty two, twenty three", "al punto de venta", "1" * 100_000 + "@" * 1000 + "+1 " * 30_000])
 def test_clean_and_hostile_texts(text):
     assert m.find_spans(text)[1] == {k: [] for k in m.KINDS}
 
@@ -95,3 +101,8 @@ def test_rows_and_redaction(odd_docs, no_docs):
     texts = {r.doc_id: r.text for r in clean.collect()}
     assert texts[7] == "write to <EMAIL> or <PHONE> from <IP>, card <CARD>" and texts[2] is None and texts[6] == "x"
     assert m.redact_documents(no_docs).count() == 0
+
+
+def test_numbers_of_two_digits():
+    for text, want in (("plus four four twenty seven", "+4427"), ("twenty oh seven nineteen ninety", "20071990"), ("Seventy-Seven, seventeen, double one", "771711")):
+        assert m.Aligned.of(text).rewrite(m.spelled_edits(text)).text == want
