@@ -11,17 +11,20 @@ for one character are all within one edit, so that they need no pairs. Both step
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodeloom.llm.common import held
 from lodeloom.llm.components import components
+from lodeloom.llm.packing import slices
 
 THRESHOLD = 1
 #: Shorter lines have no near matches, only copies: a few edits make one of them another.
@@ -29,6 +32,8 @@ LEAST_CHARS = 24
 #: Lines under a key of which all pairs are made at most.
 SMALL = 16
 REGIONS = 8
+#: Bytes of crowded lines hashed side by side, one line at least.
+HASHED = 250_000
 
 
 def edits_within(a: str, b: str, most: int) -> bool:
@@ -105,26 +110,71 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
 
 
-def region_keys(line: str, home: bool, half: int, target: int) -> Iterator[tuple[int, int]]:
-    """(key, region) for a line that stands for length target, without each region of the half that the key's lines need not share."""
-    middle, extra = target // 2, len(line) - target
-    low, high = (middle, target) if half == 0 else (0, middle)
-    cuts = [low + (high - low) * r // REGIONS for r in range(REGIONS + 1)]
-    for r in range(REGIONS):
-        if home or cuts[r + 1] >= cuts[r]:
-            yield xxhash.xxh3_64_intdigest(f"{target}\0{half}\0{r}\0{line[: cuts[r]]}\0{line[cuts[r + 1] + extra :]}") - 2**63, r
+#: Primes under 2**31, so that products fit 64 bits, and a base for each.
+PRIMES, BASES = (2147483647, 2147483629, 2147483587), (1000003, 998244353, 777767777)
 
 
-def character_keys(line: str, home: bool, half: int, target: int, region: int) -> Iterator[tuple[int, bool]]:
-    """(key, swap): a home line without each character of the region (swap), and whole; a longer one without each character there."""
-    middle, extra = target // 2, len(line) - target
-    low, high = (middle, target) if half == 0 else (0, middle)
-    a, b = low + (high - low) * region // REGIONS, low + (high - low) * (region + 1) // REGIONS
-    if home:
-        yield xxhash.xxh3_64_intdigest(f"w\0{line}") - 2**63, False
-    for p in range(a, b + extra):
-        rest = line[:p] + line[p + 1 :]
-        yield (xxhash.xxh3_64_intdigest(f"s\0{p}\0{rest}" if home else f"w\0{rest}") - 2**63), home
+@functools.lru_cache(maxsize=8)
+def powers(base: int, prime: int, bits: int) -> np.ndarray:
+    """The first 2 ** bits powers of base modulo prime."""
+    out = np.ones(1, np.uint64)
+    for done in range(bits):
+        out = np.concatenate([out, out * np.uint64(pow(base, 1 << done, prime)) % np.uint64(prime)])
+    return out
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers in which every bit depends on all others."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+class Rolling:
+    """Polynomial hashes of lines without one part of them, each in constant time after one pass over the characters."""
+
+    def __init__(self, lines: list[str]):
+        codes = np.frombuffer("".join(lines).encode("utf-32-le"), np.uint32).astype(np.uint64) + np.uint64(1)
+        self.sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        own = np.arange(len(codes)) - np.repeat(self.starts, self.sizes)
+        self.bits = int(max(self.sizes, default=0)).bit_length()
+        self.sums = [np.concatenate([[0], np.cumsum(codes * powers(base, prime, self.bits)[own] % np.uint64(prime))]).astype(np.uint64) for base, prime in zip(BASES, PRIMES, strict=True)]
+
+    def without(self, row: np.ndarray, start: np.ndarray, end: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """A 64-bit key of each line row without its characters start to end; keys of one salt are equal where what is left is."""
+        at, key = self.starts[row], mixed(salt.astype(np.uint64))
+        for sums, base, prime in zip(self.sums, BASES, PRIMES, strict=True):
+            p, first = np.uint64(prime), sums[at]
+            before, after = (sums[at + start] - first) % p, (sums[at + self.sizes[row]] - sums[at + end]) % p
+            key = mixed(key ^ (before + after * powers(pow(base, -1, prime), prime, self.bits)[end - start] % p) % p)
+        return key.view(np.int64)
+
+
+def bounds(half: np.ndarray, target: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a region begins and ends in a line of length target, in the half that the lines of a key need not share."""
+    low, high = np.where(half == 0, target // 2, 0), np.where(half == 0, target, target // 2)
+    return low + (high - low) * region // REGIONS, low + (high - low) * (region + 1) // REGIONS
+
+
+def region_keys(lines: Rolling, row: np.ndarray, half: np.ndarray, target: np.ndarray, region: np.ndarray) -> np.ndarray:
+    """Keys of lines that stand for length target (their own or one less), without one region."""
+    a, b = bounds(half, target, region)
+    return lines.without(row, a, b + lines.sizes[row] - target, 4 * ((2 * target + half) * REGIONS + region))
+
+
+def character_keys(lines: Rolling, row: np.ndarray, home: np.ndarray, half: np.ndarray, target: np.ndarray, region: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, key, swap): home lines without each character of the region (swap), and whole; longer ones without each character there."""
+    a, b = bounds(half, target, region)
+    many = b + lines.sizes[row] - target - a
+    entry = np.repeat(np.arange(len(row)), many)
+    p = np.arange(len(entry)) - np.repeat(np.cumsum(many) - many, many) + a[entry]
+    swap, whole = home[entry], np.flatnonzero(home)
+    cut = lines.without(row[entry], p, p + 1, np.where(swap, 4 * p + 2, 1))
+    nothing = np.zeros(len(whole), np.int64)
+    full = lines.without(row[whole], nothing, nothing, nothing + 1)
+    return np.concatenate([entry, whole]), np.concatenate([cut, full]), np.concatenate([swap, np.zeros(len(whole), bool)])
 
 
 def small_pairs(rows: DataFrame, by: str = "key") -> DataFrame:
@@ -151,29 +201,45 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return both.where(near("line_a", "line_b")).select("a", "b")
 
 
-def hot_links(hot: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
-    """Links among lines of crowded keys, threshold one. hot(lid, home, half, target, line).
+def listed(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """A column of arrays of structs, flat: the row of each element, and its fields."""
+    lists = batch[column]
+    flat = lists.flatten()
+    rows = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
+    return rows, {f.name: flat.field(f.name).to_numpy(zero_copy_only=False).astype(bool if pa.types.is_boolean(f.type) else np.int64) for f in flat.type}
+
+
+def hot_links(hot: DataFrame, texts: DataFrame) -> tuple[list[DataFrame], list[DataFrame], DataFrame]:
+    """Links among lines of crowded keys, threshold one. hot(lid, home, half, target), texts(lid, line).
 
     Returns tables of pairs(a, b) to verify, tables of pairs that are sure, and cliques(key, lid): all lines of such a key are linked.
+    A line's text is read once for each step, whatever the keys and regions that crowd it, and hashed in linear time.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(k, r["lid"], r["home"], r["half"], r["target"], region, r["line"]) for r in batch.to_pylist() for k, region in region_keys(r["line"], r["home"], r["half"], r["target"])]
-            yield pa.RecordBatch.from_pylist([dict(zip(("key", "lid", "home", "half", "target", "region", "line"), r, strict=True)) for r in rows], schema=dealt_schema)
-
-    dealt_schema = pa.schema([("key", pa.int64()), ("lid", pa.int64()), ("home", pa.bool_()), ("half", pa.int32()), ("target", pa.int32()), ("region", pa.int32()), ("line", pa.string())])
-    dealt = held(hot.mapInArrow(deal, "key long, lid long, home boolean, half int, target int, region int, line string"), "line-regions")
+            for part in slices(batch, "line", HASHED):
+                row, has = listed(part, "places")
+                row, region = np.repeat(row, REGIONS), np.tile(np.arange(REGIONS), len(row))
+                home, half, target = (np.repeat(has[c], REGIONS) for c in ("home", "half", "target"))
+                key = region_keys(Rolling(part["line"].to_pylist()), row, half, target, region)
+                yield pa.RecordBatch.from_arrays([pa.array(key), part["lid"].take(pa.array(row)), *map(pa.array, (home, half.astype(np.int32), target.astype(np.int32), region.astype(np.int32)))], names=["key", "lid", "home", "half", "target", "region"])
+
+    places = hot.groupBy("lid").agg(F.collect_set(F.struct("home", "half", "target")).alias("places"))  # four at most
+    dealt = held(texts.join(places, "lid").mapInArrow(deal, "key long, lid long, home boolean, half int, target int, region int"), "line-regions")
     groups = held(counted(dealt), "line-region-groups")
     met = dealt.join(groups, "key")
     few = held(small_pairs(met.where(F.col("n") <= SMALL).select("key", "lid", "home")), "line-region-pairs")
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"key": k, "lid": r["lid"], "home": r["home"], "swap": swap} for r in batch.to_pylist() for k, swap in character_keys(r["line"], r["home"], r["half"], r["target"], r["region"])]
-            yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.int64()), ("lid", pa.int64()), ("home", pa.bool_()), ("swap", pa.bool_())]))
+            for part in slices(batch, "line", HASHED):
+                row, has = listed(part, "places")
+                entry, key, swap = character_keys(Rolling(part["line"].to_pylist()), row, **has)
+                yield pa.RecordBatch.from_arrays([pa.array(key), part["lid"].take(pa.array(row[entry])), pa.array(has["home"][entry]), pa.array(swap)], names=["key", "lid", "home", "swap"])
 
-    crowded = met.where(F.col("n") > SMALL).select("lid", "home", "half", "target", "region", "line")
+    regions = met.where(F.col("n") > SMALL).groupBy("lid").agg(F.collect_set(F.struct("home", "half", "target", "region")).alias("places"))  # 32 at most
+    crowded = texts.join(regions, "lid")
     ones = held(crowded.mapInArrow(single, "key long, lid long, home boolean, swap boolean").distinct(), "line-characters")
     whole = ones.where("not swap")
     grown = whole.where("home").select("key", F.col("lid").alias("x")).join(whole.where("not home").select("key", F.col("lid").alias("y")), "key")
@@ -213,7 +279,7 @@ def placed_lines(docs: DataFrame, threshold: int, least_chars: int) -> DataFrame
     texts = held(lines.select(*PLACE, "line").join(places, list(PLACE)).select("lid", "line").dropDuplicates(["lid"]), "line-texts")
     unsure, sure, cliques = [pairs], [], None
     if threshold == 1:
-        more, sure, cliques = hot_links(hot.join(texts, "lid").select("lid", "home", "half", "target", "line"))
+        more, sure, cliques = hot_links(hot.select("lid", "home", "half", "target"), texts)
         unsure += more
     links = [verified(p, texts, threshold) for p in unsure] + sure
     found = links[0]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
 from lodeloom.llm import lines as m
@@ -85,3 +86,24 @@ def test_rows_that_share_an_id_keep_their_own_lines(spark):
     kept = sorted(map(tuple, m.without_repeated_lines(docs).collect()), key=repr)
     want = {(3, again), (5, "only this one has this line"), (6, ""), (7, None)}
     assert {k for k in kept if k[0] is not None} in (want, want - {(3, again)}) and len(kept) in (4, 5)
+
+
+def test_rolling_keys_are_equal_where_what_is_left_is():
+    rng, key_of = random.Random(2), {}
+    lines = ["".join(rng.choice("abé😀") for _ in range(rng.randint(1, 9))) for _ in range(100)] + [""]
+    cuts = [(i, a, e) for i, x in enumerate(lines) for a in range(len(x) + 1) for e in range(a, len(x) + 1)]
+    row, start, end = (np.array(c) for c in zip(*cuts, strict=True))
+    for (i, a, e), key in zip(cuts, m.Rolling(lines).without(row, start, end, 0 * row).tolist(), strict=True):
+        assert key_of.setdefault(lines[i][:a] + lines[i][e:], key) == key
+    assert len(set(key_of.values())) == len(key_of)
+
+
+def test_very_long_lines_of_a_crowded_key(spark):
+    """Twenty lines of 600,000 characters, each but the last with one character of its own in one region; one by an insertion at its border."""
+    rng = random.Random(4)
+    base = "".join(rng.choices("abcdefgh ", k=600_000))
+    border = 300_000 + 300_000 // m.REGIONS
+    made = [f"{base[:p]}#{base[p + 1 :]}" for p in rng.sample(range(300_000, border), 18)] + [f"{base[:border]}#{base[border:]}", base]
+    docs = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(4)
+    rows = {r.doc_id: (r.n_links, r.class_doc_id) for r in m.line_classes(docs).collect()}
+    assert rows == {i: (1, 0) for i in range(19)} | {19: (19, 0)}
