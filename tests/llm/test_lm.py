@@ -35,6 +35,38 @@ def test_base_against_brute_force_and_model_beats_it(spark, sf):
     assert p.loc[True, "model"] < 0.9 * p.loc[True, "base"]
 
 
+def test_score_token_by_token(spark, sf, monkeypatch):
+    """Every token's probability by a plain softmax over all units, and a class's words by counts made here; the trained model is the only input."""
+    models, train = [], m.train
+    monkeypatch.setattr(m, "train", lambda *given: models.append(train(*given)) or models[0])
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    source = [(r.doc_id, r.text) for r in docs.collect()] + [(10**9, None), (10**9 + 1, "Unseen wörd"), (10**9 + 2, "")]
+    rows = m.score_texts(spark.createDataFrame(source, "doc_id long, text string"), head=700).collect()
+    counts = Counter(t for i, text in source if not held_out(i) for t in tokens(text))
+    units = {None: 0} | {w: i for i, w in enumerate([w for _, w in sorted((-n, w) for w, n in counts.items() if w)][: m.OWN_UNITS - 1], 1)}
+    unit = lambda w: units[w] if w in units else m.OWN_UNITS + m.class_of(w.encode())
+    mass, words = Counter(), Counter()
+    for w, n in counts.items():
+        mass[unit(w)] += n
+        words[unit(w)] += 1
+    (model,) = models
+    known: dict = {}
+    want = {}
+    for i, text in source:
+        one, two, total = 0, 0, 0.0
+        for w in tokens(text):
+            u = unit(w)
+            if (one, two) not in known:
+                x = (model.context[0][one] + model.context[1][two]).astype(float) @ model.target.T.astype(float) + model.bias
+                known[one, two] = x - np.log(np.exp(x).sum())
+            total += known[one, two][u] / math.log(10)
+            if u >= m.OWN_UNITS:
+                total += math.log10((counts[w] + 0.5) / (mass[u] + 0.5 * (words[u] + 1)))
+            one, two = u, one
+        want[i] = (total, len(tokens(text)))
+    assert len(rows) == len(source) and all(abs(r.score - want[r.doc_id][0]) < 1e-5 * want[r.doc_id][1] + 1e-4 for r in rows)
+
+
 def test_odd_rows(odd_docs, no_docs):
     check(m.score_texts(odd_docs, head=10).collect(), [(r.doc_id, r.text) for r in odd_docs.collect()])
     assert m.score_texts(no_docs).count() == 0
