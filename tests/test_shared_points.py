@@ -10,6 +10,7 @@ from tests.test_queries import compare
 
 NAMES = (
     "agg18_bundle_sets",
+    "biz1_proximity",
 )
 USERS, PLACES = 40, 60
 
