@@ -11,6 +11,7 @@ from tests.test_queries import compare
 NAMES = (
     "agg18_bundle_sets",
     "biz1_proximity",
+    "jn10_not_dismissed_today",
 )
 USERS, PLACES = 40, 60
 
