@@ -13,6 +13,7 @@ NAMES = (
     "biz1_proximity",
     "jn10_not_dismissed_today",
     "top8_learned_hero",
+    "top7_hero",
 )
 USERS, PLACES = 40, 60
 
