@@ -14,6 +14,7 @@ NAMES = (
     "jn10_not_dismissed_today",
     "top8_learned_hero",
     "top7_hero",
+    "win3_nearest_candidate",
 )
 USERS, PLACES = 40, 60
 
