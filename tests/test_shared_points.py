@@ -15,6 +15,7 @@ NAMES = (
     "top8_learned_hero",
     "top7_hero",
     "win3_nearest_candidate",
+    "jn3_same_place",
 )
 USERS, PLACES = 40, 60
 
