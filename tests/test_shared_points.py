@@ -16,6 +16,7 @@ NAMES = (
     "top7_hero",
     "win3_nearest_candidate",
     "jn3_same_place",
+    "jn21_known_location",
 )
 USERS, PLACES = 40, 60
 
