@@ -17,6 +17,7 @@ NAMES = (
     "win3_nearest_candidate",
     "jn3_same_place",
     "jn21_known_location",
+    "jn2_places_in_radius",
 )
 USERS, PLACES = 40, 60
 
