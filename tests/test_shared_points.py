@@ -18,6 +18,7 @@ NAMES = (
     "jn3_same_place",
     "jn21_known_location",
     "jn2_places_in_radius",
+    "top2_bundle_rank",
 )
 USERS, PLACES = 40, 60
 
