@@ -19,6 +19,7 @@ NAMES = (
     "jn21_known_location",
     "jn2_places_in_radius",
     "top2_bundle_rank",
+    "biz2_errand_bundles",
 )
 USERS, PLACES = 40, 60
 
