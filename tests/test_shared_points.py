@@ -20,6 +20,7 @@ NAMES = (
     "jn2_places_in_radius",
     "top2_bundle_rank",
     "biz2_errand_bundles",
+    "agg17_bundle_anchors",
 )
 USERS, PLACES = 40, 60
 
