@@ -21,6 +21,7 @@ NAMES = (
     "top2_bundle_rank",
     "biz2_errand_bundles",
     "agg17_bundle_anchors",
+    "jn8_task_pairs",
 )
 USERS, PLACES = 40, 60
 
