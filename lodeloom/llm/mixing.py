@@ -25,6 +25,8 @@ BITS_1, BITS_2 = 10, 11
 GROUPS = 16
 #: Scale of probabilities, and what a frequency of order 0 grows by; a block's total stays below 1 << 16.
 ONE, GROWTH = 1 << 16, 12
+#: Share of ONE that an id named by order 1 has at least.
+LEAST = 16
 #: How far weights move at an error, and the shift that probabilities follow outcomes by.
 STEP, FOLLOW = 14, 4
 
@@ -107,7 +109,8 @@ class Model:
         self.asks = names_any
         self.asks[1] &= ~(same & names_any[0])
         f2 = self.mixed[0] * self.asks[0]
-        f1 = ((ONE - f2).astype(np.int64) * self.mixed[1] >> 16) * self.asks[1]
+        # never nothing, however sure order 2 is and unlikely order 1: its id may come all the same
+        f1 = np.maximum((ONE - f2).astype(np.int64) * self.mixed[1] >> 16, LEAST) * self.asks[1]
         return f2.astype(np.int64), f1
 
     def learn(self, ids: np.ndarray, which: np.ndarray) -> None:

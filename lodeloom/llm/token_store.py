@@ -30,7 +30,7 @@ from lodeloom.llm.common import held, shared_folder
 from lodeloom.llm.mixing import BLOCK, decode_blocks, encode_blocks
 from lodeloom.llm.packing import slices
 
-MAGIC, HEAD = b"LOOMIDS1", struct.Struct("<4sIQIII")
+MAGIC, HEAD = b"LOOMIDS2", struct.Struct("<4sIQIII")
 MARK = b"SEGM"
 END_ID = 0
 #: Ids of a segment, after which the next begins at a document's border; bytes of a file, after which the next begins.

@@ -43,6 +43,32 @@ def test_blocks_are_independent_and_learn():
     assert coded[0] == coded[1]  # each begins anew, and 2000 is a whole number of passages
 
 
+def test_order_1_is_right_when_it_is_least_likely():
+    """Ids chosen against the model: neither named id is right, then order 2 always is, so that order 1, always wrong, is least likely when it comes true."""
+    rng, lanes, least = np.random.default_rng(0), 8, 1 << 16
+    model, ids = mixing.Model(lanes), np.zeros((mixing.BLOCK, lanes), np.int64)
+    for n, step in enumerate(ids):
+        _, f1 = model.predict()
+        if n < 1200:
+            step[:] = rng.integers(0, 8, lanes)
+            while (named := (step == model.named).any(0)).any():
+                step[named] = rng.integers(0, 8, int(named.sum()))
+        else:
+            step[:] = 5 if n % 2 else 1000 + n // 2 % 20
+            odd = model.asks[1] & (f1 <= 16) & (n > 1900)
+            step[odd] = model.named[1][odd]
+            least = min(least, int(f1[model.asks[1]].min(initial=least)))
+        right = (model.named == step) & model.asks
+        which = np.where(right[0], 0, np.where(right[1], 1, 2))
+        model.learn(step.copy(), which)
+        rest = np.flatnonzero(which == 2)
+        for table, byte in ((rest * model.tables, step[rest] >> 8), (model.low_table(rest, step[rest] >> 8), step[rest] & 255)):
+            model.span(table, byte)
+    assert least <= 16
+    coded = mixing.encode_blocks(ids.T.reshape(-1))
+    assert np.array_equal(np.stack(mixing.decode_blocks(coded, np.full(lanes, mixing.BLOCK))), ids.T)
+
+
 def test_carries_and_refusals(monkeypatch):
     monkeypatch.setattr(mixing, "LANES", 3)
     ids = np.random.default_rng(0).integers(0, 300, 5000)
