@@ -95,18 +95,21 @@ def category_entries(categories: DataFrame) -> DataFrame:
     return one.select("uid", lang, "phrase", F.lit(CATEGORY).alias("layer"), "position", "type")
 
 
-def best_phrases(texts: DataFrame, entries: DataFrame, scope: list[str]) -> DataFrame:
-    """scope, norm, lang, best: of each normalised text the winning phrase (rank and type) of the entries of its scope.
+def best_phrases(texts: DataFrame, entries: DataFrame, scope: list[str], name: str) -> DataFrame:
+    """scope, norm, name_en, name_pt: of each normalised text the winning phrase (rank and type) of the entries of its scope, by language.
 
-    rank orders phrases over all layers: the longest, then layer, position and phrase.
+    rank orders phrases over all layers: the longest, then layer, position and phrase. A text's words go with the text alone, and
+    are parted again where they have met the first words; a phrase that stands in a text twice is looked up twice, as the
+    best of them is the same.
     """
     entries = entries.withColumn("spoken", F.split("phrase", " "))
     heads = entries.select(*scope, F.col("spoken")[0].alias("head"), F.size("spoken").alias("n")).distinct()
-    at = texts.select(*scope, "norm", F.posexplode(words(F.col("norm"))).alias("at", "head"), words(F.col("norm")).alias("all"))
-    begun = at.join(heads, [*scope, "head"]).where(F.col("at") + F.col("n") <= F.size("all"))
-    phrases = begun.select(*scope, "norm", F.array_join(F.slice("all", F.col("at") + 1, F.col("n")), " ").alias("phrase")).distinct()
+    at = texts.select(*scope, "norm", F.posexplode(words(F.col("norm"))).alias("at", "head"))
+    begun = at.join(heads, [*scope, "head"]).withColumn("all", words(F.col("norm"))).where(F.col("at") + F.col("n") <= F.size("all"))
+    phrases = begun.select(*scope, "norm", F.array_join(F.slice("all", F.col("at") + 1, F.col("n")), " ").alias("phrase"))
     rank = F.struct((-F.length("phrase")).alias("longest"), "layer", "position", "phrase", "type")
-    return phrases.join(entries, [*scope, "phrase"]).groupBy(*scope, "norm", "lang").agg(F.min(rank).alias("best"))
+    found = phrases.join(entries.drop("spoken"), [*scope, "phrase"])
+    return found.groupBy(*scope, "norm").agg(*(F.min(F.when(F.col("lang") == lang, rank)).alias(f"{name}_{lang[:2]}") for lang in LANGUAGES))
 
 
 def infer_types(texts: DataFrame, text: Column, seed: DataFrame, own: DataFrame | None = None) -> DataFrame:
@@ -117,17 +120,10 @@ def infer_types(texts: DataFrame, text: Column, seed: DataFrame, own: DataFrame
     """
     named = texts.withColumn("norm", F.coalesce(normalized(text), F.lit("")))
     asked = named.select("norm").where(F.col("norm") != "").distinct()
-    best = best_phrases(asked, seed, [])
+    out = named.join(best_phrases(asked, seed, [], "seed"), "norm", "left")
     if own is not None:
-        mine = best_phrases(named.select("uid", "norm").where(F.col("norm") != "").distinct(), own, ["uid"])
-
-    def by_language(found: DataFrame, keys: list[str], name: str) -> DataFrame:
-        """One row a key, with the best of each language; an entry's type is the last field."""
-        return found.groupBy(*keys).agg(*(F.min(F.when(F.col("lang") == lang, F.col("best"))).alias(f"{name}_{lang[:2]}") for lang in LANGUAGES))
-
-    out = named.join(by_language(best, ["norm"], "seed"), "norm", "left")
-    if own is not None:
-        out = out.join(by_language(mine, ["uid", "norm"], "own"), ["uid", "norm"], "left")
+        mine = best_phrases(named.select("uid", "norm").where(F.col("norm") != "").distinct(), own, ["uid"], "own")
+        out = out.join(mine, ["uid", "norm"], "left")
         rules = [F.least(f"own_{lang[:2]}", f"seed_{lang[:2]}")["type"].alias(f"rule_{lang[:2]}") for lang in LANGUAGES]
     else:
         rules = [F.col(f"seed_{lang[:2]}")["type"].alias(f"rule_{lang[:2]}") for lang in LANGUAGES]

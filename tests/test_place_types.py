@@ -119,3 +119,20 @@ def test_times_and_letters(spark):
     assert [r for r in rows if r.got != r.want] == []
     letters = spark.createDataFrame([("Ação Ñandú ẽ ſ ǅ é İ ø",)], "x string").select(normalized(F.col("x"))).first()[0]
     assert letters.startswith("acao nandu e") and "e" in letters.split()
+
+
+def test_inference_deals_texts_out_few_times(spark):
+    """Shuffles that are planned where nothing is broadcast, and a phrase that a text has twice."""
+    texts = spark.createDataFrame([(1, "milk and milk, bread"), (1, "milk or milk"), (2, "milk")], "uid long, text string")
+    learnings = spark.createDataFrame([(1, "en", "milk", "dairy", 1, 1)], "uid long, lang string, keyword string, type string, at_s long, id long")
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = infer_types(texts, F.col("text"), seed_entries(spark), learned_entries(learnings))
+        assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 18
+        assert {(r.uid, r.text): r.rule_en for r in found.collect()} == {(1, "milk and milk, bread"): "supermarket", (1, "milk or milk"): "dairy", (2, "milk"): "supermarket"}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
