@@ -30,6 +30,8 @@ SMALL = 32
 BLOCK, BLOCK_TEXTS, COLUMNS = 1 << 18, 1 << 11, 1 << 13
 #: Texts that a centre is taken from, about, and steps of distance from it.
 CENTRE_TEXTS, BINS = 64, 20
+#: Bits that tell rows whose text is wanted from most others.
+MARKS = 1 << 23
 #: Times that the way from a bucket to the one it belongs to is doubled.
 JUMPS = 3
 #: Rounding that a bound on counts may be off by.
@@ -177,10 +179,23 @@ def unit_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(units, "node long, units array<long>")
 
 
+def marked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows whose digest has a mark that a digest of wanted has too: all rows with such a digest, and few others.
+
+    Marks are the bits of MARKS // 64 words at most, whatever the size of wanted, so that they can go to every task; rows are told
+    apart before they are dealt out.
+    """
+    mark = F.pmod(F.xxhash64("digest"), F.lit(MARKS))
+    word, bit = F.shiftright(mark, 6).alias("_word"), mark.bitwiseAND(F.lit(63)).cast("int")
+    words = wanted.select(word, F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("_bits")).groupBy("_word").agg(F.bit_or("_bits").alias("_bits"))
+    met = rows.select("*", word, bit.alias("_bit")).join(F.broadcast(words), "_word")
+    return met.where(F.call_function("getbit", "_bits", "_bit") == 1).drop("_word", "_bits", "_bit")
+
+
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, text for each of wanted(node, digest, home): one row of docs with that text and id."""
+    """node, text for each of wanted(node, digest, home): one row of docs with that text and id. Other texts are not shuffled."""
     rows = docs.select(*text_keys(docs), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.join(wanted, ["digest", "home"]).dropDuplicates(["digest", "home"]).select("node", "text")
+    return marked(rows, wanted).join(wanted, ["digest", "home"]).dropDuplicates(["digest", "home"]).select("node", "text")
 
 
 def in_common(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:

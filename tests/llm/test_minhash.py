@@ -178,3 +178,15 @@ def test_sure_unsure_and_no_links_together(spark, monkeypatch, seed):
     assert {r.doc_id: r.class_id for r in got} == brute_classes(list(texts.items()))
     assert {r.doc_id: r.n_links for r in got} == links
     assert rows["crowd-met"][0] > 0 and rows["crowd-cell-verdicts"][0] > 0
+
+
+def test_only_wanted_texts_are_dealt_out(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    wanted = docs.where("doc_id % 50 = 0").select(m.F.col("doc_id").alias("node"), *m.text_keys(docs))
+    rows = docs.select(*m.text_keys(docs), "text")
+    through = {r.home for r in m.marked(rows, wanted).collect()}
+    assert set(range(0, 3000, 50)) <= through and len(through) < 90
+    assert sorted(map(tuple, m.texts_of(docs, wanted).collect())) == [(i, f"text {i}") for i in range(0, 3000, 50)]
+    monkeypatch.setattr(m, "MARKS", 64)  # every mark is set, all rows come through, and the join decides
+    assert m.marked(rows, wanted).count() > 1500
+    assert sorted(map(tuple, m.texts_of(docs, wanted).collect())) == [(i, f"text {i}") for i in range(0, 3000, 50)]
