@@ -57,6 +57,18 @@ def test_points_meet_once(name, spark, crowded, monkeypatch):
     assert con.execute(joins_sql(name)).fetchone()[0] > 0
 
 
+@pytest.mark.parametrize("name", ("jn8_task_pairs", "agg17_bundle_anchors", "agg18_bundle_sets", "biz2_errand_bundles"))
+def test_points_stay_where_they_are(name, spark, crowded, monkeypatch):
+    """What is grouped and joined by the point isn't dealt again, and candidates are found once; the plan had 47 shuffles or more."""
+    from lodeloom import registry
+
+    monkeypatch.setattr(joins, "point_candidates", lambda d, found=joins.point_candidates: found(d).hint("coalesce", 7))
+    plan = registry.queries()[name](spark, crowded[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Coalesce 7") == 1
+    assert 0 < plan.count("Exchange hashpartitioning(point") <= 2
+    assert plan.count("Exchange hashpartitioning(") + plan.count("BroadcastExchange") <= 30
+
+
 def joins_sql(name: str) -> str:
     from lodeloom import registry
 
