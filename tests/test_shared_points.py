@@ -69,6 +69,23 @@ def test_points_stay_where_they_are(name, spark, crowded, monkeypatch):
     assert plan.count("Exchange hashpartitioning(") + plan.count("BroadcastExchange") <= 30
 
 
+@pytest.mark.parametrize("name", ("biz1_proximity", "top7_hero", "top8_learned_hero"))
+def test_points_meet_once_for_all_types(name, spark, crowded, monkeypatch):
+    """Each point of places met users' points once a type."""
+    from lodeloom import registry
+    from lodeloom.binding import Domain
+
+    met, plain = [], joins.near_pairs
+
+    def counted(points, places, *args):
+        met.append(places.count())
+        return plain(points, places, *args)
+
+    monkeypatch.setattr(joins, "near_pairs", counted)
+    registry.queries()[name](spark, crowded[0])
+    assert set(met) == {Domain(spark, crowded[0]).places.select("lat", "lng").distinct().count()}
+
+
 def joins_sql(name: str) -> str:
     from lodeloom import registry
 
