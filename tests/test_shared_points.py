@@ -86,6 +86,15 @@ def test_points_meet_once_for_all_types(name, spark, crowded, monkeypatch):
     assert set(met) == {Domain(spark, crowded[0]).places.select("lat", "lng").distinct().count()}
 
 
+def test_visits_are_not_dealt_out_each(spark, crowded):
+    """Of the places learned at a point each task has only the best left; all of them were grouped by place first."""
+    from lodeloom import registry
+
+    plan = registry.queries()["top8_learned_hero"](spark, crowded[0])._jdf.queryExecution().executedPlan().toString()
+    grouped = [line for line in plan.split("\n") if "Exchange hashpartitioning(" in line and "odd" in line.split("),")[0]]
+    assert grouped and not any("place_id" in line for line in grouped)
+
+
 def joins_sql(name: str) -> str:
     from lodeloom import registry
 
