@@ -5,6 +5,7 @@ from __future__ import annotations
 import duckdb
 import pytest
 
+from lodeloom.functions import geo
 from lodeloom.operators import joins
 from tests.test_queries import compare
 
@@ -95,6 +96,32 @@ def test_visits_are_not_dealt_out_each(spark, crowded):
     assert grouped and not any("place_id" in line for line in grouped)
 
 
+def test_pairs_are_made_last(spark, crowded):
+    """Lists of users and places meet and are taken apart as the last step; users were joined to points and then places, pair by pair."""
+    from lodeloom import registry
+
+    plan = registry.queries()["jn2_places_in_radius"](spark, crowded[0])._jdf.queryExecution().executedPlan().toString().split("\n")
+    after = plan[: next(i for i, line in enumerate(plan) if "Join" in line)]
+    assert sum("Generate" in line for line in after) == 2 and any("Coalesce" in line for line in after)
+    assert not any("Exchange" in line for line in after)
+
+
+def test_lists_and_cells_are_cut(spark, crowded, monkeypatch):
+    """Lists of three at most, and a cell cut where they stand for many rows: all pairs are there, each once."""
+    met, plain = [], joins.near_pairs
+
+    def counted(points, places, *args):
+        met.append((points.count(), places.count(), max(r[0] for r in points.selectExpr("size(users)").collect())))
+        return plain(points, places, *args)
+
+    monkeypatch.setattr(joins, "LISTED", 3)
+    monkeypatch.setattr(geo, "LISTED_PAIRS", 50)
+    monkeypatch.setattr(joins, "near_pairs", counted)
+    folder, con = crowded
+    compare("jn2_places_in_radius", spark, folder, con)
+    assert met[0][0] >= USERS / 3 and met[0][1] >= PLACES / 3 and met[0][2] == 3
+
+
 def joins_sql(name: str) -> str:
     from lodeloom import registry
 
