@@ -122,6 +122,18 @@ def test_lists_and_cells_are_cut(spark, crowded, monkeypatch):
     assert met[0][0] >= USERS / 3 and met[0][1] >= PLACES / 3 and met[0][2] == 3
 
 
+def test_parts_of_cells_have_a_limit(spark, crowded, monkeypatch):
+    """What goes to each part of a cell goes to as many as tasks can use, however many pairs there are."""
+    from lodeloom import registry
+
+    seen, plain = [], geo.F.broadcast
+    monkeypatch.setattr(geo, "LISTED_PAIRS", 1)
+    monkeypatch.setattr(geo.F, "broadcast", lambda rows: seen.append(rows) or plain(rows))
+    registry.queries()["jn2_places_in_radius"](spark, crowded[0])
+    parts = [r["_parts"] for r in seen[-1].collect()]
+    assert 8 <= sum(parts) <= 4 * geo.pair_tasks(spark) < USERS * PLACES
+
+
 def joins_sql(name: str) -> str:
     from lodeloom import registry
 
